@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .geometry import Box, box, clamp01, distance
 
@@ -206,3 +206,16 @@ def attribute_tags(attrs: Column) -> Column:
     return F.array_compact(F.array(
         F.when(over("hat"), "hat"), F.when(over("sunglass"), "sunglass"), F.when(over("masked"), "mask"),
         eyes, F.when(over("mouth_open"), "mouth_open")))
+
+
+def attach_gestures(persons: DataFrame, hands: DataFrame, mode: str) -> DataFrame:
+    """Persons with body gestures and hands with hand gestures, by mode off, body, hand or all."""
+    none = F.array().cast(GESTURE_DDL)
+    body = (body_gestures(F.col("label"), F.col("keypoints"), box()) if mode in ("body", "all") else none)
+    out = persons.withColumn("gestures", body)
+    if mode not in ("hand", "all"):
+        return out
+    g = hand_gesture(F.col("hand_landmarks"), F.col("hand"))
+    named = (hands.withColumn("_g", g).withColumns({
+        "gesture_code": F.col("_g.code"), "confidence": F.col("_g.confidence"), "label": F.lit("hand_gesture")}).drop("_g"))
+    return out.unionByName(named, allowMissingColumns=True)

@@ -1,17 +1,22 @@
 """Cutting lineage with reliable storage."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read on from there.
+    """Write ``df`` to the checkpoint folder and read on from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the shared one named by ``spark.checkpoint.dir``.
 
-    The folder is the shared one named by ``spark.checkpoint.dir``. Only a local session without
-    that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,4 +25,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the checkpoint folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -41,6 +41,10 @@ class Timeline:
         """Next non-null value at or after this row."""
         return self._add("bfill", **cols)
 
+    def suffix_min(self, **cols: Column):
+        """Smallest value at or after this row."""
+        return self._add("smin", **cols)
+
     def apply(self) -> DataFrame:
         order = F.struct(*self.order)
         local = W.partitionBy(*self.keys, "_b").orderBy(*self.order)
@@ -71,6 +75,11 @@ class Timeline:
                 inner[f"_l{i}"] = F.sum(v).over(local.rowsBetween(W.unboundedPreceding, 0))
                 zero = F.lit(0)
                 joined[name] = F.coalesce(F.col(f"_l{i}"), zero) + F.coalesce(F.col(c), zero)
+            elif kind == "smin":
+                aggs.append(F.min(v).alias(a))
+                carry.append(F.min(a).over(after).alias(c))
+                inner[f"_l{i}"] = F.min(v).over(back.rowsBetween(W.unboundedPreceding, 0))
+                joined[name] = F.least(F.col(f"_l{i}"), F.col(c))
             elif kind == "ffill":
                 seen = F.when(v.isNotNull(), order)
                 aggs.append(F.max_by(v, seen).alias(a))

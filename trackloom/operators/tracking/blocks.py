@@ -95,18 +95,22 @@ class BlockRunner:
                 held.append(batch)
                 n += batch.num_rows
             if n >= BLOCK_ROWS:
-                rest, out = self._block(pa.Table.from_batches(held), last=False)
+                rest, out = self._block(pa.Table.from_batches(held), hold=True, keep_open=True)
                 held, n = rest.to_batches(), rest.num_rows
                 yield from out
         if n:
-            _, out = self._block(pa.Table.from_batches(held), last=True)
+            _, out = self._block(pa.Table.from_batches(held), hold=False, keep_open=False)
             yield from out
 
-    def _block(self, table: pa.Table, last: bool):
+    def feed(self, table: pa.Table) -> list[pa.RecordBatch]:
+        """Process whole frames and leave the last session open for the next call."""
+        return self._block(table, hold=False, keep_open=True)[1]
+
+    def _block(self, table: pa.Table, hold: bool, keep_open: bool):
         frame_cols = [table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
                       for c in (*self.keys, "frame_id")]
         starts = _changes(frame_cols)
-        if not last:
+        if hold:
             cut = int(starts[-1])  # the last frame may go on in the next batch
             if cut == 0:
                 return table, []
@@ -130,7 +134,7 @@ class BlockRunner:
         else:
             self.engine.forget(self.open_key)
         self.open_bank = None
-        goes_on = n_groups - 1 if not last else -1  # this session may continue in the next block
+        goes_on = n_groups - 1 if keep_open else -1  # this session may continue in the next block
 
         by_step = np.argsort(frame_step, kind="stable")
         bounds = np.searchsorted(frame_step[by_step], np.arange(frames_in.max() + 1))

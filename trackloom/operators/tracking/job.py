@@ -31,22 +31,23 @@ def number_frames(frames: DataFrame, stride: int, bucket: int) -> DataFrame:
 
 
 def with_sessions(seen: DataFrame, clock: DataFrame, keys: list[str], max_misses: int, stride: int,
-                  bucket: int) -> tuple[DataFrame, DataFrame]:
+                  bucket: int, linger: int = 0) -> tuple[DataFrame, DataFrame]:
     """Cut the occupied frames of each key into sessions that cannot influence each other.
 
     After ``max_misses + 1`` inferred frames without an observation no track is alive, so the next
     observation opens a new session. Returns the occupied frames (keys, frame_id, ord, session) and
-    the empty frames inside sessions (keys, frame_id, ord, is_inf, session).
+    the empty frames inside sessions (keys, frame_id, ord, is_inf, session). Frames are listed as
+    long as a track can be reported, and ``linger`` inferred frames more.
     """
     b = bucket_of("seq", bucket)
     rows = (Timeline(seen, keys, ["seq"], b).lag(_po=F.col("ord")).lead(_ns=F.col("seq")).apply())
     start = F.when(F.col("_po").isNull() | (F.col("ord") - F.col("_po") > max_misses + 1), F.col("ord"))
     rows = Timeline(rows.withColumn("_st", start), keys, ["seq"], b).ffill(session=F.col("_st")).apply()
-    reach = F.col("seq") + (max_misses + 1) * stride - 1
+    reach = F.col("seq") + (max_misses + 1 + linger) * stride - 1
     upto = F.least(F.coalesce(F.col("_ns") - 1, reach), reach)
     ahead = (rows.filter(upto > F.col("seq"))
              .select(*keys, "session", F.col("ord").alias("_from"), F.explode(F.sequence(F.col("seq") + 1, upto)).alias("seq")))
-    ticks = (ahead.join(clock, ["slot_id", "seq"]).filter(F.col("ord") <= F.col("_from") + max_misses)
+    ticks = (ahead.join(clock, ["slot_id", "seq"]).filter(F.col("ord") <= F.col("_from") + max_misses + linger)
              .select(*keys, "session", "frame_id", "ord", "is_inf"))
     return rows.select(*keys, "frame_id", "session"), ticks
 
@@ -62,7 +63,7 @@ def _flat(name: str) -> Column:
 
 def fold_input(det: DataFrame, frames: DataFrame | None, cfg, candidates: DataFrame | None = None,
                by_label: bool = True, extras: tuple[str, ...] = (), bucket: int = 65536,
-               split_sessions: bool = True) -> DataFrame:
+               split_sessions: bool = True, linger: int = 0) -> DataFrame:
     """Detections, candidates and empty frames as one flat table ready to be folded by session."""
     clock = number_frames(frames_of(det) if frames is None else frames, cfg.stride, bucket)
     grp = F.col("label") if by_label else F.lit("")
@@ -81,7 +82,7 @@ def fold_input(det: DataFrame, frames: DataFrame | None, cfg, candidates: DataFr
         rows = rows.unionByName(rows_of(cand, CANDIDATE))
     keys = ["slot_id", "grp"]
     seen = rows.groupBy(*keys, "frame_id", "seq").agg(F.first("ord").alias("ord"))
-    cuts, ticks = with_sessions(seen, clock, keys, cfg.max_misses, cfg.stride, bucket)
+    cuts, ticks = with_sessions(seen, clock, keys, cfg.max_misses, cfg.stride, bucket, linger)
     if not split_sessions:
         cuts, ticks = (d.withColumn("session", F.lit(0).cast("long")) for d in (cuts, ticks))
     rows = rows.drop("seq").join(cuts, [*keys, "frame_id"])
