@@ -27,20 +27,22 @@ GESTURE_DDL = "array<struct<code:string,side:string,confidence:double,priority:i
 
 
 class _Pose:
-    def __init__(self, kpts: Column, hand_conf: float):
-        self.k, self.hand_conf = kpts, hand_conf
+    """Coordinates and confidences of body points that were laid out as columns."""
+
+    def __init__(self, kpts: Column):
+        self.k = kpts
+
+    def raw(self, i: int, field: str) -> Column:
+        return F.get(self.k, F.lit(i))[field]
 
     def x(self, i: int) -> Column:
-        return self.k[i]["x"]
+        return F.col(f"_x{i}")
 
     def y(self, i: int) -> Column:
-        return self.k[i]["y"]
+        return F.col(f"_y{i}")
 
     def seen(self, limit: float, *points: int) -> Column:
-        out = F.lit(True)
-        for i in points:
-            out = out & (F.coalesce(self.k[i]["conf"], F.lit(0.0)) >= limit)
-        return out
+        return F.least(*[F.col(f"_c{i}") for i in points]) >= limit
 
     def dist(self, i: int, j: int) -> Column:
         return distance(self.x(i), self.y(i), self.x(j), self.y(j))
@@ -49,52 +51,56 @@ class _Pose:
         return (self.x(i) + self.x(j)) * 0.5, (self.y(i) + self.y(j)) * 0.5
 
 
-def body_gestures(label: Column, kpts: Column, b: Box, hand_conf: float = 0.30) -> Column:
-    """Up to two gestures of a person, by priority then confidence; empty for all other rows."""
-    p = _Pose(kpts, hand_conf)
+def with_body_gestures(df: DataFrame, hand_conf: float = 0.30, name: str = "gestures") -> DataFrame:
+    """Add up to two gestures per person, by priority then confidence; empty for all other rows.
+
+    The measures that the rules share are columns of their own, so each is worked out once a row.
+    """
+    p = _Pose(F.col("keypoints"))
     trunk = (L_SHOULDER, R_SHOULDER, L_HIP, R_HIP)
-    sx, sy = p.mid(L_SHOULDER, R_SHOULDER)
-    hx, hy = p.mid(L_HIP, R_HIP)
-    torso = F.greatest(distance(sx, sy, hx, hy), F.lit(1e-6))
+    used = [NOSE, L_SHOULDER, R_SHOULDER, L_WRIST, R_WRIST, L_HIP, R_HIP, L_KNEE, R_KNEE]
+    flat = {f"_{a}{i}": p.raw(i, a) for i in used for a in ("x", "y")}
+    flat |= {f"_c{i}": F.coalesce(p.raw(i, "conf"), F.lit(0.0)) for i in used}
+    b = box()
+    flat |= {"_bw": F.greatest(F.lit(0.0), b.x2 - b.x1), "_bh": F.greatest(F.lit(0.0), b.y2 - b.y1),
+             "_use": F.coalesce((F.col("label") == "person") & (F.size("keypoints") == 17), F.lit(False))}
+    (sx, sy), (hx, hy), (_, ky) = p.mid(L_SHOULDER, R_SHOULDER), p.mid(L_HIP, R_HIP), p.mid(L_KNEE, R_KNEE)
+    mids = {"_sx": sx, "_sy": sy, "_hx": hx, "_hy": hy, "_ky": ky}
+    sx, sy, hx, hy, ky = (F.col(c) for c in mids)
+    torso = F.col("_torso")
 
     def hand_up(wrist: int, shoulder: int) -> Column:
         return p.seen(hand_conf, wrist, shoulder) & (p.y(wrist) < p.y(shoulder) - torso * 0.16)
 
-    left, right = hand_up(L_WRIST, L_SHOULDER), hand_up(R_WRIST, R_SHOULDER)
+    def near(wrist: int) -> Column:
+        return p.seen(0.35, NOSE, wrist) & (p.dist(wrist, NOSE) < torso * 0.52)
 
-    bw, bh = F.greatest(F.lit(0.0), b.x2 - b.x1), F.greatest(F.lit(0.0), b.y2 - b.y1)
+    bw, bh = F.col("_bw"), F.col("_bh")
     angle = F.abs(F.degrees(F.atan2(hy - sy, hx - sx)))
-    fallen = (p.seen(0.32, *trunk) & (bh > 1e-6) & (bw / F.when(bh > 1e-6, bh) >= 1.15)
-              & ((angle < 35.0) | (angle > 145.0)))
-    _, ky = p.mid(L_KNEE, R_KNEE)
-    squat = (p.seen(0.32, *trunk, L_KNEE, R_KNEE) & (F.abs(ky - hy) < torso * 0.34)
-             & (F.abs(hy - sy) < torso * 1.08))
-
-    spread = (p.seen(hand_conf, L_WRIST, R_WRIST, L_SHOULDER, R_SHOULDER)
-              & (p.x(L_WRIST) < p.x(L_SHOULDER) - torso * 0.18)
-              & (p.x(R_WRIST) > p.x(R_SHOULDER) + torso * 0.18)
-              & (F.abs(p.y(L_WRIST) - sy) < torso * 0.32) & (F.abs(p.y(R_WRIST) - sy) < torso * 0.32))
     middle_x = (p.x(L_SHOULDER) + p.x(R_SHOULDER) + p.x(L_HIP) + p.x(R_HIP)) * 0.25
     top = F.least(p.y(L_SHOULDER), p.y(R_SHOULDER)) - torso * 0.10
     bottom = F.greatest(p.y(L_HIP), p.y(R_HIP)) + torso * 0.08
-    crossed = (p.seen(0.35, L_WRIST, R_WRIST, *trunk)
-               & (p.x(L_WRIST) > middle_x) & (p.x(R_WRIST) < middle_x)
-               & (top < p.y(L_WRIST)) & (p.y(L_WRIST) < bottom)
-               & (top < p.y(R_WRIST)) & (p.y(R_WRIST) < bottom)
-               & (p.dist(L_WRIST, R_WRIST) < torso * 0.75))
-
-    def near(wrist: int) -> Column:
-        return p.seen(0.35, NOSE, wrist) & (p.dist(wrist, NOSE) < torso * 0.52)
-
-    near_l, near_r = near(L_WRIST), near(R_WRIST)
-    near_side = F.when(near_l & near_r, "both").when(near_l, "left").when(near_r, "right")
-
     height = F.abs(hy - sy)
     narrow = ((F.abs(p.x(L_SHOULDER) - p.x(R_SHOULDER)) < height * 0.36)
               & (F.abs(p.x(L_HIP) - p.x(R_HIP)) < height * 0.34))
-    gap = F.abs(F.coalesce(kpts[L_SHOULDER]["conf"], F.lit(0.0))
-                - F.coalesce(kpts[R_SHOULDER]["conf"], F.lit(0.0))) > 0.35
-    sideways = p.seen(0.25, *trunk) & (height > 1e-6) & (narrow | gap)
+    rules = {
+        "_left": hand_up(L_WRIST, L_SHOULDER), "_right": hand_up(R_WRIST, R_SHOULDER),
+        "_fallen": p.seen(0.32, *trunk) & (bh > 1e-6) & (bw / F.when(bh > 1e-6, bh) >= 1.15)
+        & ((angle < 35.0) | (angle > 145.0)),
+        "_squat": p.seen(0.32, *trunk, L_KNEE, R_KNEE) & (F.abs(ky - hy) < torso * 0.34)
+        & (F.abs(hy - sy) < torso * 1.08),
+        "_spread": p.seen(hand_conf, L_WRIST, R_WRIST, L_SHOULDER, R_SHOULDER)
+        & (p.x(L_WRIST) < p.x(L_SHOULDER) - torso * 0.18) & (p.x(R_WRIST) > p.x(R_SHOULDER) + torso * 0.18)
+        & (F.abs(p.y(L_WRIST) - sy) < torso * 0.32) & (F.abs(p.y(R_WRIST) - sy) < torso * 0.32),
+        "_crossed": p.seen(0.35, L_WRIST, R_WRIST, *trunk)
+        & (p.x(L_WRIST) > middle_x) & (p.x(R_WRIST) < middle_x)
+        & (top < p.y(L_WRIST)) & (p.y(L_WRIST) < bottom) & (top < p.y(R_WRIST)) & (p.y(R_WRIST) < bottom)
+        & (p.dist(L_WRIST, R_WRIST) < torso * 0.75),
+        "_nl": near(L_WRIST), "_nr": near(R_WRIST),
+        "_sideways": p.seen(0.25, *trunk) & (height > 1e-6)
+        & (narrow | (F.abs(F.col(f"_c{L_SHOULDER}") - F.col(f"_c{R_SHOULDER}")) > 0.35)),
+    }
+    left, right, near_l, near_r = (F.col(c) for c in ("_left", "_right", "_nl", "_nr"))
 
     def g(code: str, side: str | Column) -> Column:
         conf, prio = BODY[code]
@@ -103,18 +109,27 @@ def body_gestures(label: Column, kpts: Column, b: Box, hand_conf: float = 0.30)
         return F.struct(F.lit(-prio).alias("np"), F.lit(-conf).alias("nc"), F.lit(code).alias("code"),
                         s.alias("side"), F.lit(conf).alias("confidence"), F.lit(prio).alias("priority"))
 
+    near_side = F.when(near_l & near_r, "both").when(near_l, "left").otherwise("right")
     found = F.array_compact(F.array(
         F.when(left & right, g("hands_up", "both")).when(left, g("left_hand_up", "left"))
         .when(right, g("right_hand_up", "right")),
-        F.when(fallen, g("fallen", "body")).when(squat, g("squat", "body")),
-        F.when(spread, g("arms_spread", "both")).when(crossed, g("arms_crossed", "both")),
-        F.when(near_side.isNotNull() & ~left & ~right, g("hand_near_head", near_side)),
-        F.when(sideways, g("sideways", "body"))))
+        F.when(F.col("_fallen"), g("fallen", "body")).when(F.col("_squat"), g("squat", "body")),
+        F.when(F.col("_spread"), g("arms_spread", "both")).when(F.col("_crossed"), g("arms_crossed", "both")),
+        F.when((near_l | near_r) & ~left & ~right, g("hand_near_head", near_side)),
+        F.when(F.col("_sideways"), g("sideways", "body"))))
     best = F.transform(F.slice(F.array_sort(found), 1, 2), lambda t: F.struct(
         t["code"].alias("code"), t["side"].alias("side"),
         t["confidence"].alias("confidence"), t["priority"].alias("priority")))
-    usable = (label == "person") & (F.size(kpts) == 17) & p.seen(0.25, *trunk)
-    return F.when(usable, best).otherwise(F.array().cast(GESTURE_DDL))
+    usable = F.col("_use") & p.seen(0.25, *trunk)
+    measured = (df.withColumns(flat).withColumns(mids)
+                .withColumn("_torso", F.greatest(distance(sx, sy, hx, hy), F.lit(1e-6))))
+    # The measures pass through a generator of one row. It keeps later filters on the gestures above
+    # this point: pushed below, they would repeat every measure wherever a rule names it.
+    work = [*flat, *mids, "_torso"]
+    firm = measured.select(*df.columns, F.inline(F.array(F.struct(*work))))
+    return (firm.withColumns(rules)
+            .withColumn(name, F.when(usable, best).otherwise(F.array().cast(GESTURE_DDL)))
+            .drop(*work, *rules))
 
 
 def hand_gesture(points: Column, hand: Column) -> Column:
@@ -210,9 +225,10 @@ def attribute_tags(attrs: Column) -> Column:
 
 def attach_gestures(persons: DataFrame, hands: DataFrame, mode: str) -> DataFrame:
     """Persons with body gestures and hands with hand gestures, by mode off, body, hand or all."""
-    none = F.array().cast(GESTURE_DDL)
-    body = (body_gestures(F.col("label"), F.col("keypoints"), box()) if mode in ("body", "all") else none)
-    out = persons.withColumn("gestures", body)
+    if mode in ("body", "all"):
+        out = with_body_gestures(persons)
+    else:
+        out = persons.withColumn("gestures", F.array().cast(GESTURE_DDL))
     if mode not in ("hand", "all"):
         return out
     g = hand_gesture(F.col("hand_landmarks"), F.col("hand"))

@@ -28,9 +28,21 @@ def key_slices(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.D
         yield tuple(part[k].iat[0] for k in keys), part
 
 
-def _filled(out: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
-    if out is not None and len(out):
-        yield out
+def by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows hash-partitioned by key and sorted inside the partitions.
+
+    The number of partitions is given outright: Python work per row is heavy for its bytes, so the
+    partitions must not be merged by size.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+
+
+def _joined(parts: list[pd.DataFrame | None]) -> Iterator[pd.DataFrame]:
+    """The outputs of a batch as one frame."""
+    parts = [p for p in parts if p is not None and len(p)]
+    if parts:
+        yield parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str],
@@ -43,16 +55,18 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str],
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        current, state, out = None, None, []
         for pdf in batches:
             for key, rows in key_slices(pdf, keys):
                 if key != current:
                     if finish is not None and state is not None:
-                        yield from _filled(finish(state))
+                        out.append(finish(state))
                     current, state = key, None
-                state, out = step(state, rows)
-                yield from _filled(out)
+                state, part = step(state, rows)
+                out.append(part)
+            yield from _joined(out)
+            out = []
         if finish is not None and state is not None:
-            yield from _filled(finish(state))
+            yield from _joined([finish(state)])
 
-    return (df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema))
+    return by_key(df, keys, order).mapInPandas(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.targets import format_target_id
 from .fold import ordered_fold
+from .materialize import cut_lineage
 from .timeline import Timeline, asof_forward, bucket_of, ordinal
 
 STATES = ["ACTIVE", "LOST", "LOCKED", "RECOVERED", "REMOVED"]
@@ -46,6 +47,7 @@ def lifecycle(tracks: DataFrame, clock: DataFrame, stale: float = 5.0, removal:
     obs = tracks.select(*KEY, "frame_id", "ts", micros(F.col("ts")).alias("us"))
     obs = (Timeline(obs, KEY, ["us", "frame_id"], bucket_of("us", width))
            .lead(next_us=F.col("us"), next_frame=F.col("frame_id")).apply())
+    obs = cut_lineage(obs)
 
     # Only observations followed by a gap can lead to a loss; the others skip both look-ups.
     gap = F.col("next_us").isNull() | (F.col("next_us") - F.col("us") >= stale_us)
@@ -57,9 +59,10 @@ def lifecycle(tracks: DataFrame, clock: DataFrame, stale: float = 5.0, removal:
 
     gone = _asof(obs.filter(gap).select(*KEY, "frame_id", "us", "next_us", "next_frame"),
                  ticks, F.col("us") + stale_us, "lost", width).filter(before_next("lost"))
+    gone = cut_lineage(gone)
     gone = _asof(gone, ticks, F.col("lost.us") + removal_us, "removed", width)
     gone = gone.withColumn("removed", F.when(before_next("removed"), F.col("removed")))
-    marks = gone.select(*KEY, "frame_id", "us", "lost", "removed")
+    marks = cut_lineage(gone.select(*KEY, "frame_id", "us", "lost", "removed"))
 
     rows = obs.drop("next_us", "next_frame").join(marks, [*KEY, "frame_id", "us"], "left")
     rows = (Timeline(rows, KEY, ["us", "frame_id"], bucket_of("us", width))
@@ -86,6 +89,7 @@ def lifecycle(tracks: DataFrame, clock: DataFrame, stale: float = 5.0, removal:
 def number_targets(events: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
     """Add ``target_number`` and ``target_id``: one counter over all slots, in order of creation."""
     key = [*KEY, "generation"]
+    events = cut_lineage(events)
     born = events.filter("event = 'created'").select(*key, "us", "frame_id")
     born = ordinal(born, [], ["us", "slot_id", "frame_id", "track_id"], bucket_of("us", bucket_s * 1e6),
                    "target_number")
@@ -95,14 +99,14 @@ def number_targets(events: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
 
 def lifecycle_counts(events: DataFrame) -> DataFrame:
     """Per frame the number of created, updated, recovered, lost and removed targets."""
-    return (events.groupBy("slot_id", "frame_id").pivot("event", COUNTED).agg(F.count("*"))
+    return (events.groupBy("slot_id", "frame_id").pivot("event", COUNTED).agg(F.count(F.lit(1)))
             .na.fill(0, COUNTED))
 
 
 def to_events(numbered: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
     """Typed target events with payload and a running event id over all slots."""
     kinds = [k for k in COUNTED if k != "updated"] + ["locked"]
-    rows = numbered.filter(F.col("event").isin(kinds))
+    rows = cut_lineage(numbered.filter(F.col("event").isin(kinds)))
     rows = ordinal(rows, [], ["us", "slot_id", "frame_id", "track_id", "event"],
                    bucket_of("us", bucket_s * 1e6), "_n")
     track, seen = F.col("track_id").cast("string"), F.col("last_seen").cast("string")
@@ -173,7 +177,7 @@ def lifecycle_fsm(tracks: DataFrame, commands: DataFrame, clock: DataFrame, stal
     cmd = commands.select(*KEY, F.lit(-1).cast("long").alias("frame_id"), "ts", micros(F.col("ts")).alias("us"),
                           F.col("command").alias("what"), F.lit(1).alias("wait"))
     rows = obs.unionByName(cmd)
-    rows = _asof(rows, ticks, F.col("us") + F.col("wait"), "lost", width)
+    rows = cut_lineage(_asof(rows, ticks, F.col("us") + F.col("wait"), "lost", width))
     rows = _asof(rows, ticks, F.col("lost.us") + removal_us, "removed", width)
     flat = rows.select(
         *KEY, "frame_id", "ts", "us", "what", (F.col("what") != "seen").cast("int").alias("after"),

@@ -6,9 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.geometry import preset_value
 from .fold import ordered_fold
 from .lifecycle import micros
+from .materialize import cut_lineage
 from .suppress import final_priority
 from .timeline import Timeline, bucket_of, ordinal
 
@@ -150,10 +150,9 @@ def throttle(df: DataFrame, interval: float, keys: list[str] = ["slot_id"], time
         return df
     gap = int(round(interval * 1e6))
     rows = df.withColumn("_us", micros(F.col(time)))
-    rows = Timeline(rows, keys, ["_us", tie], bucket_of("_us", bucket_s * 1e6)).lag(_prev=F.col("_us")).apply()
-    start = F.when(F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= gap), F.col("_us"))
-    rows = (Timeline(rows.withColumn("_start", start), keys, ["_us", tie], bucket_of("_us", bucket_s * 1e6))
-            .ffill(_run=F.col("_start")).apply().drop("_prev", "_start"))
+    rows = (Timeline(rows, keys, ["_us", tie], bucket_of("_us", bucket_s * 1e6))
+            .run_start(gap, _run=F.col("_us")).apply())
+    cols = list(df.columns)
 
     def step(last, part: pd.DataFrame):
         us = part["_us"].to_numpy()
@@ -163,7 +162,7 @@ def throttle(df: DataFrame, interval: float, keys: list[str] = ["slot_id"], time
             if i < len(us):
                 keep.append(i)
                 last = us[i]
-        return last, part.iloc[keep][df.columns]
+        return last, part.iloc[keep][cols]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return ordered_fold(rows, [*keys, "_run"], ["_us", tie], step, schema)
@@ -201,6 +200,7 @@ def frame_signature(det: DataFrame, bucket: int = 4096) -> DataFrame:
                     r3("y1").alias("y1"), r3("x2").alias("x2"), r3("y2").alias("y2"), n_kpt.alias("k"), poly.alias("p"))
     per = det.groupBy("slot_id", "frame_id").agg(
         F.xxhash64(F.array_sort(F.collect_list(item))).alias("signature"), F.count("*").alias("n_det"))
+    per = cut_lineage(per)
     out = (Timeline(per, ["slot_id"], ["frame_id"], bucket_of("frame_id", bucket))
            .lag(_prev=F.col("signature")).apply())
     return out.withColumn("changed", ~F.col("signature").eqNullSafe(F.col("_prev"))).drop("_prev")
@@ -300,17 +300,15 @@ def publish_metrics(log: DataFrame) -> DataFrame:
 def failure_runs(log: DataFrame, every: int = 30, keys: list[str] = ["slot_id"], order: str = "frame_id",
                  bucket: int = 65536) -> DataFrame:
     """Reports of consecutive failures: the 1st, each ``every``-th, and the recovery with the run length."""
-    bad = F.col("failed").cast("int")
-    rows = (Timeline(log.withColumn("_bad", bad), keys, [order], bucket_of(order, bucket))
-            .running_sum(_total=F.col("_bad")).lag(_was=F.col("_bad")).apply())
-    # failures up to the latest good row: the run so far is the total minus that
-    rows = (Timeline(rows, keys, [order], bucket_of(order, bucket))
-            .ffill(_base=F.when(~F.col("failed"), F.col("_total"))).apply())
-    run = F.col("_total") - F.coalesce("_base", F.lit(0))
-    rows = (Timeline(rows.withColumn("_run", run), keys, [order], bucket_of(order, bucket))
-            .lag(_last_run=F.col("_run")).apply())
-    event = (F.when(F.col("failed") & ((F.col("_run") == 1) | (F.col("_run") % every == 0)), "failure")
-             .when(~F.col("failed") & (F.col("_was") == 1), "recovered"))
-    return (rows.withColumn("event", event).filter("event IS NOT NULL")
-            .select(*keys, order, "event",
-                    F.when(F.col("event") == "failure", F.col("_run")).otherwise(F.col("_last_run")).alias("run_length")))
+    bucketed = bucket_of(order, bucket)
+    good = (~F.col("failed")).cast("int")
+    rows = (Timeline(log.select(*keys, order, "failed"), keys, [order], bucketed)
+            .running_sum(_run_id=good).lead(_next=F.col(order), _next_failed=F.col("failed")).apply())
+    # a run is what follows the same good row
+    rows = (Timeline(rows, [*keys, "_run_id"], [order], bucketed)
+            .running_sum(run_length=F.col("failed").cast("int")).apply().filter("failed"))
+    n = F.col("run_length")
+    report = F.when((n == 1) | (n % every == 0), F.struct(F.col(order).alias("at"), F.lit("failure").alias("event")))
+    over = F.when(~F.col("_next_failed"), F.struct(F.col("_next").alias("at"), F.lit("recovered").alias("event")))
+    return (rows.select(*keys, "run_length", F.inline(F.array_compact(F.array(report, over))))
+            .select(*keys, F.col("at").alias(order), "event", "run_length"))

@@ -5,6 +5,9 @@ Here each key is cut into time buckets: a window runs inside every (key, bucket)
 a small table with one row per (key, bucket) is made by an aggregate with map-side combine, and
 what one bucket hands to the next is worked out on that small table and joined back. Bucket width
 is given in units of the order column, so the rows of a bucket are bounded by the source's rate.
+
+The input is read twice, once for each of the two tables. Jobs that chain time lines therefore put
+their narrow intermediate rows into the checkpoint folder in between.
 """
 
 from __future__ import annotations
@@ -41,6 +44,15 @@ class Timeline:
         """Next non-null value at or after this row."""
         return self._add("bfill", **cols)
 
+    def run_start(self, gap: float, **cols: Column):
+        """Start value of the run a row is in; a run begins where the value grows by ``gap`` or more.
+
+        The value must not fall along the order.
+        """
+        (name, c), = cols.items()
+        self.specs.append((("run", gap), name, c))
+        return self
+
     def suffix_min(self, **cols: Column):
         """Smallest value at or after this row."""
         return self._add("smin", **cols)
@@ -52,7 +64,11 @@ class Timeline:
         inputs = {f"_v{i}": c for i, (_, _, c) in enumerate(self.specs)}
         rows = self.df.withColumns({"_b": self.bucket, **inputs})
 
-        aggs, carry, joined = [], [], {}
+        for i, (kind, _, _) in enumerate(self.specs):
+            if kind[0] == "run":
+                rows = rows.withColumn(f"_p{i}", F.lag(f"_v{i}").over(local)).withColumn(
+                    f"_s{i}", F.when(F.col(f"_v{i}") - F.col(f"_p{i}") >= kind[1], F.col(f"_v{i}")))
+        aggs, carry, late, joined = [], [], {}, {}
         steps = W.partitionBy(*self.keys).orderBy("_b")
         before, after = steps.rowsBetween(W.unboundedPreceding, -1), steps.rowsBetween(1, W.unboundedFollowing)
         inner = {}
@@ -75,6 +91,14 @@ class Timeline:
                 inner[f"_l{i}"] = F.sum(v).over(local.rowsBetween(W.unboundedPreceding, 0))
                 zero = F.lit(0)
                 joined[name] = F.coalesce(F.col(f"_l{i}"), zero) + F.coalesce(F.col(c), zero)
+            elif kind[0] == "run":
+                aggs += [F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}"), F.max(f"_s{i}").alias(f"_in{i}")]
+                before_it = F.lag(f"_hi{i}").over(steps)
+                late[f"_own{i}"] = F.when(before_it.isNull() | (F.col(f"_lo{i}") - before_it >= kind[1]), F.col(f"_lo{i}"))
+                carry.append(F.coalesce(F.col(f"_own{i}"), F.last(
+                    F.coalesce(F.col(f"_in{i}"), F.col(f"_own{i}")), ignorenulls=True).over(before)).alias(c))
+                inner[f"_l{i}"] = F.last(f"_s{i}", ignorenulls=True).over(local.rowsBetween(W.unboundedPreceding, 0))
+                joined[name] = F.coalesce(F.col(f"_l{i}"), F.col(c))
             elif kind == "smin":
                 aggs.append(F.min(v).alias(a))
                 carry.append(F.min(a).over(after).alias(c))
@@ -93,8 +117,7 @@ class Timeline:
                 inner[f"_l{i}"] = F.last(v, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0))
                 joined[name] = F.coalesce(F.col(f"_l{i}"), F.col(c))
 
-        summary = (rows.groupBy(*self.keys, "_b").agg(*aggs)
-                   .select(*self.keys, "_b", *carry))
+        summary = rows.groupBy(*self.keys, "_b").agg(*aggs).withColumns(late).select(*self.keys, "_b", *carry)
         keep = list(self.df.columns)
         return (rows.withColumns(inner).join(summary, [*self.keys, "_b"], "left")
                 .select(*keep, *[c.alias(n) for n, c in joined.items()]))

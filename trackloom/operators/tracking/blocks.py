@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_ROWS = 40_000
+BLOCK_ROWS = 200_000   # rows read before a block is worked on
+EMIT_ROWS = 200_000    # output rows gathered before they are handed on
 
 
 class Bank:
@@ -38,7 +39,7 @@ class Rows:
     def __init__(self, table: pa.Table, labels: dict[str, int]):
         table = table.combine_chunks()
         self.n = table.num_rows
-        self.col, self.lists = {}, {}
+        self.col, self.lists, self._box = {}, {}, None
         for name in table.column_names:
             arr = table.column(name)
             arr = arr.chunk(0) if arr.num_chunks == 1 else pa.concat_arrays(arr.chunks)
@@ -55,6 +56,12 @@ class Rows:
     def __getitem__(self, name: str) -> np.ndarray:
         return self.col[name]
 
+    @property
+    def box(self) -> np.ndarray:
+        if self._box is None:
+            self._box = np.stack([self.col[c] for c in ("x1", "y1", "x2", "y2")], axis=1)
+        return self._box
+
     def vector(self, name: str, i: int) -> np.ndarray | None:
         values, off, valid = self.lists[name]
         return values[off[i]:off[i + 1]] if valid[i] else None
@@ -95,28 +102,23 @@ class BlockRunner:
                 held.append(batch)
                 n += batch.num_rows
             if n >= BLOCK_ROWS:
-                rest, out = self._block(pa.Table.from_batches(held), hold=True, keep_open=True)
-                held, n = rest.to_batches(), rest.num_rows
-                yield from out
+                table = pa.Table.from_batches(held)
+                cut = self._last_frame(table)  # the last frame may go on in the next batch
+                if cut:
+                    yield from self.feed(table.slice(0, cut))
+                    held, n = table.slice(cut).to_batches(), table.num_rows - cut
         if n:
-            _, out = self._block(pa.Table.from_batches(held), hold=False, keep_open=False)
-            yield from out
+            yield from self.feed(pa.Table.from_batches(held), keep_open=False)
 
-    def feed(self, table: pa.Table) -> list[pa.RecordBatch]:
-        """Process whole frames and leave the last session open for the next call."""
-        return self._block(table, hold=False, keep_open=True)[1]
+    def _last_frame(self, table: pa.Table) -> int:
+        cols = [table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in (*self.keys, "frame_id")]
+        return int(_changes(cols)[-1])
 
-    def _block(self, table: pa.Table, hold: bool, keep_open: bool):
+    def feed(self, table: pa.Table, keep_open: bool = True) -> Iterator[pa.RecordBatch]:
+        """Process whole frames; ``keep_open`` leaves the last session open for the next call."""
         frame_cols = [table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
                       for c in (*self.keys, "frame_id")]
         starts = _changes(frame_cols)
-        if hold:
-            cut = int(starts[-1])  # the last frame may go on in the next batch
-            if cut == 0:
-                return table, []
-            rest, table, starts = table.slice(cut), table.slice(0, cut), starts[:-1]
-        else:
-            rest = None
         rows = Rows(table, self.labels)
         key_cols = [rows[k] for k in self.keys]
         group_starts = _changes(key_cols)
@@ -138,7 +140,7 @@ class BlockRunner:
 
         by_step = np.argsort(frame_step, kind="stable")
         bounds = np.searchsorted(frame_step[by_step], np.arange(frames_in.max() + 1))
-        emitted = []
+        emitted, size = [], 0
         for k in range(frames_in.max()):
             f = by_step[bounds[k]:bounds[k + 1]]
             groups, lengths = frame_group[f], ends[f] - starts[f]
@@ -149,6 +151,10 @@ class BlockRunner:
             bank, out = self.engine.step(bank, rows, step, block_keys)
             if out is not None:
                 emitted.append(out)
+                size += len(out["g"])
+                if size >= EMIT_ROWS:
+                    yield from self._emit(emitted, block_keys)
+                    emitted, size = [], 0
             done = frames_in[bank.g] <= k + 1
             if done.any():
                 if goes_on >= 0 and frames_in[goes_on] == k + 1:
@@ -161,7 +167,7 @@ class BlockRunner:
                 self.open_bank = self.engine.empty()
         for key in block_keys[:-1]:
             self.engine.forget(key)
-        return rest, self._emit(emitted, block_keys)
+        yield from self._emit(emitted, block_keys)
 
     def _emit(self, emitted: list[dict], block_keys: list[tuple]) -> list[pa.RecordBatch]:
         if not emitted:

@@ -30,16 +30,23 @@ WC[0] += 1.0 - ALPHA ** 2 + BETA
 
 def measurement(boxes: np.ndarray) -> np.ndarray:
     """Corners (n, 4) to centre, width and height with sides of at least 1e-5."""
-    w = np.maximum(1e-5, boxes[:, 2] - boxes[:, 0])
-    h = np.maximum(1e-5, boxes[:, 3] - boxes[:, 1])
-    return np.stack([boxes[:, 0] + w * 0.5, boxes[:, 1] + h * 0.5, w, h], axis=1)
+    out = np.empty((len(boxes), 4))
+    out[:, 2:] = np.maximum(1e-5, boxes[:, 2:] - boxes[:, :2])
+    out[:, :2] = boxes[:, :2] + out[:, 2:] * 0.5
+    return out
 
 
 def corners(x: np.ndarray) -> np.ndarray:
-    half_w = np.maximum(1e-5, x[:, 2]) * 0.5
-    half_h = np.maximum(1e-5, x[:, 3]) * 0.5
-    out = np.stack([x[:, 0] - half_w, x[:, 1] - half_h, x[:, 0] + half_w, x[:, 1] + half_h], axis=1)
-    return np.clip(out, 0.0, 1.0)
+    half = np.maximum(1e-5, x[:, 2:4]) * 0.5
+    out = np.empty((len(x), 4))
+    out[:, :2] = x[:, :2] - half
+    out[:, 2:] = x[:, :2] + half
+    return np.clip(out, 0.0, 1.0, out=out)
+
+
+def _diag(p: np.ndarray) -> np.ndarray:
+    """Writable view of the diagonals."""
+    return np.einsum("nii->ni", p)
 
 
 def start(boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,14 +58,13 @@ def start(boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, p, q
 
 
-def _noise(q: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(q), N, N))
-    out[:, :4, :4] = q[:, 1, None, None]
-    out[:, 4:, 4:] = q[:, 3, None, None]
-    i = np.arange(4)
-    out[:, i, i] = q[:, 0, None]
-    out[:, i + 4, i + 4] = q[:, 2, None]
-    return out
+def _add_noise(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    p[:, :4, :4] += q[:, 1, None, None]
+    p[:, 4:, 4:] += q[:, 3, None, None]
+    d = _diag(p)
+    d[:, :4] += (q[:, 0] - q[:, 1])[:, None]
+    d[:, 4:] += (q[:, 2] - q[:, 3])[:, None]
+    return p
 
 
 def _limit_state(x: np.ndarray, clip: float) -> None:
@@ -67,13 +73,14 @@ def _limit_state(x: np.ndarray, clip: float) -> None:
 
 
 def _limit_variance(p: np.ndarray) -> np.ndarray:
-    i = np.arange(N)
-    d = p[:, i, i]
+    """Cut variances above their limits, rows and columns alike; changes ``p``."""
+    d = _diag(p)
     over = d > P_MAX
     if over.any():
-        s = np.where(over, np.sqrt(P_MAX / np.where(over, d, 1.0)), 1.0)
-        p = p * s[:, :, None] * s[:, None, :]
-    p[:, i, i] = np.maximum(p[:, i, i], 1e-8)
+        k = np.flatnonzero(over.any(axis=1))
+        s = np.sqrt(np.where(over[k], P_MAX / np.where(over[k], d[k], 1.0), 1.0))
+        p[k] *= s[:, :, None] * s[:, None, :]
+    np.maximum(d, 1e-8, out=d)
     return p
 
 
@@ -136,7 +143,7 @@ def predict(x, p, q, clip: float, manifold: bool):
     x = (WM * pts).sum(axis=2)
     _limit_state(x, clip)
     d = pts - x[:, :, None]
-    p = (d * WC) @ d.transpose(0, 2, 1) + _noise(q)
+    p = _add_noise((d * WC) @ d.transpose(0, 2, 1), q)
     return x, _settle(p, manifold), failed
 
 
@@ -225,11 +232,11 @@ RECT_Q, RECT_R = 0.0015, 0.012
 def linear_predict(x: np.ndarray, p: np.ndarray):
     x = x.copy()
     x[:, :4] += x[:, 4:]
-    top = p[:, :4] + p[:, 4:]
-    p = np.concatenate([top, p[:, 4:]], axis=1)
-    p = np.concatenate([p[:, :, :4] + p[:, :, 4:], p[:, :, 4:]], axis=2)
-    i = np.arange(N)
-    p[:, i, i] += RECT_Q
+    p = p.copy()
+    p[:, :4] += p[:, 4:]
+    p[:, :, :4] += p[:, :, 4:]
+    d = _diag(p)
+    d += RECT_Q
     return x, p
 
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ...sources.detections import frames_of
+from ..fold import by_key
 from ..materialize import cut_lineage
 from ..timeline import Timeline, bucket_of
 from .blocks import BlockRunner
@@ -40,9 +41,8 @@ def with_sessions(seen: DataFrame, clock: DataFrame, keys: list[str], max_misses
     long as a track can be reported, and ``linger`` inferred frames more.
     """
     b = bucket_of("seq", bucket)
-    rows = (Timeline(seen, keys, ["seq"], b).lag(_po=F.col("ord")).lead(_ns=F.col("seq")).apply())
-    start = F.when(F.col("_po").isNull() | (F.col("ord") - F.col("_po") > max_misses + 1), F.col("ord"))
-    rows = Timeline(rows.withColumn("_st", start), keys, ["seq"], b).ffill(session=F.col("_st")).apply()
+    rows = cut_lineage(Timeline(seen, keys, ["seq"], b).lead(_ns=F.col("seq"))
+                       .run_start(max_misses + 2, session=F.col("ord")).apply())
     reach = F.col("seq") + (max_misses + 1 + linger) * stride - 1
     upto = F.least(F.coalesce(F.col("_ns") - 1, reach), reach)
     ahead = (rows.filter(upto > F.col("seq"))
@@ -65,7 +65,7 @@ def fold_input(det: DataFrame, frames: DataFrame | None, cfg, candidates: DataFr
                by_label: bool = True, extras: tuple[str, ...] = (), bucket: int = 65536,
                split_sessions: bool = True, linger: int = 0) -> DataFrame:
     """Detections, candidates and empty frames as one flat table ready to be folded by session."""
-    clock = number_frames(frames_of(det) if frames is None else frames, cfg.stride, bucket)
+    clock = cut_lineage(number_frames(frames_of(det) if frames is None else frames, cfg.stride, bucket))
     grp = F.col("label") if by_label else F.lit("")
     flat = [_flat(c).alias(c) for c in extras]
 
@@ -81,7 +81,7 @@ def fold_input(det: DataFrame, frames: DataFrame | None, cfg, candidates: DataFr
         cand = candidates.filter("label = 'person'").withColumns({c: F.lit(None).cast(types[c]) for c in missing})
         rows = rows.unionByName(rows_of(cand, CANDIDATE))
     keys = ["slot_id", "grp"]
-    seen = rows.groupBy(*keys, "frame_id", "seq").agg(F.first("ord").alias("ord"))
+    seen = cut_lineage(rows.groupBy(*keys, "frame_id", "seq").agg(F.first("ord").alias("ord")))
     cuts, ticks = with_sessions(seen, clock, keys, cfg.max_misses, cfg.stride, bucket, linger)
     if not split_sessions:
         cuts, ticks = (d.withColumn("session", F.lit(0).cast("long")) for d in (cuts, ticks))
@@ -99,8 +99,7 @@ def fold_sessions(rows: DataFrame, make_engine, schema: str, labels: dict[str, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from BlockRunner(make_engine(), keys, labels).run(batches)
 
-    return (rows.repartition(*keys).sortWithinPartitions(*keys, "frame_id", "kind", "det_idx")
-            .mapInArrow(run, schema))
+    return by_key(rows, keys, ["frame_id", "kind", "det_idx"]).mapInArrow(run, schema)
 
 
 def number_tracks(rows: DataFrame, bucket: int = 65536) -> DataFrame:
@@ -131,4 +130,4 @@ def track(det: DataFrame, frames: DataFrame | None = None, cfg: TrackerConfig =
                       split_sessions and not auto)
     ddl = ", ".join([BASE_DDL, *[EXTRA_DDL[c] for c in extras if c in EXTRA_DDL]])
     done = cut_lineage(fold_sessions(rows, lambda: Tracker(cfg, extras, SESSION), ddl, LABELS))
-    return number_tracks(done, bucket)
+    return number_tracks(done, bucket).filter(F.col("hits") >= cfg.min_hits)

@@ -99,7 +99,7 @@ class RectangleTracker:
                 t.poly = np.where(t.has_poly[:, None, None], moved, t.poly)
         use = (rows["kind"][s.rows] == 0) & inf_of[s.row_group]
         d, dg = s.rows[use], s.row_group[use]
-        d_box = np.stack([rows[c][d] for c in ("x1", "y1", "x2", "y2")], axis=1)
+        d_box = rows.box[d]
         d_conf = rows["confidence"][d]
         d_poly, d_has = np.zeros((len(d), 4, 2)), np.zeros(len(d), dtype=bool)
         if self.with_polygon:

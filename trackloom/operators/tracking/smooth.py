@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..fold import ordered_fold
+from ..fold import by_key, ordered_fold
 from . import filters
 from .blocks import Bank, BlockRunner, Rows, Step
 
@@ -31,7 +31,7 @@ class _Smoother:
         return Bank(g=np.zeros(0, dtype=np.int64), x=x, p=p, q=q)
 
     def step(self, t: Bank, rows: Rows, s: Step, block_keys: list[tuple]):
-        box = np.stack([rows[c][s.rows] for c in ("x1", "y1", "x2", "y2")], axis=1)
+        box = rows.box[s.rows]
         at = np.searchsorted(s.row_group, t.g)
         nis = np.full(len(s.rows), np.nan)
         if len(t):
@@ -67,7 +67,7 @@ def kalman_smooth(tracks: DataFrame, filter: str = "ukf", velocity_clip: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from BlockRunner(_Smoother(kind, velocity_clip, kernel_sigma), keys, {}).run(batches)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "frame_id").mapInArrow(run, DDL)
+    return by_key(rows, keys, ["frame_id"]).mapInArrow(run, DDL)
 
 
 def ema(df: DataFrame, alpha: float, keys: list[str], order: list[str], value: str, name: str = "ema",

@@ -239,11 +239,11 @@ def t09(spark, sf):
 
 @query("t11_ema", f"""WITH {fx.SHORT_CTE}, o AS (SELECT slot_id, track_id, list(confidence ORDER BY frame_id) AS v, list(frame_id ORDER BY frame_id) AS f FROM st GROUP BY slot_id, track_id),
 i AS (SELECT slot_id, track_id, f, v, unnest(range(1, len(v) + 1)) AS n FROM o)
-SELECT slot_id, track_id, f[n] AS frame_id, round(list_reduce(v[1:n], lambda a, b: 85e-2 * b + 15e-2 * a), 6) AS ema FROM i""")
+SELECT slot_id, track_id, f[n] AS frame_id, round(list_reduce(v[1:n], lambda a, b: 85e-2 * b + 15e-2 * a) + 1e-11, 9) AS ema FROM i""")
 def t11(spark, sf):
     t = fx.short_tracks(spark, sf).select("slot_id", "track_id", "frame_id", "confidence")
     out = smooth.ema(t, 0.85, ["slot_id", "track_id"], ["frame_id"], "confidence", piece=3)
-    return out.select("slot_id", "track_id", "frame_id", F.round("ema", 6).alias("ema"))
+    return out.select("slot_id", "track_id", "frame_id", F.round(F.col("ema") + 1e-11, 9).alias("ema"))
 
 
 @query("t12_embedding_ema", f"""WITH {EMB_CTE}, g AS (SELECT vec_id % 20 AS track_id, list(v ORDER BY vec_id) AS vs FROM e GROUP BY 1),

@@ -48,8 +48,7 @@ gx AS (SELECT {K}, list_reverse_sort(g)[1:2] AS g FROM gw)"""
 
 
 def with_gestures(spark, sf):
-    df = fx.keypoints(fx.detections(spark, sf))
-    return df.withColumn("gestures", gs.body_gestures(F.col("label"), F.col("keypoints"), box()))
+    return gs.with_body_gestures(fx.keypoints(fx.detections(spark, sf)))
 
 
 @query("g01_body_gestures", f"WITH {GESTURE_CTE} SELECT {K}, list_aggregate(list_transform(g, lambda z: z.code || ':' || z.side || ':' || z.p), 'string_agg', ',') AS gestures FROM gx WHERE len(g) > 0")
@@ -109,11 +108,11 @@ def g06(spark, sf):
 
 @query("g07_attribute_carry", f"""WITH RECURSIVE {fx.TRACK_LOG_CTE}, v AS (SELECT slot_id, track_id, frame_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM tl),
 o AS (SELECT *, row_number() OVER (PARTITION BY slot_id, track_id ORDER BY frame_id) AS k FROM v),
-w AS (SELECT slot_id, track_id, k, frame_id, CASE WHEN value IS NOT NULL THEN frame_id END AS at, value AS carried FROM o WHERE k = 1
-  UNION ALL SELECT o.slot_id, o.track_id, o.k, o.frame_id, CASE WHEN o.value IS NOT NULL AND (w.at IS NULL OR o.frame_id - w.at >= 500) THEN o.frame_id ELSE w.at END,
-    CASE WHEN o.value IS NOT NULL AND (w.at IS NULL OR o.frame_id - w.at >= 500) THEN o.value ELSE w.carried END
+w AS (SELECT slot_id, track_id, k, frame_id, CASE WHEN value IS NOT NULL THEN frame_id END AS fa, value AS carried FROM o WHERE k = 1
+  UNION ALL SELECT o.slot_id, o.track_id, o.k, o.frame_id, CASE WHEN o.value IS NOT NULL AND (w.fa IS NULL OR o.frame_id - w.fa >= 500) THEN o.frame_id ELSE w.fa END,
+    CASE WHEN o.value IS NOT NULL AND (w.fa IS NULL OR o.frame_id - w.fa >= 500) THEN o.value ELSE w.carried END
   FROM w JOIN o ON o.slot_id = w.slot_id AND o.track_id = w.track_id AND o.k = w.k + 1)
-SELECT slot_id, track_id, frame_id, coalesce(at = frame_id, false) AS refreshed, carried FROM w""")
+SELECT slot_id, track_id, frame_id, coalesce(fa = frame_id, false) AS refreshed, carried FROM w""")
 def g07(spark, sf):
     log = fx.track_log(spark, sf).withColumn("value", F.when(F.col("event_type") != "error", F.col("value")))
     return attr_carry(log, 500, "value").select("slot_id", "track_id", "frame_id", "refreshed", "carried")

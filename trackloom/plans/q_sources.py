@@ -241,11 +241,11 @@ def w03(spark, sf):
     return out.select("slot_id", "track_id", "frame_id")
 
 
-@query("w04_stream_health", f"""WITH {fx.TRACK_LOG_CTE} SELECT slot_id, frame_id, round(avg(value / 1e2) OVER w, 6) AS recent_mean,
+@query("w04_stream_health", f"""WITH {fx.TRACK_LOG_CTE} SELECT slot_id, frame_id, round(avg(value / 1e2) OVER w + 1e-11, 9) AS recent_mean,
   row_number() OVER (PARTITION BY slot_id ORDER BY frame_id) < 90 OR avg(value / 1e2) OVER w >= 35e-2 AS healthy FROM tl WINDOW w AS (PARTITION BY slot_id ORDER BY frame_id ROWS BETWEEN 89 PRECEDING AND CURRENT ROW)""")
 def w04(spark, sf):
     per = event_stream(spark, sf).select("slot_id", "frame_id", (F.col("value") / 100.0).alias("mean_conf"))
-    return rn.run_available(st.stream_health(per), "health").select("slot_id", "frame_id", F.round("recent_mean", 6).alias("recent_mean"), "healthy")
+    return rn.run_available(st.stream_health(per), "health").select("slot_id", "frame_id", F.round(F.col("recent_mean") + 1e-11, 9).alias("recent_mean"), "healthy")
 
 
 @query("w05_stream_stateless", kept_sql(FRAME_CTE, "sf", "confidence DESC", "CASE r.label WHEN 'person' THEN 55e-2 WHEN 'rectangle' THEN 30e-2 END", True)

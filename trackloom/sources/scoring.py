@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..operators.fold import ordered_fold
+
 SCORED_DDL = ("slot_id int, frame_id bigint, ts double, det_idx int, class_id int, label string, "
               "confidence double, x1 double, y1 double, x2 double, y2 double")
 
@@ -38,9 +40,16 @@ def score_frames(frames: DataFrame, loader: Callable[[], Callable], conf: float
 
 
 def process_frames(det: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A user's processor: detections of one frame in, detections of that frame out."""
+    """A user's processor: detections of one frame in, detections of that frame out.
+
+    Frames are walked inside sorted partitions; a frame cut by the end of a batch waits for the next.
+    """
+    keys = ["slot_id", "frame_id"]
+
+    def step(state, rows: pd.DataFrame):
+        return (state or []) + [rows], None
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(pdf.sort_values("det_idx"))
+    def finish(state) -> pd.DataFrame:
+        return fn(pd.concat(state, ignore_index=True) if len(state) > 1 else state[0].reset_index(drop=True))
 
-    return det.groupBy("slot_id", "frame_id").applyInPandas(run, schema)
+    return ordered_fold(det, keys, ["det_idx"], step, schema, finish)
