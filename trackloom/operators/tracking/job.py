@@ -126,8 +126,10 @@ def track(det: DataFrame, frames: DataFrame | None = None, cfg: TrackerConfig =
     """
     extras = tuple(c for c in LISTS if c in det.columns)
     auto = cfg.filter == "auto"
+    split = split_sessions and not auto
+    # a fold over several sessions has to see the frame in which the last tracks of each one expire
     rows = fold_input(det, frames, cfg, candidates if cfg.redetect else None, not auto, extras, bucket,
-                      split_sessions and not auto)
+                      split, linger=0 if split else 1)
     ddl = ", ".join([BASE_DDL, *[EXTRA_DDL[c] for c in extras if c in EXTRA_DDL]])
     done = cut_lineage(fold_sessions(rows, lambda: Tracker(cfg, extras, SESSION), ddl, LABELS))
     return number_tracks(done, bucket).filter(F.col("hits") >= cfg.min_hits)
