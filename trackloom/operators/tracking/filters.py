@@ -41,7 +41,7 @@ def corners(x: np.ndarray) -> np.ndarray:
     out = np.empty((len(x), 4))
     out[:, :2] = x[:, :2] - half
     out[:, 2:] = x[:, :2] + half
-    return np.clip(out, 0.0, 1.0, out=out)
+    return np.minimum(np.maximum(out, 0.0, out=out), 1.0, out=out)
 
 
 def _diag(p: np.ndarray) -> np.ndarray:
@@ -68,18 +68,17 @@ def _add_noise(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _limit_state(x: np.ndarray, clip: float) -> None:
-    np.clip(x[:, 4:], -clip, clip, out=x[:, 4:])
-    np.clip(x[:, 2:4], 1e-5, 1.0, out=x[:, 2:4])
+    v, size = x[:, 4:], x[:, 2:4]
+    np.minimum(np.maximum(v, -clip, out=v), clip, out=v)
+    np.minimum(np.maximum(size, 1e-5, out=size), 1.0, out=size)
 
 
 def _limit_variance(p: np.ndarray) -> np.ndarray:
     """Cut variances above their limits, rows and columns alike; changes ``p``."""
     d = _diag(p)
-    over = d > P_MAX
-    if over.any():
-        k = np.flatnonzero(over.any(axis=1))
-        s = np.sqrt(np.where(over[k], P_MAX / np.where(over[k], d[k], 1.0), 1.0))
-        p[k] *= s[:, :, None] * s[:, None, :]
+    s = np.sqrt(P_MAX / np.maximum(d, P_MAX))
+    p *= s[:, :, None]
+    p *= s[:, None, :]
     np.maximum(d, 1e-8, out=d)
     return p
 
@@ -120,11 +119,12 @@ def _spread(x: np.ndarray, root: np.ndarray) -> np.ndarray:
 
 
 def _points(x, p, manifold: bool):
+    """Covariance in use, points and failures; may change ``p``, which callers replace anyway."""
     if manifold:
         lam, vec = np.linalg.eigh((p + p.transpose(0, 2, 1)) * 0.5)
         root = (vec * np.sqrt(np.maximum(lam, 1e-8))[:, None, :]) @ vec.transpose(0, 2, 1)
         return p, _spread(x, root), np.zeros(len(x), dtype=bool)
-    p, low, failed = _root(_limit_variance(p.copy()))
+    p, low, failed = _root(_limit_variance(p))
     return p, _spread(x, low), failed
 
 
