@@ -153,10 +153,10 @@ def l08c(spark, sf):
     return lc.target_states(numbered(spark, sf)).groupBy("slot_id", "state").agg(F.count("*").alias("n"))
 
 
-RECON_SQL = f"""{fx.TRACK_LOG_CTE}, cut AS (SELECT slot_id, CAST(max(frame_id) * 9 / 10 AS BIGINT) AS f FROM tl GROUP BY slot_id),
-op AS (SELECT t.slot_id, t.track_id, max(t.us) / 1e6 AS last_seen FROM tl t JOIN cut ON cut.slot_id = t.slot_id AND t.frame_id <= cut.f GROUP BY t.slot_id, t.track_id),
-og AS (SELECT *, CASE WHEN track_id % 3 = 0 THEN 'LOST' WHEN track_id % 7 = 0 THEN 'LOCKED' ELSE 'ACTIVE' END AS state FROM op WHERE track_id % 5 <> 0),
-nx AS (SELECT t.slot_id, t.track_id, max(t.us) OVER (PARTITION BY t.slot_id) / 1e6 AS ts FROM tl t JOIN cut ON cut.slot_id = t.slot_id AND t.frame_id > cut.f AND t.frame_id <= cut.f + 100),
+RECON_SQL = f"""{fx.TRACK_LOG_CTE}, cut AS (SELECT slot_id, CAST(floor(max(frame_id) * 99 / 1e2) AS BIGINT) AS f FROM tl GROUP BY slot_id),
+op AS (SELECT t.slot_id, t.track_id, max(t.us) / 1e6 AS last_seen, arg_max(t.event_type, t.frame_id) AS le FROM tl t JOIN cut ON cut.slot_id = t.slot_id AND t.frame_id <= cut.f GROUP BY t.slot_id, t.track_id),
+og AS (SELECT *, CASE WHEN track_id % 3 = 0 THEN 'LOST' WHEN track_id % 7 = 0 THEN 'LOCKED' ELSE 'ACTIVE' END AS state FROM op WHERE le <> 'error'),
+nx AS (SELECT t.slot_id, t.track_id, max(t.us) OVER (PARTITION BY t.slot_id) / 1e6 AS ts FROM tl t JOIN cut ON cut.slot_id = t.slot_id AND t.frame_id > cut.f),
 nw AS (SELECT DISTINCT slot_id, track_id, ts FROM nx), nn AS (SELECT slot_id, max(ts) AS now FROM nw GROUP BY slot_id),
 j AS (SELECT coalesce(n.slot_id, o.slot_id) AS slot_id, coalesce(n.track_id, o.track_id) AS track_id, n.ts, o.state, o.last_seen FROM nw n FULL OUTER JOIN og o ON o.slot_id = n.slot_id AND o.track_id = n.track_id)
 SELECT j.slot_id, track_id, CASE WHEN ts IS NOT NULL AND state IS NULL THEN 'created' WHEN ts IS NOT NULL AND state = 'ACTIVE' THEN 'updated' WHEN ts IS NOT NULL AND state = 'LOST' THEN 'recovered'
@@ -166,12 +166,12 @@ SELECT j.slot_id, track_id, CASE WHEN ts IS NOT NULL AND state IS NULL THEN 'cre
 @query("j06_reconcile", f"WITH {RECON_SQL}")
 def j06(spark, sf):
     log = fx.track_log(spark, sf)
-    cut = log.groupBy("slot_id").agg((F.max("frame_id") * 9 / 10).alias("c")).select("slot_id", F.round("c").cast("long").alias("f"))
+    cut = log.groupBy("slot_id").agg(F.floor(F.max("frame_id") * 99 / 100.0).cast("long").alias("f"))
     j = log.join(cut, "slot_id")
     state = F.when(F.col("track_id") % 3 == 0, "LOST").when(F.col("track_id") % 7 == 0, "LOCKED").otherwise("ACTIVE")
-    open_ = (j.filter("frame_id <= f").groupBy("slot_id", "track_id").agg(F.max("ts").alias("last_seen"))
-             .filter("track_id % 5 <> 0").withColumn("state", state))
-    now = j.filter("frame_id > f AND frame_id <= f + 100")
+    open_ = (j.filter("frame_id <= f").groupBy("slot_id", "track_id").agg(F.max("ts").alias("last_seen"), F.max_by("event_type", "frame_id").alias("last"))
+             .filter("last <> 'error'").drop("last").withColumn("state", state))
+    now = j.filter("frame_id > f")
     last = now.groupBy("slot_id").agg(F.max("ts").alias("ts"))
     frame = now.select("slot_id", "track_id").distinct().join(last, "slot_id")
     return jn.reconcile(frame, open_, fx.STALE_S, fx.REMOVAL_S).select("slot_id", "track_id", "action")
