@@ -22,5 +22,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import curriculum, quality  # noqa: F401
+    from . import curriculum, fingerprint, quality  # noqa: F401
     return dict(QUERIES), dict(ORACLE)
