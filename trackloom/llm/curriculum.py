@@ -82,23 +82,26 @@ def _key(source: str) -> Column:
 
 
 def plan(docs: DataFrame, schedules: tuple[Schedule, ...] = SCHEDULES, most: int = MOST_PASSES,
-         rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """``row`` (the document) with its size, source_size, target, and ``passes``: an array of (position, words)."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("_source"), _key("source").alias("_key"),
+         rows_per_bucket: int = ROWS_PER_BUCKET, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the document) with its size, source_size, target, and ``passes``: an array of (position, words).
+
+    ``carry`` names the columns that ``row`` takes along; all of them if not given.
+    """
+    rows = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col("source").alias("_source"), _key("source").alias("_key"),
                        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_order"),
                        F.col("doc_id").alias("_id"), F.regexp_count(body(), F.lit(WORD)).cast("long").alias("size"))
-    sizes = rows.groupBy("_key").agg(F.first("_source").alias("_source"), F.sum("size").alias("source_size"),
-                                     F.count(F.lit(1)).alias("_rows"))
+    sizes = rows.groupBy("_key", "_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     known = targets(sizes, schedules, most)
     bits = F.least(F.ceil(F.log2(F.greatest(F.col("_rows") / rows_per_bucket, F.lit(1.0)))), F.lit(BUCKET_BITS)).cast("int")
     high = F.conv(F.substring("_order", 1, BUCKET_BITS // 4), 16, 10).cast("long")
     rows = rows.join(known, "_key").withColumn("_bucket", F.floor(high / F.pow(F.lit(2.0), BUCKET_BITS - bits)))
-    place = ["_key", "_bucket"]
-    starts = rows.groupBy(*place).agg(F.sum("size").alias("_sum"))
+    # one column for both, so that rows are never dealt out by the source alone
+    rows = rows.withColumn("_place", F.concat_ws(":", "_bucket", "_key"))
+    starts = rows.groupBy("_place", "_key", "_bucket").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select(*place, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*place).orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, place)
+    starts = starts.select("_place", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_place").orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, "_place")
     goal = F.floor("target")
 
     def one(e: int) -> Column:
@@ -166,5 +169,5 @@ FROM p
 
 @query("op4_source_mix", ORACLE_SQL)
 def op4_source_mix(spark, sf_dir: str) -> DataFrame:
-    return by_position(plan(documents(spark, sf_dir))).select(
+    return by_position(plan(documents(spark, sf_dir), carry=["doc_id"])).select(
         "row.doc_id", "size", "source_size", "target", taken().alias("taken"))
