@@ -1,6 +1,6 @@
 """A gap-weighted subsequence kernel on words, and a support vector machine on its Nyström features.
 
-A word is seen as its letter triples in order, up to ``SPAN`` places apart; a triple that spans s places weighs
+A word is seen as its symbol triples in order (letters, a mark for its start, a mark after an accented letter), up to ``SPAN`` places apart; a triple that spans s places weighs
 ``DECAY ** s``, so inserted characters weaken a match and do not break it. The kernel of two words is the product of
 their triple weights, each word scaled by the length of its own. Because the kernel is an inner product, a machine on
 landmarks folds into one table of triple weights, and a word is scored by looking its triples up.
@@ -12,28 +12,54 @@ import unicodedata
 
 import numpy as np
 
-LETTERS, SPAN, DECAY = 26, 7, 0.6
+ACCENT, START = "{", "|"  # they follow the letters in ASCII
+LETTERS, SPAN, DECAY = 28, 7, 0.6
 PIECE, STRIDE = 24, 12
 SIZE = LETTERS ** 3
 STEPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
-FOLD = {"ß": "s", "ø": "o", "æ": "a", "œ": "o", "đ": "d", "ł": "l", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
 
-def letters(word: str) -> np.ndarray:
-    """Places of a word: 0..25 for a letter (accents and look-alikes folded), -1 for anything else; the ends trimmed."""
-    inner = word.casefold().strip(".,;:!?\"'()[]{}<>|*#%&$-_=+/\\~`")
-    plain = "".join(FOLD.get(c, c) for c in inner)
-    if not plain.isascii():
-        plain = "".join(FOLD.get(c, c) for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
-    codes = np.frombuffer(plain.encode("ascii", "replace"), np.uint8).astype(np.int16) - 97
-    return np.where((codes >= 0) & (codes < LETTERS), codes, -1).astype(np.int16)
-
-
-def pieces(codes: np.ndarray) -> list[np.ndarray]:
-    """A long word as overlapping pieces."""
-    if len(codes) <= PIECE:
-        return [codes]
-    return [codes[i:i + PIECE] for i in range(0, len(codes) - PIECE + STRIDE, STRIDE)]
+def _folding() -> dict[int, str | None]:
+    """Accented Latin letters to their base and a mark, combining marks to the mark, look-alike digits to letters."""
+    table: dict[int, str | None] = {c: ACCENT for c in range(0x300, 0x370)}
+    for c in range(0xC0, 0x250):
+        base = unicodedata.normalize("NFKD", chr(c).lower())[0]
+        if base.isascii() and base.isalpha():
+            table[c] = base + ACCENT
+    return table | str.maketrans("ßøæœđł013457{|", "soaodloieast##")
+
+
+FOLD = _folding()
+
+
+def encoded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All symbols as numbers (anything else -1), and where each word starts and ends; words hold no white space."""
+    text = "\n".join(words).lower().translate(FOLD).replace("\n", "\n" + START)
+    raw = np.frombuffer((START + text + "\n").encode("ascii", "replace"), np.uint8)
+    ends = np.flatnonzero(raw == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    codes = raw.astype(np.int16) - 97
+    return np.where((codes >= 0) & (codes < LETTERS), codes, -1).astype(np.int16), starts, ends
+
+
+def _blocks(words: list[str], most: int = 4096):
+    """Padded blocks of words of like length with the numbers of their words; a long word has overlapping pieces."""
+    if not words:
+        return
+    codes, starts, ends = encoded(words)
+    owner = np.arange(len(words))
+    long = np.flatnonzero(ends - starts > PIECE)
+    if len(long):
+        more = [(i, p, min(p + PIECE, ends[i])) for i in long for p in range(starts[i], ends[i] - PIECE + STRIDE, STRIDE)]
+        short = ends - starts <= PIECE
+        owner = np.concatenate([owner[short], [m[0] for m in more]])
+        starts, ends = np.concatenate([starts[short], [m[1] for m in more]]), np.concatenate([ends[short], [m[2] for m in more]])
+    order = np.argsort(ends - starts, kind="stable")
+    for s in range(0, len(order), most):
+        part = order[s:s + most]
+        width = max(3, int((ends - starts)[part[-1]]))
+        at = starts[part][:, None] + np.arange(width)
+        yield owner[part], np.where(at < ends[part][:, None], codes[np.minimum(at, len(codes) - 1)], np.int16(-1))
 
 
 def _triples(block: np.ndarray):
@@ -47,21 +73,10 @@ def _triples(block: np.ndarray):
         yield np.where(there, (a.astype(np.int32) * LETTERS + b) * LETTERS + c, 0), there * np.float32(DECAY ** (k + 1))
 
 
-def _blocks(words: list[np.ndarray], most: int = 4096):
-    """Padded blocks of words of like length, with the places of their words."""
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for s in range(0, len(order), most):
-        part = order[s:s + most]
-        block = np.full((len(part), max(3, len(words[part[-1]]))), -1, np.int16)
-        for r, i in enumerate(part):
-            block[r, :len(words[i])] = words[i]
-        yield part, block
-
-
-def features(words: list[np.ndarray]) -> np.ndarray:
-    """The scaled triple weights of each word, written out; for few words."""
+def features(words: list[str]) -> np.ndarray:
+    """The scaled triple weights of each word of ``PIECE`` letters at most, written out; for few words."""
     out = np.zeros((len(words), SIZE), np.float32)
-    for part, block in _blocks(words):
+    for part, block in _blocks(words, 256):
         own = np.zeros((len(part), SIZE), np.float32)
         norm = np.zeros(len(part), np.float32)
         rows = np.arange(len(part))[:, None]
@@ -72,20 +87,15 @@ def features(words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def scores(words: list[np.ndarray], table: np.ndarray, bias: float) -> np.ndarray:
+def scores(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
     """Margins of words by the folded table; a long word has that of its best piece."""
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        for p in pieces(w):
-            parts.append(p)
-            owner.append(i)
     out = np.full(len(words), -np.inf, np.float32)
-    for part, block in _blocks(parts):
+    for part, block in _blocks(words):
         total, norm = np.zeros(len(part), np.float32), np.zeros(len(part), np.float32)
         for at, w in _triples(block):
-            total += (table[at] * w).sum(1)
-            norm += (w * w).sum(1)
-        np.maximum.at(out, np.asarray(owner)[part], total / np.sqrt(np.maximum(norm, 1e-12)) + bias)
+            total += np.einsum("ij,ij->i", table[at], w)
+            norm += np.einsum("ij,ij->i", w, w)
+        np.maximum.at(out, part, total / np.sqrt(np.maximum(norm, 1e-12)) + bias)
     return out
 
 

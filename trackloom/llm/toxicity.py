@@ -16,6 +16,7 @@ keeps the columns of its input. Empty input gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,8 +31,9 @@ from .registry import query
 from .text import documents
 
 SAMPLE = 4000  # labelled rows of each label that are learned from
-TELLING, PLAIN, LANDMARKS, NAMED = 2000, 4000, 200, 20
-LIMIT, LOWEST = 0.3, -3.0
+TELLING, PLAIN, HARD, LANDMARKS, NAMED = 1000, 2000, 1000, 200, 20
+LIMIT, LOWEST, STRONG = 0.3, -3.0, 0.9
+PUNCTUATION = ".,;:!?\"'()[]{}<>|*#%&$-_=+/\\~`"
 RUN = 4  # so many single letters in a row are one word
 
 
@@ -53,19 +55,14 @@ def text_words(text: str | None) -> list[str]:
     return ws + spelled(ws) if sum(len(w) == 1 for w in ws) >= RUN else ws
 
 
-def _plain(word: str) -> str:
-    return "".join(chr(97 + c) if c >= 0 else "_" for c in sk.letters(word))
-
-
 @dataclass
 class Model:
     table: np.ndarray | None
     bias: float
-    slope: float
-    offset: float
+    curve: list[float]  # weights of the traits and an offset
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
+    def probability(self, traits: list[list[float]]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.array(traits).reshape(-1, len(self.curve) - 1) @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
 class Margins(dict):
@@ -81,7 +78,14 @@ class Margins(dict):
             self.clear()
             new = list(words)
         if new:
-            self.update(zip(new, sk.scores([sk.letters(w) for w in new], self.table, self.bias).tolist()))
+            self.update(zip(new, sk.scores(new, self.table, self.bias).tolist()))
+
+
+def _traits(margin: list[float]) -> list[float]:
+    """The three largest margins; the numbers of words on the toxic side, of those beyond the margin (almost), and of all, as logarithms."""
+    top = sorted(margin, reverse=True)[:3] if len(margin) < 64 else heapq.nlargest(3, margin)
+    top = [max(LOWEST, m) for m in top] + [LOWEST] * (3 - len(top))
+    return [*top, math.log1p(sum(m > 0 for m in margin)), math.log1p(sum(m > STRONG for m in margin)), math.log1p(len(margin))]
 
 
 def _margins(table: np.ndarray, bias: float):
@@ -96,34 +100,40 @@ def _margins(table: np.ndarray, bias: float):
                     some.update(docs[end])
                     end += 1
                 known.learn(some)
-                out += [max(LOWEST, max(map(known.__getitem__, d), default=LOWEST)) for d in docs[at:end]]
+                out += [_traits([known[w] for w in d]) for d in docs[at:end]]
                 at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "margin"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "traits"])
     return run
 
 
 def margins(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_margins(model.table, model.bias), f"doc_id {kind}, margin double")
+    return docs.select("doc_id", "text").mapInArrow(_margins(model.table, model.bias), f"doc_id {kind}, traits array<double>")
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(d, y, w) for d, t, y in zip(*(c.to_pylist() for c in batch.columns))
-                for w in {_plain(x) for x in text_words(t)} if 3 <= len(w) <= sk.PIECE]
+                for w in {x.strip(PUNCTUATION) for x in text_words((t or "").lower())} if 3 <= len(w) <= sk.PIECE]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))],
                                          ["d", "y", "w"])
 
 
-def _logistic(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    x = np.stack([m, np.ones_like(m)], 1)
-    w = np.zeros(2)
+def _word_margins(table: np.ndarray, bias: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sk.scores(batch.column(0).to_pylist(), table, bias), pa.float64())], ["w", "m"])
+    return run
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, ridge = np.zeros(x.shape[1]), 0.1 * np.eye(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + 1e-3 * w
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        w = w - np.linalg.solve(h, g)
-    return float(w[0]), float(w[1])
+        g = x.T @ (weight * (p - y)) + ridge @ w
+        w = w - np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, g)
+    return w.tolist()
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 3) -> Model:
@@ -132,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
     share = {r.toxic: r["n"] for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = share.get(1, 0), share.get(0, 0)
     base = n1 / max(1, n0 + n1)
-    flat = Model(None, 0.0, 0.0, math.log(max(base, 1e-13) / max(1 - base, 1e-13)))
+    flat = Model(None, 0.0, [0.0] * 6 + [math.log(max(base, 1e-13) / max(1 - base, 1e-13))])
     if not n0 or not n1:
         return flat
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -150,61 +160,65 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
         near = Window.partitionBy("d").orderBy(F.desc("z"), "w")
         named = bags.filter("y = 1").join(telling, "w").withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= NAMED)
         named = named.select("d", "w", "z").orderBy("d", F.desc("z"), "w").collect()  # sample * NAMED rows at most
-        plain = [r.w for r in clean.collect()]
+        plain = {r.w for r in clean.collect()}
+        if not named or not plain:
+            return flat
+        words = sorted({r.w for r in named})
+        place, rank = {w: i for i, w in enumerate(words)}, np.zeros(len(words))
+        own: dict[int, list[int]] = {}
+        for r in named:
+            own.setdefault(r.d, []).append(place[r.w])
+            rank[place[r.w]] = r.z
+        seen = sk.features(words)
+        for turn in range(rounds):
+            count = np.zeros(len(words))
+            for ws in own.values():
+                top = max(rank[i] for i in ws)
+                for i in ws:
+                    count[i] += rank[i] >= top / 2 if top > 0 else rank[i] == top
+            on = np.flatnonzero(count)
+            top = on[np.argsort(-count[on], kind="stable")][:LANDMARKS]
+            others = sorted(plain - {words[i] for i in on})
+            against = sk.features(others)
+            marks = np.vstack([seen[top], against[np.linspace(0, len(others) - 1, min(LANDMARKS, len(others))).astype(int)]])
+            y = np.concatenate([np.ones(len(on)), -np.ones(len(others))])
+            strength = np.sqrt(count[on])
+            weight = np.concatenate([strength / strength.sum(), np.full(len(others), 1 / len(others))]) * len(y) / 2
+            table, bias = sk.nystroem_table(marks, np.vstack([seen[on], against]), y, weight)
+            rank = seen @ table + bias
+            if turn < rounds - 1:  # clean words that the machine takes for toxic join the clean side
+                hard = df.filter("a = 0 OR z <= 0").select("w").mapInArrow(_word_margins(table, bias), "w string, m double")
+                plain |= {r.w for r in hard.orderBy(F.desc("m"), "w").limit(HARD).collect()}
     finally:
         bags.unpersist()
-    if not named or not plain:
-        return flat
-    words = sorted({r.w for r in named})
-    place = {w: i for i, w in enumerate(words)}
-    seen = sk.features([sk.letters(w) for w in words])
-    own: dict[int, list[int]] = {}
-    for r in named:
-        own.setdefault(r.d, []).append(place[r.w])
-    rank = np.zeros(len(words))
-    for r in named:
-        rank[place[r.w]] = r.z
-    against = sk.features([sk.letters(w) for w in plain])
-    table, bias = None, 0.0
-    for _ in range(rounds):
-        count = np.zeros(len(words))
-        for ws in own.values():
-            count[max(ws, key=lambda i: (rank[i], -i))] += 1
-        on = np.flatnonzero(count)
-        top = on[np.argsort(-count[on], kind="stable")][:LANDMARKS]
-        marks = np.vstack([seen[top], against[:LANDMARKS // 2], against[len(against) // 2:][:LANDMARKS // 2]])
-        y = np.concatenate([np.ones(len(on)), -np.ones(len(against))])
-        strength = np.sqrt(count[on])
-        weight = np.concatenate([strength / strength.sum(), np.full(len(against), 1 / len(against))]) * len(y) / 2
-        table, bias = sk.nystroem_table(marks, np.vstack([seen[on], against]), y, weight)
-        rank = seen @ table + bias
-    model = Model(table, bias, 1.0, 0.0)
-    fit = margins(rows.select("doc_id", "text"), model).join(chosen, "doc_id").select("margin", "toxic").collect()  # 2 * sample rows at most
+    model = Model(table, bias, [])
+    fit = margins(rows.select("doc_id", "text"), model).join(chosen, "doc_id").select("traits", "toxic").collect()  # 2 * sample rows at most
     y = np.array([r.toxic for r in fit], float)
     weight = np.where(y > 0, n1 / max(1, y.sum()), n0 / max(1, (1 - y).sum()))
-    model.slope, model.offset = _logistic(np.array([r.margin for r in fit]), y, weight / weight.sum() * len(y))
+    model.curve = _logistic(np.array([r.traits for r in fit]), y, weight / weight.sum() * len(y))
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
     if model.table is None:
-        return docs.select("doc_id", F.lit(float(model.probability(np.zeros(1))[0])).alias("score"))
-    p = 1 / (1 + F.exp(-(F.col("margin") * model.slope + model.offset)))
+        return docs.select("doc_id", F.lit(float(model.probability([[0.0] * 6])[0])).alias("score"))
+    linear = sum((F.get("traits", i) * w for i, w in enumerate(model.curve[:-1])), F.lit(model.curve[-1]))
+    p = 1 / (1 + F.exp(-linear))
     return margins(docs, model).select("doc_id", p.alias("score"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
     """The rows of ``docs`` scored below ``limit``, with all their columns; rows are judged where they are read."""
     if model.table is None:
-        return docs if model.probability(np.zeros(1))[0] < limit else docs.limit(0)
+        return docs if model.probability([[0.0] * 6])[0] < limit else docs.limit(0)
 
     @F.pandas_udf("boolean")
     def clean(texts: "pd.Series") -> "pd.Series":  # noqa: F821
         import pandas as pd
         batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([None if pd.isna(t) else t for t in texts], pa.string())], ["doc_id", "text"])
         got = next(_margins(model.table, model.bias)(iter([batch])))
-        return pd.Series(model.probability(got.column(1).to_numpy()) < limit)
+        return pd.Series(model.probability(got.column(1).to_pylist()) < limit)
 
     return docs.filter(clean("text"))
 
