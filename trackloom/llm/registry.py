@@ -22,5 +22,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import curriculum, fingerprint, neardup, quality, secrets, toxicity  # noqa: F401
+    from . import curriculum, fingerprint, neardup, packing, quality, secrets, toxicity  # noqa: F401
     return dict(QUERIES), dict(ORACLE)
