@@ -22,5 +22,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import curriculum, fingerprint, htmltext, neardup, packing, quality, secrets, substring, toxicity  # noqa: F401
+    from . import curriculum, edits, fingerprint, htmltext, neardup, packing, quality, secrets, substring, toxicity  # noqa: F401
     return dict(QUERIES), dict(ORACLE)
