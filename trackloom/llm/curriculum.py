@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.materialize import cut_lineage
+
 from .registry import query
 from .text import WORD, body, documents
 
@@ -53,6 +55,7 @@ class Schedule:
 SCHEDULES = (Schedule(5), Schedule(2, ((0.0, 0.5), (1.0, 1.5))), Schedule(1, ((0.0, 1.5), (0.6, 1.0), (1.0, 0.25))))
 MOST_PASSES = 3
 ROWS_PER_BUCKET = 256
+MOST_BROADCAST = 50_000  # sources whose targets go to every task; more are joined by a shuffle
 
 
 def targets(sizes: DataFrame, schedules: tuple[Schedule, ...] = SCHEDULES, most: int = MOST_PASSES) -> DataFrame:
@@ -91,7 +94,10 @@ def plan(docs: DataFrame, schedules: tuple[Schedule, ...] = SCHEDULES, most: int
                        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_order"),
                        F.col("doc_id").alias("_id"), F.regexp_count(body(), F.lit(WORD)).cast("long").alias("size"))
     sizes = rows.groupBy("_key", "_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    sizes = cut_lineage(sizes)
     known = targets(sizes, schedules, most)
+    if sizes.count() <= MOST_BROADCAST:
+        known = F.broadcast(known)
     bits = F.least(F.ceil(F.log2(F.greatest(F.col("_rows") / rows_per_bucket, F.lit(1.0)))), F.lit(BUCKET_BITS)).cast("int")
     high = F.conv(F.substring("_order", 1, BUCKET_BITS // 4), 16, 10).cast("long")
     rows = rows.join(known, "_key").withColumn("_bucket", F.floor(high / F.pow(F.lit(2.0), BUCKET_BITS - bits)))

@@ -88,20 +88,24 @@ def _traits(margin: list[float]) -> list[float]:
     return [*top, math.log1p(sum(m > 0 for m in margin)), math.log1p(sum(m > STRONG for m in margin)), math.log1p(len(margin))]
 
 
+def _traits_of(texts: list[str | None], known: Margins) -> Iterator[list[list[float]]]:
+    """Traits of the texts, some at a time, so that no more than so many new words are met at once."""
+    docs, at = [text_words(t) for t in texts], 0
+    while at < len(docs):
+        some, end = set(), at
+        while end < len(docs) and len(some) < 1 << 18:
+            some.update(docs[end])
+            end += 1
+        known.learn(some)
+        yield [_traits([known[w] for w in d]) for d in docs[at:end]]
+        at = end
+
+
 def _margins(table: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Margins(table, bias)
         for batch in batches:
-            docs = [text_words(t) for t in batch.column(1).to_pylist()]
-            out, at = [], 0
-            while at < len(docs):
-                some, end = set(), at
-                while end < len(docs) and len(some) < 1 << 18:
-                    some.update(docs[end])
-                    end += 1
-                known.learn(some)
-                out += [_traits([known[w] for w in d]) for d in docs[at:end]]
-                at = end
+            out = [t for part in _traits_of(batch.column(1).to_pylist(), known) for t in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "traits"])
     return run
 
@@ -213,14 +217,13 @@ def drop_toxic(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame
     if model.table is None:
         return docs if model.probability([[0.0] * 6])[0] < limit else docs.limit(0)
 
-    @F.pandas_udf("boolean")
-    def clean(texts: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([None if pd.isna(t) else t for t in texts], pa.string())], ["doc_id", "text"])
-        got = next(_margins(model.table, model.bias)(iter([batch])))
-        return pd.Series(model.probability(got.column(1).to_pylist()) < limit)
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Margins(model.table, model.bias)
+        for batch in batches:
+            traits = [t for b in _traits_of(batch.column("text").to_pylist(), known) for t in b]
+            yield batch.filter(pa.array(model.probability(traits) < limit, pa.bool_()))
 
-    return docs.filter(clean("text"))
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def may_learn() -> Column:
