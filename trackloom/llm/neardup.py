@@ -2,12 +2,15 @@
 
 1. A document's set of 5-word shingles (lower-cased A-Z) gives its size, a 128-bit identity, and band keys of its sketch.
 2. Documents of equal sets are one class, named by the smallest id; only classes go on.
-3. Classes that share a band key are a bucket. In each round a bucket's leaders are held against its members of other
-   components; pairs are verified on the full sets of both texts and verified links join components. A leader then
-   leaves the bucket. The first round has one leader, later rounds twice as many each time, taken from the bucket's
-   smallest components. Rounds end when every bucket lies in one component, so each pair of a bucket is either compared or
-   already connected: no cap, and no list of all pairs of a group of copies.
-4. Labels of classes go back to their documents.
+3. Classes that share a band key are a bucket. A bucket's smallest member is held against the others; pairs are verified on
+   the full sets of both texts and verified links join components. This connects groups of copies.
+4. Members of buckets that still hold several components meet again by rare shingles: two sets of this similarity share one
+   of the first quarter of their shingles in any common order, here the estimated rarity (a count-min table of fixed
+   size). So documents that have only a common passage in common part. In each round leaders of a shingle's bucket, taken
+   from its smallest components, are held against its members of other components and then leave it; there are twice as many
+   leaders in each round. Rounds end when every bucket lies in one component, so each pair is compared or already
+   connected: no cap, and no list of all pairs of a group of copies.
+5. Labels of classes go back to their documents.
 
 Null and empty texts have no shingles and are linked with nothing. Rows without an id take their class's component, or
 none, and are kept in the latter case. Rows that share an id are one vertex. Only id and text are read; ``deduplicate``
@@ -34,6 +37,7 @@ from .text import WordHashes, documents, shingle_hashes
 WIDTH = 5
 BANDS, ROWS = 24, 4  # a pair at 0.75 shares no band with probability 1e-4
 LINK, OF = 75, 100
+TABLE_BITS, SLICE_BITS = 21, 6
 
 
 def shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
@@ -91,6 +95,61 @@ def _in_size(n: str, m: str):
     return OF * F.least(n, m) >= LINK * F.greatest(n, m)
 
 
+def _mixed(left: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, id, n) of keys that hold several components, with the component and its number of rows there."""
+    known = left.join(labels.withColumnRenamed("v", "id"), "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    parts = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("_p")).filter("_p > 1").select("key")
+    return known.join(parts.join(mixed, "key", "left_semi"), ["key", "comp"])
+
+
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def rarity(texts: DataFrame) -> np.ndarray:
+    """A count-min table of fixed size: in how many of the texts a shingle of the cell occurs, up to 65,535."""
+    per = 1 << (TABLE_BITS - SLICE_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, table = WordHashes(), np.zeros(1 << TABLE_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(table, _cell(shingle_set(text, known)), 1)
+        table = np.minimum(table, 65535).astype("<u2")
+        used = [i for i in range(1 << SLICE_BITS) if table[i * per:(i + 1) * per].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([table[i * per:(i + 1) * per].tobytes() for i in used], pa.binary())], ["s", "t"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(per, np.int64)
+        for batch in batches:
+            for raw in batch.column("t").to_pylist():
+                total += np.frombuffer(raw, "<u2")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())], ["s", "t"])
+
+    out = np.zeros(1 << TABLE_BITS, np.uint16)
+    for r in texts.select("text").mapInArrow(count, "s int, t binary").groupBy("s").applyInArrow(add, "s int, t binary").collect():  # 2 << TABLE_BITS bytes
+        out[r.s * per:(r.s + 1) * per] = np.frombuffer(r.t, "<u2")
+    return out
+
+
+def _prefixes(table: np.ndarray):
+    """Of each text its rarest shingles: so many that a similar enough set must hold one of them among its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            sizes, keys = [], []
+            for text in batch.column(1).to_pylist():
+                s = shingle_set(text, known)
+                n = len(s) - -(-LINK * len(s) // OF) + 1 if len(s) else 0
+                keys.append(s[np.lexsort((s, table[_cell(s)]))[:n]].view(np.int64))
+                sizes.append(len(s))
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], ["id", "n", "keys"])
+    return run
+
+
 def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, comp) of the classes that are linked with another; ``classes``: id, n, bands."""
     keys = classes.select("id", "n", F.explode("bands").alias("key"))
@@ -103,22 +162,21 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = members.filter((F.col("id") != F.col("lead")) & _in_size("n", "lead_n")).select(F.col("lead").alias("a"), F.col("id").alias("b"))
     links = cut_lineage(_verified(pairs.distinct(), texts))
     labels = components(links)
-    left = members.filter("id <> lead").select("key", "id", "n")
-    leaders = 1
+    again = _mixed(members.filter("id <> lead").select("key", "id", "n"), labels).select("id").distinct()
+    again = texts.join(again, "id", "left_semi")
+    left = again.mapInArrow(_prefixes(rarity(again)), "id long, n long, keys array<long>").select("id", "n", F.explode("keys").alias("key"))
+    leaders = 2
     while True:
-        known = left.join(labels.withColumnRenamed("v", "id"), "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
-        parts = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("_p")).filter("_p > 1").select("key")
-        left = cut_lineage(known.join(mixed, "key", "left_semi").join(parts, ["key", "comp"]))
+        left = cut_lineage(_mixed(left, labels))
         if left.isEmpty():
             return labels.withColumnRenamed("v", "id")
         chosen = left.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("_s")).agg(F.min(F.struct("c", "id", "n", "comp")).alias("l"))
-        chosen = cut_lineage(chosen.select("key", F.col("l.id").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.comp").alias("lead_comp")))
+        chosen = chosen.select("key", F.col("l.id").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.comp").alias("lead_comp"))
         pairs = left.join(chosen, "key").filter((F.col("comp") != F.col("lead_comp")) & _in_size("n", "lead_n"))
         pairs = pairs.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
         found = cut_lineage(_verified(pairs, texts))
         if not found.isEmpty():
-            links = cut_lineage(links.union(found))
+            links = links.union(found)
             labels = components(links)
         left = left.select("key", "id", "n").join(chosen.select("key", F.col("lead").alias("id")), ["key", "id"], "left_anti")
         leaders *= 2
