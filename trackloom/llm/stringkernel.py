@@ -118,10 +118,16 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0
     return w
 
 
-def nystroem_table(landmarks: np.ndarray, words: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+def kernel(words: list[str], marks: np.ndarray, most: int = 256) -> np.ndarray:
+    """The kernel of words and landmarks (given by their features), some words at a time."""
+    return np.vstack([features(words[i:i + most]) @ marks.T for i in range(0, len(words), most)])
+
+
+def nystroem_table(landmarks: list[str], words: list[str], y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """The machine on Nyström features of ``words``, folded into a table of triple weights, and its bias."""
-    value, vector = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
+    marks = features(landmarks)
+    value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = value > 1e-4 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
-    w = machine((words @ landmarks.T) @ root, y, weight)
-    return (landmarks.T @ (root @ w[:-1])).astype(np.float32), float(w[-1])
+    w = machine(kernel(words, marks) @ root, y, weight)
+    return (marks.T @ (root @ w[:-1])).astype(np.float32), float(w[-1])

@@ -31,7 +31,7 @@ from .registry import query
 from .text import documents
 
 SAMPLE = 4000  # labelled rows of each label that are learned from
-TELLING, PLAIN, HARD, LANDMARKS, NAMED = 1000, 2000, 1000, 200, 20
+TELLING, PLAIN, HARD, LANDMARKS, NAMED = 1000, 2000, 1000, 150, 20
 LIMIT, LOWEST, STRONG = 0.3, -3.0, 0.9
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#%&$-_=+/\\~`"
 RUN = 4  # so many single letters in a row are one word
@@ -173,7 +173,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
         for r in named:
             own.setdefault(r.d, []).append(place[r.w])
             rank[place[r.w]] = r.z
-        seen = sk.features(words)
         for turn in range(rounds):
             count = np.zeros(len(words))
             for ws in own.values():
@@ -183,13 +182,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
             on = np.flatnonzero(count)
             top = on[np.argsort(-count[on], kind="stable")][:LANDMARKS]
             others = sorted(plain - {words[i] for i in on})
-            against = sk.features(others)
-            marks = np.vstack([seen[top], against[np.linspace(0, len(others) - 1, min(LANDMARKS, len(others))).astype(int)]])
+            marks = [words[i] for i in top] + [others[i] for i in np.linspace(0, len(others) - 1, min(LANDMARKS, len(others))).astype(int)]
             y = np.concatenate([np.ones(len(on)), -np.ones(len(others))])
             strength = np.sqrt(count[on])
             weight = np.concatenate([strength / strength.sum(), np.full(len(others), 1 / len(others))]) * len(y) / 2
-            table, bias = sk.nystroem_table(marks, np.vstack([seen[on], against]), y, weight)
-            rank = seen @ table + bias
+            table, bias = sk.nystroem_table(marks, [*(words[i] for i in on), *others], y, weight)
+            rank = sk.scores(words, table, bias)
             if turn < rounds - 1:  # clean words that the machine takes for toxic join the clean side
                 hard = df.filter("a = 0 OR z <= 0").select("w").mapInArrow(_word_margins(table, bias), "w string, m double")
                 plain |= {r.w for r in hard.orderBy(F.desc("m"), "w").limit(HARD).collect()}
