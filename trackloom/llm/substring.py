@@ -37,13 +37,14 @@ WIDTH, ANCHOR = 13, 5
 SKETCH_BYTES = 64 << 20
 CELLS_PER_ANCHOR = 8
 SLICE_KEYS = 1 << 17
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 500_000
+KNOWN_WORDS = 1 << 18
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_WORDS) -> Iterator[list[tuple[int, list[bytes]]]]:
     """(id, words) of documents long enough for a window, some million words at a time."""
     out, n = [], 0
-    for batch in batches:
+    for batch in (b.slice(s, 256) for b in batches for s in range(0, b.num_rows, 256)):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ws = text.encode("utf-8", "surrogatepass").split() if text and doc is not None else []
             if len(ws) >= WIDTH:
@@ -102,7 +103,7 @@ def _cells(width: int, slices: int):
     per = width // slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = WordHashes(KNOWN_WORDS)
         for chunk in _chunks(batches):
             w = Windows(chunk, known)
             fresh = np.flatnonzero(np.concatenate([[True], (np.diff(w.anchor) != 0) | (np.diff(w.owner) != 0)]))
@@ -141,7 +142,7 @@ def sketch(docs: DataFrame, width: int, slices: int) -> np.ndarray:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
+    known = WordHashes(KNOWN_WORDS)
     for chunk in _chunks(batches):
         w = Windows(chunk, known)
         pairs = np.unique(np.stack([w.ids[w.owner].view(np.uint64), w.anchor], 1), axis=0)
@@ -179,7 +180,7 @@ ENTRY_COLUMNS = "s int, doc_id long, anchors binary, keys binary, docs binary, p
 def _entries(slices: int, table):
     """Entries of windows whose anchor the sketch (a broadcast bit table) estimates repeated."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = WordHashes(), np.frombuffer(table.value, np.uint8)
+        known, bits = WordHashes(KNOWN_WORDS), np.frombuffer(table.value, np.uint8)
         for chunk in _chunks(batches):
             w = Windows(chunk, known)
             cell = scramble(w.anchor) % np.uint64(len(bits) * 8)
@@ -192,7 +193,7 @@ def _entries(slices: int, table):
 def _entries_joined(slices: int):
     """The same from rows (doc_id, text, repeated anchors of the document)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = WordHashes(KNOWN_WORDS)
         for batch in batches:
             wanted = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
             for chunk in _chunks(iter([batch])):
