@@ -9,6 +9,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .presets import QUAD_ASPECT, RECTANGLE_PRESETS
+
 
 class Box(NamedTuple):
     x1: Column
@@ -137,9 +139,7 @@ def order_quad(p: Column) -> Column:
                    at(sums, F.array_max(sums)), at(diffs, F.array_max(diffs)))
 
 
-# Validity limits of rectangle presets: fixed values.
-QUAD_AREA_RATIO = {"low": (0.015, 0.40), "medium": (0.01, 0.45), "high": (0.006, 0.55)}
-QUAD_ASPECT = (0.18, 5.5)
+QUAD_AREA_RATIO = {k: (p.least_area, p.most_area) for k, p in RECTANGLE_PRESETS.items()}
 
 
 def preset_value(level: Column, table: dict[str, float], default: str = "low") -> Column:

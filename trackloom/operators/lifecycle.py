@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.targets import format_target_id
+from ..sources.detections import on_clock
 from .fold import ordered_fold
 from .materialize import cut_lineage
 from .timeline import Timeline, asof_forward, bucket_of, ordinal
@@ -97,10 +98,14 @@ def number_targets(events: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
             .withColumn("target_id", format_target_id(F.col("slot_id"), F.col("target_number"))))
 
 
-def lifecycle_counts(events: DataFrame) -> DataFrame:
-    """Per frame the number of created, updated, recovered, lost and removed targets."""
-    return (events.groupBy("slot_id", "frame_id").pivot("event", COUNTED).agg(F.count(F.lit(1)))
-            .na.fill(0, COUNTED))
+def lifecycle_counts(events: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Per frame the number of created, updated, recovered, lost and removed targets.
+
+    ``frames`` is the frame clock: its quiet frames are counted with zeros. Without it only frames with an event show.
+    """
+    counts = (events.groupBy("slot_id", "frame_id").pivot("event", COUNTED).agg(F.count(F.lit(1)))
+              .na.fill(0, COUNTED))
+    return counts if frames is None else on_clock(counts, frames)
 
 
 def to_events(numbered: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
@@ -129,10 +134,6 @@ def snapshot_events(snapshots: DataFrame, event_type: str = "target.snapshot") -
                             F.struct(*snapshots.columns).alias("snapshot"))
 
 
-def edge_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EDGES, "from_state string, to_state string")
-
-
 def validate_transitions(df: DataFrame) -> DataFrame:
     """Add ``legal``, the ``allowed`` next states and ``terminal`` to rows of (from_state, to_state)."""
     allowed = {s: sorted(b for a, b in EDGES if a == s) for s in STATES}

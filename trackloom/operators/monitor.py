@@ -6,15 +6,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.presets import RECTANGLE_PRESETS
 from .fold import ordered_fold
 from .lifecycle import micros
 from .materialize import cut_lineage
 from .suppress import final_priority
 from .timeline import Timeline, bucket_of, ordinal
 
-# Output limits of the rectangle presets: fixed values.
-RECT_CONF = {"low": 0.60, "medium": 0.55, "high": 0.50}
-RECT_MAX = {"low": 1, "medium": 2, "high": 3}
+RECT_CONF = {k: p.least_confidence for k, p in RECTANGLE_PRESETS.items()}
+RECT_MAX = {k: p.most_rectangles for k, p in RECTANGLE_PRESETS.items()}
 
 
 # --- filters ---------------------------------------------------------------------------
@@ -177,13 +177,18 @@ def latest_per_slot(df: DataFrame, tick: float) -> DataFrame:
             .select("slot_id", "tick", "f.frame_id", "f.ts", "dropped"))
 
 
-def slot_cache(det: DataFrame, cols: list[str]) -> DataFrame:
-    """Detections of the newest frame of each slot, in order, and its time."""
-    last = det.groupBy("slot_id").agg(F.max(F.struct("ts", "frame_id")).alias("m"))
-    last = last.select("slot_id", "m.ts", "m.frame_id")
-    return (det.join(last, ["slot_id", "ts", "frame_id"])
-            .groupBy("slot_id", "ts", "frame_id")
-            .agg(F.array_sort(F.collect_list(F.struct("det_idx", *cols))).alias("detections")))
+def slot_cache(det: DataFrame, cols: list[str], frames: DataFrame | None = None) -> DataFrame:
+    """Detections of the newest frame of each slot, in order, and its time.
+
+    ``frames`` is the frame clock: a newest frame without detections gives an empty list. Without it the newest frame
+    with a detection counts.
+    """
+    last = (det if frames is None else frames).groupBy("slot_id").agg(F.max(F.struct("ts", "frame_id")).alias("m"))
+    last = last.select("slot_id", F.col("m.ts").alias("ts"), F.col("m.frame_id").alias("frame_id"))
+    item = F.struct("det_idx", *cols)
+    rows = det.select("slot_id", "frame_id", item.alias("_item"))
+    return (last.join(rows, ["slot_id", "frame_id"], "left").groupBy("slot_id", "ts", "frame_id")
+            .agg(F.array_sort(F.collect_list("_item")).alias("detections")))
 
 
 def frame_signature(det: DataFrame, bucket: int = 4096) -> DataFrame:
@@ -210,7 +215,8 @@ def attr_carry(df: DataFrame, stride: int, value: str, keys: list[str] = ["slot_
                order: str = "frame_id", bucket: int = 262144) -> DataFrame:
     """Reuse an attribute until ``stride`` frames have passed since it was computed.
 
-    Adds ``refreshed`` and ``carried``; rows with a null value never refresh.
+    Adds ``refreshed`` and ``carried``; rows with a null value never refresh, and from ``stride`` frames on a value no
+    longer counts, so such a row has none.
     """
     ready = df.filter(F.col(value).isNotNull())
     marks = (throttle(ready.withColumn("_t", F.col(order) / 1.0), float(stride), keys, "_t", order,
@@ -219,7 +225,8 @@ def attr_carry(df: DataFrame, stride: int, value: str, keys: list[str] = ["slot_
     rows = (df.join(marks, [*keys, order], "left")
             .withColumn("refreshed", F.coalesce("refreshed", F.lit(False))))
     return (Timeline(rows, keys, [order], bucket_of(order, bucket))
-            .ffill(carried=F.when(F.col("refreshed"), F.col(value))).apply())
+            .ffill(_value=F.when(F.col("refreshed"), F.col(value)), _at=F.when(F.col("refreshed"), F.col(order))).apply()
+            .withColumn("carried", F.when(F.col(order) - F.col("_at") < stride, F.col("_value"))).drop("_value", "_at"))
 
 
 # --- counters and timing ---------------------------------------------------------------

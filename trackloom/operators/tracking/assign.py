@@ -12,64 +12,82 @@ BLOCKED = 1e6
 ACCEPT = 0.999
 
 
-def solve(cost: list[list[float]]) -> list[int]:
-    """Cheapest assignment of rows to columns; entry i is the column of row i or -1.
+def _place(cost: np.ndarray) -> np.ndarray:
+    """Column of each row of the cheapest full assignment; there are no fewer columns than rows.
 
-    Shortest augmenting paths with dual prices. Rows are added in order and a column replaces
-    another only when strictly cheaper. Short rows are filled up with free dummy columns and a
-    surplus of columns with dummy rows, so that every row is placed.
+    Rows come in one by one. A new row takes the free column at the end of the cheapest chain of swaps; chain costs are
+    relaxed for all columns at once until none improves.
     """
-    n_rows, n_cols = len(cost), len(cost[0]) if cost else 0
-    n = max(n_rows, n_cols)
-    rows = [list(r) + [0.0] * (n - n_cols) for r in cost] + [[0.0] * n for _ in range(n - n_rows)]
-    row_price, col_price = [0.0] * n, [0.0] * n
-    owner = [-1] * n
-    for new in range(n):
-        slack, came = [np.inf] * n, [-1] * n
-        open_cols = list(range(n))
-        row, last = new, -1
-        tree = [(new, -1)]
-        while True:
-            r, base = rows[row], row_price[row]
-            best, best_col = np.inf, -1
-            for c in open_cols:
-                d = r[c] - base - col_price[c]
-                if d < slack[c]:
-                    slack[c], came[c] = d, last
-                if slack[c] < best:
-                    best, best_col = slack[c], c
-            for tr, tc in tree:
-                row_price[tr] += best
-                if tc >= 0:
-                    col_price[tc] -= best
-            open_cols.remove(best_col)
-            for c in open_cols:
-                slack[c] -= best
-            last = best_col
-            if owner[last] < 0:
+    n, m = cost.shape
+    holder = np.full(m, -1)
+    for row in range(n):
+        reach, before = cost[row].copy(), np.full(m, -1)
+        held = np.flatnonzero(holder >= 0)
+        while len(held):
+            chain = (reach[held] - cost[holder[held], held])[:, None] + cost[holder[held]]
+            k = chain.argmin(axis=0)
+            cheaper = chain[k, np.arange(m)] < reach - 1e-9
+            if not cheaper.any():
                 break
-            row = owner[last]
-            tree.append((row, last))
-        while last >= 0:
-            before = came[last]
-            owner[last] = owner[before] if before >= 0 else new
-            last = before
-    out = [-1] * n_rows
-    for c in range(n_cols):
-        if 0 <= owner[c] < n_rows:
-            out[owner[c]] = c
+            reach[cheaper] = chain[k, np.arange(m)][cheaper]
+            before[cheaper] = held[k[cheaper]]
+        col = int(np.where(holder < 0, reach, np.inf).argmin())
+        while before[col] >= 0:
+            holder[col] = holder[before[col]]
+            col = before[col]
+        holder[col] = row
+    out = np.full(n, -1)
+    out[holder[holder >= 0]] = np.flatnonzero(holder >= 0)
     return out
 
 
+def solve(cost: list[list[float]]) -> list[int]:
+    """Cheapest assignment of rows to columns; entry i is the column of row i or -1."""
+    table = np.asarray(cost, dtype=float)
+    if not table.size:
+        return [-1] * len(cost)
+    if table.shape[0] <= table.shape[1]:
+        return _place(table).tolist()
+    out = np.full(table.shape[0], -1)
+    out[_place(table.T)] = np.arange(table.shape[1])
+    return out.tolist()
+
+
+def _components(r: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """A common label for the pairs that share rows or columns, directly or over others."""
+    label = np.arange(n + int(c.max()) + 1)
+    while True:
+        low = np.minimum(label[r], label[n + c])
+        new = label.copy()
+        np.minimum.at(new, r, low)
+        np.minimum.at(new, n + c, low)
+        if (new == label).all():
+            return label[r]
+        label = new
+
+
 def solve_pairs(row: np.ndarray, col: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Chosen positions among listed (row, column, cost) pairs; unlisted pairs are not allowed."""
+    """Chosen positions among listed (row, column, cost) pairs; unlisted pairs are not allowed.
+
+    Pairs that share no row or column, directly or over others, are settled apart from each other.
+    """
+    if not len(row):
+        return np.zeros(0, int)
     r_ids, r = np.unique(row, return_inverse=True)
-    c_ids, c = np.unique(col, return_inverse=True)
-    table = np.full((len(r_ids), len(c_ids)), BLOCKED)
-    table[r, c] = cost
-    at = {(a, b): i for i, (a, b) in enumerate(zip(r, c))}
-    picks = [at.get((i, j), -1) for i, j in enumerate(solve(table.tolist()))]
-    return np.array([k for k in picks if k >= 0 and cost[k] < ACCEPT], dtype=int)
+    _, c = np.unique(col, return_inverse=True)
+    label, picks = _components(r, c, len(r_ids)), []
+    for part in np.split(np.argsort(label, kind="stable"), np.cumsum(np.unique(label, return_counts=True)[1])[:-1]):
+        if len(part) == 1:
+            picks.append(int(part[0]))
+            continue
+        rows, i = np.unique(r[part], return_inverse=True)
+        cols, j = np.unique(c[part], return_inverse=True)
+        table, at = np.full((len(rows), len(cols)), BLOCKED), np.full((len(rows), len(cols)), -1)
+        table[i, j], at[i, j] = cost[part], part
+        if len(rows) > len(cols):
+            table, at = table.T, at.T
+        picks += [int(at[x, y]) for x, y in enumerate(_place(table)) if at[x, y] >= 0]
+    return np.array(sorted(k for k in picks if cost[k] < ACCEPT), dtype=int)
 
 
 def assign(costs: DataFrame, by: list[str], row: str, col: str, cost: str) -> DataFrame:

@@ -65,6 +65,7 @@ def fold_input(det: DataFrame, frames: DataFrame | None, cfg, candidates: DataFr
                by_label: bool = True, extras: tuple[str, ...] = (), bucket: int = 65536,
                split_sessions: bool = True, linger: int = 0) -> DataFrame:
     """Detections, candidates and empty frames as one flat table ready to be folded by session."""
+    det = det.withColumn("label", F.coalesce("label", F.lit("")))  # a missing label is a label of its own
     clock = cut_lineage(number_frames(frames_of(det) if frames is None else frames, cfg.stride, bucket))
     grp = F.col("label") if by_label else F.lit("")
     flat = [_flat(c).alias(c) for c in extras]

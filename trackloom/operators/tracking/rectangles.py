@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ...functions.presets import RECTANGLE_PRESETS
+from ...sources.detections import on_clock
 from ..materialize import cut_lineage
 from ..suppress import RECTANGLE_TRACK_RULE, suppress
 from . import filters
@@ -31,12 +33,8 @@ class RectangleConfig:
     stride: int = 1
 
 
-# Tracker settings by sensitivity: fixed values. Unknown levels use "low".
-PRESETS = {
-    "low": RectangleConfig(0.18, 5, 1, 0.72),
-    "medium": RectangleConfig(0.16, 6, 1, 0.70),
-    "high": RectangleConfig(0.14, 8, 1, 0.68),
-}
+# Tracker settings by sensitivity; unknown levels use "low".
+PRESETS = {k: RectangleConfig(p.match_iou, p.max_misses, p.min_hits, p.smooth_alpha) for k, p in RECTANGLE_PRESETS.items()}
 
 
 def preset(level: str | None) -> RectangleConfig:
@@ -204,9 +202,13 @@ def track_rectangles(det: DataFrame, frames: DataFrame | None = None, level: str
     return visible_rectangles(rectangle_steps(det, frames, cfg), cfg)
 
 
-def rectangle_stats(steps: DataFrame) -> DataFrame:
-    """Per frame the number of matched, coasting, new and deleted tracks."""
+def rectangle_stats(steps: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Per frame the number of matched, coasting, new and deleted tracks.
+
+    ``frames`` is the frame clock: its quiet frames are counted with zeros. Without it only frames with a track show.
+    """
     e = F.col("event")
-    return steps.groupBy("slot_id", "frame_id").agg(
+    stats = steps.groupBy("slot_id", "frame_id").agg(
         F.count_if(e == "matched").alias("matched"), F.count_if(e == "predicted").alias("predicted_only"),
         F.count_if(e == "new").alias("new"), F.count_if("deleted").alias("deleted"))
+    return stats if frames is None else on_clock(stats, frames)

@@ -275,7 +275,7 @@ def t16(spark, sf):
 
 @query("t17_rectangle_stats")
 def t17(spark, sf):
-    return rt.rectangle_stats(rect_steps(spark, sf))
+    return rt.rectangle_stats(rect_steps(spark, sf), frames_of(fx.detections(spark, sf)))
 
 
 # --- quality ---------------------------------------------------------------------------

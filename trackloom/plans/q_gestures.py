@@ -112,7 +112,7 @@ w AS (SELECT slot_id, track_id, k, frame_id, CASE WHEN value IS NOT NULL THEN fr
   UNION ALL SELECT o.slot_id, o.track_id, o.k, o.frame_id, CASE WHEN o.value IS NOT NULL AND (w.fa IS NULL OR o.frame_id - w.fa >= 500) THEN o.frame_id ELSE w.fa END,
     CASE WHEN o.value IS NOT NULL AND (w.fa IS NULL OR o.frame_id - w.fa >= 500) THEN o.value ELSE w.carried END
   FROM w JOIN o ON o.slot_id = w.slot_id AND o.track_id = w.track_id AND o.k = w.k + 1)
-SELECT slot_id, track_id, frame_id, coalesce(fa = frame_id, false) AS refreshed, carried FROM w""")
+SELECT slot_id, track_id, frame_id, coalesce(fa = frame_id, false) AS refreshed, CASE WHEN frame_id - fa < 500 THEN carried END AS carried FROM w""")
 def g07(spark, sf):
     log = fx.track_log(spark, sf).withColumn("value", F.when(F.col("event_type") != "error", F.col("value")))
     return attr_carry(log, 500, "value").select("slot_id", "track_id", "frame_id", "refreshed", "carried")

@@ -84,6 +84,21 @@ def l04(spark, sf):
     return lc.lifecycle_counts(life(spark, sf))
 
 
+SOME_SQL = LIFE_SQL.replace("FROM tl WINDOW", "FROM tl WHERE event_type = 'purchase' WINDOW", 1)
+
+
+@query("l04_quiet_frames", f"""WITH {SOME_SQL}, fr AS (SELECT DISTINCT slot_id, frame_id FROM tl)
+SELECT fr.slot_id, fr.frame_id, count(*) FILTER (event = 'created') AS created, count(*) FILTER (event = 'updated') AS updated,
+  count(*) FILTER (event = 'recovered') AS recovered, count(*) FILTER (event = 'lost') AS lost, count(*) FILTER (event = 'removed') AS removed
+FROM fr LEFT JOIN le ON le.slot_id = fr.slot_id AND le.frame_id = fr.frame_id GROUP BY fr.slot_id, fr.frame_id""")
+def l04_quiet(spark, sf):
+    """Observations in some frames only, counted on every frame of the clock."""
+    log = fx.track_log(spark, sf)
+    clock = log.select("slot_id", "frame_id", "ts")
+    events = lc.lifecycle(log.filter("event_type = 'purchase'"), clock, fx.STALE_S, fx.REMOVAL_S, bucket_s=86400.0)
+    return lc.lifecycle_counts(events, clock)
+
+
 EVENTS_SQL = NUMBER_SQL + """, ev AS (SELECT *, row_number() OVER (ORDER BY us, slot_id, frame_id, track_id, event) AS n FROM ln WHERE event <> 'updated'),
 ty AS (SELECT 'evt-' || CASE WHEN n < 1000000 THEN lpad(CAST(n AS VARCHAR), 6, '0') ELSE CAST(n AS VARCHAR) END AS event_id, 'target.' || event AS event_type, us, target_id, slot_id,
   CASE event WHEN 'created' THEN CAST(track_id AS VARCHAR) WHEN 'recovered' THEN CAST(track_id AS VARCHAR) END AS payload_track,

@@ -98,6 +98,18 @@ def a07(spark, sf):
                     F.concat_ws(",", F.transform("detections", lambda d: d["label"])).alias("labels"))
 
 
+@query("a07_quiet_newest_frame", f"""WITH {fx.DET_CTE}, fr AS (SELECT CAST(o_orderkey % 4 AS INT) AS slot_id, max(CAST(floor(o_orderkey / 4e0) AS BIGINT)) + 1 AS frame_id FROM orders GROUP BY 1)
+SELECT fr.slot_id, fr.frame_id, fr.frame_id / 1e1 AS ts, count(det_idx) AS n, coalesce(string_agg(label, ',' ORDER BY det_idx), '') AS labels
+FROM fr LEFT JOIN det ON det.slot_id = fr.slot_id AND det.frame_id = fr.frame_id GROUP BY fr.slot_id, fr.frame_id""")
+def a07_quiet(spark, sf):
+    """A clock that goes one frame beyond the last order: the newest frame is empty."""
+    key = fx.table(spark, sf, "orders").select((F.col("o_orderkey") % 4).cast("int").alias("slot_id"), F.floor(F.col("o_orderkey") / 4).cast("long").alias("f"))
+    clock = key.groupBy("slot_id").agg((F.max("f") + 1).alias("frame_id")).unionByName(key.select("slot_id", F.col("f").alias("frame_id")))
+    c = mn.slot_cache(fx.detections(spark, sf), ["label"], clock.withColumn("ts", F.col("frame_id") / 10.0))
+    return c.select("slot_id", "frame_id", "ts", F.size("detections").cast("long").alias("n"),
+                    F.concat_ws(",", F.transform("detections", lambda d: d["label"])).alias("labels"))
+
+
 SMALL_SQL = f"""{fx.DET_CTE}, s AS (SELECT {K}, label, confidence - 2e-1 AS confidence, (x2 - x1) * 2e-1 AS w, (y2 - y1) * 2e-1 AS h FROM det),
 c AS (SELECT *, row_number() OVER (PARTITION BY slot_id, frame_id ORDER BY confidence DESC, w * h, det_idx) AS rank FROM s WHERE label = 'person' AND w < 35e-3 AND h < 35e-3 AND confidence >= 18e-2 AND confidence < 42e-2)"""
 

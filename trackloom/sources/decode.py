@@ -11,18 +11,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.geometry import clamp01
 from ..operators.suppress import DETECTOR_RULE, suppress
 
-# COCO class names by id: fixed values.
-COCO = """person bicycle car motorcycle airplane bus train truck boat traffic_light fire_hydrant
-stop_sign parking_meter bench bird cat dog horse sheep cow elephant bear zebra giraffe backpack
-umbrella handbag tie suitcase frisbee skis snowboard sports_ball kite baseball_bat baseball_glove
-skateboard surfboard tennis_racket bottle wine_glass cup fork knife spoon bowl banana apple sandwich
-orange broccoli carrot hot_dog pizza donut cake chair couch potted_plant bed dining_table toilet tv
-laptop mouse remote keyboard cell_phone microwave oven toaster sink refrigerator book clock vase
-scissors teddy_bear hair_drier toothbrush""".split()
+# The COCO class names by id.
+COCO = [
+    "person", "bicycle", "car", "motorcycle", "airplane", "bus", "train", "truck", "boat", "traffic light",
+    "fire hydrant", "stop sign", "parking meter", "bench", "bird", "cat", "dog", "horse", "sheep", "cow", "elephant",
+    "bear", "zebra", "giraffe", "backpack", "umbrella", "handbag", "tie", "suitcase", "frisbee", "skis", "snowboard",
+    "sports ball", "kite", "baseball bat", "baseball glove", "skateboard", "surfboard", "tennis racket", "bottle",
+    "wine glass", "cup", "fork", "knife", "spoon", "bowl", "banana", "apple", "sandwich", "orange", "broccoli",
+    "carrot", "hot dog", "pizza", "donut", "cake", "chair", "couch", "potted plant", "bed", "dining table", "toilet",
+    "tv", "laptop", "mouse", "remote", "keyboard", "cell phone", "microwave", "oven", "toaster", "sink",
+    "refrigerator", "book", "clock", "vase", "scissors", "teddy bear", "hair drier", "toothbrush",
+]
 
 
 def _label(cls: Column, fallback: Column) -> Column:
-    names = F.array(*[F.lit(n.replace("_", " ")) for n in COCO])
+    names = F.array(*[F.lit(n) for n in COCO])
     return F.coalesce(F.get(names, cls), fallback)
 
 

@@ -38,8 +38,8 @@ def normalise(df: DataFrame) -> DataFrame:
 
 def read_detections(spark: SparkSession, path: str, fmt: str = "parquet",
                     columns: list[str] | None = None) -> DataFrame:
-    """A recorded log; ``columns`` limits what the scan reads."""
-    df = spark.read.schema(DETECTIONS).format(fmt).load(path)
+    """A recorded log with the defaults of missing values filled in; ``columns`` limits what the scan reads."""
+    df = normalise(spark.read.schema(DETECTIONS).format(fmt).load(path))
     return df.select(*columns) if columns else df
 
 
@@ -73,3 +73,10 @@ def frame_clock(frames: DataFrame, det: DataFrame | None = None, stride: int = 1
 def merge_sources(*parts: DataFrame) -> DataFrame:
     """Detections of several detectors in one table; missing columns become null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def on_clock(counts: DataFrame, frames: DataFrame) -> DataFrame:
+    """Counts per (slot_id, frame_id) on every frame of the clock; frames without counts get zeros."""
+    names = [c for c in counts.columns if c not in ("slot_id", "frame_id")]
+    return (frames.select("slot_id", "frame_id").distinct().join(counts, ["slot_id", "frame_id"], "left")
+            .na.fill(0, names).select(*counts.columns))
