@@ -36,9 +36,3 @@ def bhattacharyya(a: Column, b: Column) -> Column:
 def l2_normalize(a: Column) -> Column:
     n = norm(a)
     return F.when(n > 1e-6, F.transform(a, lambda v: v / n)).otherwise(a)
-
-
-def ema(values: Column, alpha: float) -> Column:
-    """Exponential mean of an ordered array: the first value starts it."""
-    rest = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
-    return F.aggregate(rest, values[0], lambda s, v: alpha * v + (1.0 - alpha) * s)

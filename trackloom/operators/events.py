@@ -54,6 +54,21 @@ def route(events: DataFrame, sinks: dict[str, tuple[str, Callable[[DataFrame], N
     return failed
 
 
-def route_stream(events: DataFrame, sinks: dict[str, tuple[str, Callable[[DataFrame], None]]], checkpoint: str):
-    return (events.writeStream.foreachBatch(lambda batch, _: route(batch, sinks))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def route_stream(events: DataFrame, sinks: dict[str, tuple[str, Callable[[DataFrame], None]]], checkpoint: str,
+                 dead_letters: str | None = None):
+    """Route every micro-batch. The share of a sink that fails goes to ``dead_letters`` (a parquet folder) with the
+    sink's name, the batch number and the error; without that folder the batch fails and is delivered again."""
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            failed = route(batch, sinks)
+            if failed and dead_letters is None:
+                raise RuntimeError(f"sinks failed: {failed}")
+            for name, why in failed.items():
+                lost = subscribe(batch, sinks[name][0])
+                lost.withColumns({"sink": F.lit(name), "batch": F.lit(number), "error": F.lit(why[:1000])}).write.mode("append").parquet(dead_letters)
+        finally:
+            batch.unpersist()
+
+    return (events.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

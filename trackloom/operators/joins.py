@@ -27,17 +27,17 @@ def merge_pose(base: DataFrame, pose: DataFrame) -> DataFrame:
     k = F.col("keypoints")
     score = F.aggregate(k, F.lit(0.0), lambda s, p: s + F.coalesce(p["conf"], F.lit(0.0))) / 17
     usable = F.size(k) == 17
-    cand = pose.select(*FRAME, F.struct((-score).alias("neg"), F.col("det_idx").alias("i")).alias("rank"),
-                       usable.alias("usable"), k.alias("pose"))
-    best = (base.select(*FRAME, "det_idx", "x1", "y1", "x2", "y2").join(cand, FRAME)
-            .groupBy(*FRAME, "det_idx")
-            .agg(F.min_by("pose", F.when(
-                F.col("usable") & F.col("pose")[0]["x"].between(F.col("x1"), F.col("x2"))
-                & F.col("pose")[0]["y"].between(F.col("y1"), F.col("y2")), F.col("rank"))).alias("_pose"),
-                F.lit(True).alias("_any")))
+    cand = pose.filter(usable).select(
+        *[F.col(c).alias(f"_{c}") for c in FRAME], F.struct((-score).alias("neg"), F.col("det_idx").alias("i")).alias("rank"),
+        k.alias("pose"), k[0]["x"].alias("_nx"), k[0]["y"].alias("_ny"))
+    box_ = base.select(*FRAME, "det_idx", "x1", "y1", "x2", "y2")
+    inside = F.col("_nx").between(F.col("x1"), F.col("x2")) & F.col("_ny").between(F.col("y1"), F.col("y2"))
+    best = (box_.join(cand, [*[F.col(c) == F.col(f"_{c}") for c in FRAME], inside]).groupBy(*FRAME, "det_idx")
+            .agg(F.min_by("pose", "rank").alias("_pose")))
+    posed = pose.select(*FRAME).distinct().withColumn("_any", F.lit(True))
     none = F.array().cast("array<struct<x:double,y:double,conf:double>>")
     own = F.col("keypoints") if "keypoints" in base.columns else none
-    return (base.join(best, [*FRAME, "det_idx"], "left")
+    return (base.join(best, [*FRAME, "det_idx"], "left").join(posed, FRAME, "left")
             .withColumn("keypoints", F.when(F.col("_any"), F.coalesce("_pose", none)).otherwise(own))
             .drop("_pose", "_any"))
 

@@ -134,3 +134,20 @@ def track(det: DataFrame, frames: DataFrame | None = None, cfg: TrackerConfig =
     ddl = ", ".join([BASE_DDL, *[EXTRA_DDL[c] for c in extras if c in EXTRA_DDL]])
     done = cut_lineage(fold_sessions(rows, lambda: Tracker(cfg, extras, SESSION), ddl, LABELS))
     return number_tracks(done, bucket).filter(F.col("hits") >= cfg.min_hits)
+
+
+def carry_forward(det: DataFrame, frames: DataFrame, stride: int, bucket: int = 65536) -> DataFrame:
+    """On frames that are not inferred, the non-person rows of the last inferred frame of the slot, with its ``from_frame``."""
+    inferred = F.when(F.col("frame_id") % stride == 0, F.col("frame_id"))
+    clock = (Timeline(frames.select("slot_id", "frame_id").distinct(), ["slot_id"], ["frame_id"], bucket_of("frame_id", bucket))
+             .ffill(from_frame=inferred).apply().filter("frame_id <> from_frame"))
+    rows = det.filter(~F.col("label").eqNullSafe("person")).withColumnRenamed("frame_id", "from_frame")
+    return clock.join(rows.drop("ts"), ["slot_id", "from_frame"])
+
+
+def predict_fill(tracks: DataFrame, det: DataFrame, frames: DataFrame, stride: int) -> DataFrame:
+    """What a slot shows on frames that are not inferred: predicted persons and the last rows of everything else."""
+    common = ["slot_id", "frame_id", "label", "confidence", "x1", "y1", "x2", "y2"]
+    persons = tracks.filter((F.col("frame_id") % stride != 0) & (F.col("label") == "person"))
+    return (persons.select(*common, "track_id", F.lit(True).alias("predicted_only"))
+            .unionByName(carry_forward(det, frames, stride).select(*common, F.lit(None).cast("long").alias("track_id"), F.lit(False).alias("predicted_only"))))

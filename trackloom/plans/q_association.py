@@ -176,6 +176,39 @@ _register_tracker("t10_track_skip_frames", stride=2)
 _register_tracker("t15_track_min_hits", min_hits=2, max_misses=2)
 
 
+@query("t10_carried_rows", f"""WITH {fx.DET_CTE}, fr AS (SELECT DISTINCT slot_id, frame_id FROM det),
+cl AS (SELECT *, max(CASE WHEN frame_id % 3 = 0 THEN frame_id END) OVER (PARTITION BY slot_id ORDER BY frame_id) AS from_frame FROM fr)
+SELECT cl.slot_id, cl.frame_id, cl.from_frame, det_idx, label, confidence FROM cl JOIN det ON det.slot_id = cl.slot_id AND det.frame_id = cl.from_frame
+WHERE cl.frame_id <> from_frame AND label <> 'person'""")
+def t10_carried(spark, sf):
+    det = fx.detections(spark, sf)
+    return job.carry_forward(det, frames_of(det), 3).select("slot_id", "frame_id", "from_frame", "det_idx", "label", "confidence")
+
+
+# Each detection of an inferred frame is reported by exactly one track.
+@query("t01_matched_rows", f"""WITH {fx.DET_CTE} SELECT slot_id, frame_id, label, count(*) AS n FROM det GROUP BY slot_id, frame_id, label""")
+def t01_matched(spark, sf):
+    det = fx.detections(spark, sf).select("slot_id", "frame_id", "ts", "det_idx", "label", "confidence", *BOX)
+    rows = job.track(det, None, TrackerConfig(strategy="hungarian"))
+    return rows.filter("NOT predicted_only").groupBy("slot_id", "frame_id", "label").agg(F.count("*").alias("n"))
+
+
+@query("t01_births", f"""WITH {fx.DET_CTE} SELECT DISTINCT slot_id, true AS ids_run, true AS born_on_detections FROM det""")
+def t01_births(spark, sf):
+    """Track ids run 1, 2, ... in order of birth, and a track is born with the box and confidence of its detection."""
+    det = fx.detections(spark, sf).select("slot_id", "frame_id", "ts", "det_idx", "label", "confidence", *BOX)
+    rows = job.track(det, None, TrackerConfig(strategy="hungarian"))
+    born = rows.filter("frame_id = birth_frame").alias("t")
+    same = [F.col(f"t.{c}") == F.col(f"d.{c}") for c in ("label", "confidence", *BOX)]
+    d = det.alias("d")
+    j = born.join(d, (F.col("t.slot_id") == F.col("d.slot_id")) & (F.col("t.birth_frame") == F.col("d.frame_id")) & (F.col("t.birth_det") == F.col("d.det_idx")), "left")
+    ok = same[0]
+    for s in same[1:]:
+        ok = ok & s
+    return j.groupBy(F.col("t.slot_id").alias("slot_id")).agg(
+        ((F.count("*") == F.max("t.track_id")) & (F.min("t.track_id") == 1)).alias("ids_run"), F.every(F.coalesce(ok, F.lit(False))).alias("born_on_detections"))
+
+
 @query("t13_track_reid")
 def t13(spark, sf):
     det = fx.detections(spark, sf)

@@ -269,7 +269,8 @@ def w06(spark, sf):
     return spark.read.schema(events.schema).parquet(folder + "/out").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("success").alias("successful"))
 
 
-@query("l07_route_stream", """SELECT sink, count(*) AS n FROM (SELECT 'all' AS sink FROM events UNION ALL SELECT 'lost' FROM events WHERE event_type = 'error' AND user_id % 3 <> 0) GROUP BY sink""")
+@query("l07_route_stream", """SELECT sink, count(*) AS n FROM (SELECT 'all' AS sink FROM events UNION ALL SELECT 'lost' FROM events WHERE event_type = 'error' AND user_id % 3 <> 0
+UNION ALL SELECT 'broken' FROM events) GROUP BY sink""")
 def l07_route(spark, sf):
     from .q_lifecycle import RAW
     names = F.create_map(*[F.lit(x) for kv in RAW.items() for x in kv])
@@ -283,7 +284,9 @@ def l07_route(spark, sf):
     def broken(df):
         raise OSError("sink is down")
 
-    q = ev.route_stream(rows, {"broken": ("*", broken), "all": ("*", to("all")), "lost": ("TargetLostEvent", to("lost"))}, folder + "/checkpoint")
+    q = ev.route_stream(rows, {"broken": ("*", broken), "all": ("*", to("all")), "lost": ("TargetLostEvent", to("lost"))},
+                        folder + "/checkpoint", folder + "/dead")
     q.awaitTermination()
     parts = [spark.read.schema(rows.schema).parquet(f"{folder}/{n}").select(F.lit(n).alias("sink")) for n in ("all", "lost")]
-    return parts[0].unionByName(parts[1]).groupBy("sink").agg(F.count("*").alias("n"))
+    dead = spark.read.parquet(f"{folder}/dead").select("sink")  # what the failing sink did not take
+    return parts[0].unionByName(parts[1]).unionByName(dead).groupBy("sink").agg(F.count("*").alias("n"))

@@ -56,10 +56,3 @@ def publish(df: DataFrame, sink: str, path: str | None = None, order: list[Colum
         *(order or [F.col("timestamp")]))
     writer = rows.write.format(sink).mode("overwrite" if sink == "noop" else "append")
     writer.save(path) if path else writer.save()
-
-
-def publish_stream(stream: DataFrame, write: Callable[[DataFrame], None], checkpoint: str):
-    """Publish a snapshot stream batch by batch; the schema is checked before the stream starts."""
-    check_snapshot_type(stream)
-    return (stream.writeStream.foreachBatch(lambda batch, _: write(batch))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
