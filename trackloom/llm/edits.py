@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import query
-from .segments import Counter, Tree, edit
+from .segments import Counter, Pieces, Tree, edit
 from .text import body, documents
 from .tokens import Encoder
 
@@ -28,23 +28,20 @@ EDITS = "array<struct<start:long,end:long,put:string>>"
 
 def _counter(path: str | None) -> Counter:
     encoder = Encoder(path)
-    return Counter(encoder.bpe, encoder.bpe._pat_str)
+    return Counter(encoder.bpe, encoder.bpe._pat_str, 1 << 18)
 
 
 def trees(docs: DataFrame, vocabulary: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, n_tokens and the packed pre-token lengths and counts (and the columns ``carry``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(vocabulary)
+        pieces = Pieces(_counter(vocabulary))
         for batch in batches:
-            for s in range(0, batch.num_rows, 500):
-                part = batch.slice(s, 500)
-                cut = [counter.cut.findall(t or "") for t in part.column(1).to_pylist()]
-                counter.learn({p for c in cut for p in c})
-                counts = [counter.counts(c) for c in cut]
-                pack = lambda xs: pa.array([np.array(x, "<u4").tobytes() for x in xs], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([sum(c) for c in counts], pa.int64()), pack([list(map(len, c)) for c in cut]), pack(counts)],
-                    [*part.schema.names, "n_tokens", "lengths", "counts"])
+            for s in range(0, batch.num_rows, 200):
+                part = batch.slice(s, 200)
+                lengths, counts = zip(*pieces.packed([t or "" for t in part.column(1).to_pylist()]))
+                total = [int(np.frombuffer(c, "<u4").sum()) for c in counts]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total, pa.int64()), pa.array(lengths, pa.binary()), pa.array(counts, pa.binary())],
+                                                 [*part.schema.names, "n_tokens", "lengths", "counts"])
 
     rows = docs.select("doc_id", "text", *carry)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
@@ -55,16 +52,16 @@ def apply_edits(made: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``made``: the columns of ``trees`` and ``edits``. doc_id, the new text, tree and counts, n_tokens before, and the work done."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(vocabulary)
-        for batch in batches:
+        for batch in (b.slice(s, 200) for b in batches for s in range(0, b.num_rows, 200)):
             out = []
             for text, before, lengths, counts, todo in zip(*(batch.column(c).to_pylist() for c in ("text", "n_tokens", "lengths", "counts", "edits"))):
                 text = text or ""
-                tree, work = Tree(np.frombuffer(lengths, "<u4").tolist(), np.frombuffer(counts, "<u4").tolist()), 0
+                tree, work = Tree(np.frombuffer(lengths, "<u4"), np.frombuffer(counts, "<u4")), 0
                 for e in todo or ():
                     text, n = edit(text, tree, e["start"] or 0, e["end"] or 0, e["put"] or "", counter)
                     work += n
                 a, b = tree.arrays()
-                out.append((text, before, tree.tokens, work, np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()))
+                out.append((text, before, tree.tokens, work, a.astype("<u4").tobytes(), b.astype("<u4").tobytes()))
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]],
                                              ["doc_id", "text", "tokens_before", "n_tokens", "chars_read", "lengths", "counts"])

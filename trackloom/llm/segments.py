@@ -6,6 +6,8 @@ import numpy as np
 import regex
 import tiktoken
 
+from .tokens import plain_pieces
+
 SLOT = 32
 LOOK = 2  # a pre-token is settled by its own characters and this many after it
 
@@ -30,49 +32,99 @@ class Counter(dict):
         return list(map(self.__getitem__, pieces))
 
 
+class Pieces(dict):
+    """Packed pre-token lengths and counts of a word with the space before it, remembered up to a bound on entries.
+
+    In lines whose words are parted by single spaces such a piece is cut alike whatever stands around it.
+    """
+
+    def __init__(self, counter: Counter, most: int = 1 << 18):
+        super().__init__()
+        self.counter, self.most = counter, most
+
+    def _cut(self, piece: str) -> list[str]:
+        w = piece[1:] if piece[0] == " " else piece
+        if w.isalpha() and max(w) < "\u0250":
+            return [piece]
+        if w[:-1].isalpha() and w[-1] in ".,;:!?" and max(w) < "\u0250":
+            return [piece[:-1], piece[-1]]
+        return self.counter.cut.findall(piece)
+
+    def learn(self, pieces: set[str]) -> None:
+        new = [p for p in pieces if p not in self]
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = list(pieces)
+        cut = list(map(self._cut, new))
+        self.counter.learn({t for c in cut for t in c})
+        known = self.counter
+        for p, c in zip(new, cut):
+            self[p] = (np.array([len(t) for t in c], "<u4").tobytes(), np.array([known[t] for t in c], "<u4").tobytes())
+
+    def packed(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Packed lengths and counts of whole texts."""
+        parts = [plain_pieces(t) for t in texts]
+        self.learn({p for c in parts if c for p in c})
+        out = []
+        for text, c in zip(texts, parts):
+            if c is None:
+                whole = self.counter.cut.findall(text)
+                out.append((np.array(list(map(len, whole)), "<u4").tobytes(), np.array(self.counter.counts(whole), "<u4").tobytes()))
+            else:
+                got = [self[p] for p in c]
+                out.append((b"".join([g[0] for g in got]), b"".join([g[1] for g in got])))
+        return out
+
+
 class Tree:
     """Slots of up to some pre-tokens (lengths, counts) under a binary tree of sums."""
 
-    def __init__(self, lengths: list[int], counts: list[int]):
-        self._build([(lengths[i:i + SLOT], counts[i:i + SLOT]) for i in range(0, len(lengths), SLOT)] or [([], [])])
-
-    def _build(self, slots: list[tuple[list[int], list[int]]]) -> None:
-        self.slots = slots
-        self.leaves = 1 << (len(slots) - 1).bit_length()
-        sums = np.zeros((2 * self.leaves, 2), np.int64)
-        sums[self.leaves:self.leaves + len(slots)] = [(sum(a), sum(b)) for a, b in slots]
+    def __init__(self, lengths, counts):
+        self.base = (np.asarray(lengths, np.int64), np.asarray(counts, np.int64))
+        n = len(self.base[0])
+        self.n_slots = max(1, -(-n // SLOT))
+        self.leaves = 1 << (self.n_slots - 1).bit_length()
+        self.sums = np.zeros((2 * self.leaves, 2), np.int64)
+        if n:
+            at = np.arange(0, n, SLOT)
+            for i in (0, 1):
+                self.sums[self.leaves:self.leaves + self.n_slots, i] = np.add.reduceat(self.base[i], at)
         level = self.leaves
         while level > 1:
-            sums[level // 2:level] = sums[level:2 * level:2] + sums[level + 1:2 * level:2]
+            self.sums[level // 2:level] = self.sums[level:2 * level:2] + self.sums[level + 1:2 * level:2]
             level //= 2
-        self.sums = sums.tolist()
+        self.changed: dict[int, tuple[list[int], list[int]]] = {}
         self.added = 0
 
+    def slot(self, s: int) -> tuple[list[int], list[int]]:
+        own = self.changed.get(s)
+        return own or tuple(x[s * SLOT:(s + 1) * SLOT].tolist() for x in self.base)
+
     @property
     def chars(self) -> int:
-        return self.sums[1][0]
+        return int(self.sums[1, 0])
 
     @property
     def tokens(self) -> int:
-        return self.sums[1][1]
+        return int(self.sums[1, 1])
 
     def slot_at(self, place: int) -> tuple[int, int]:
         """The slot that holds the character at ``place`` (the last one beyond the end), and where it starts."""
         node, start = 1, 0
         while node < self.leaves:
             node *= 2
-            here = self.sums[node][0]
-            if place >= start + here and self.sums[node + 1][0]:
+            here = int(self.sums[node, 0])
+            if place >= start + here and self.sums[node + 1, 0]:
                 start += here
                 node += 1
-        return min(node - self.leaves, len(self.slots) - 1), start
+        return min(node - self.leaves, self.n_slots - 1), start
 
     def boundary(self, place: int) -> int:
         """The last pre-token boundary at or before ``place``."""
         if place <= 0:
             return 0
         slot, at = self.slot_at(place)
-        for n in self.slots[slot][0]:
+        for n in self.slot(slot)[0]:
             if at + n > place:
                 break
             at += n
@@ -84,7 +136,7 @@ class Tree:
     def replace(self, start: int, end: int, lengths: list[int], counts: list[int]) -> None:
         """Put pre-tokens in place of those between two boundaries; sums change along the paths of touched slots."""
         first, at = self.slot_at(start)
-        a, b = self.slots[first]
+        a, b = self.slot(first)
         i = 0
         while at < start:
             at += a[i]
@@ -93,35 +145,42 @@ class Tree:
         slot, k = first, i
         touched = {first}
         while at < end:
-            while k >= len(self.slots[slot][0]):
+            while k >= len(a):
                 slot, k = slot + 1, 0
                 touched.add(slot)
-            at += self.slots[slot][0][k]
+                a, b = self.slot(slot)
+            at += a[k]
             k += 1
-        a, b = self.slots[slot]
         right = (a[k:], b[k:])
         for s in touched:
-            self.slots[s] = ([], [])
+            self.changed[s] = ([], [])
         if slot == first:
-            self.slots[first] = (left[0] + lengths + right[0], left[1] + counts + right[1])
+            self.changed[first] = (left[0] + lengths + right[0], left[1] + counts + right[1])
         else:
-            self.slots[first] = (left[0] + lengths, left[1] + counts)
-            self.slots[slot] = right
+            self.changed[first] = (left[0] + lengths, left[1] + counts)
+            self.changed[slot] = right
         self.added += len(lengths)
-        if self.added > 4 * SLOT * len(self.slots):  # slots grown long: cut anew
+        if self.added > 4 * SLOT * self.n_slots:  # slots grown long: cut anew
             x, y = self.arrays()
             self.__init__(x, y)
             return
         for s in touched:
             node = self.leaves + s
-            self.sums[node] = [sum(self.slots[s][0]), sum(self.slots[s][1])]
+            self.sums[node] = [sum(x) for x in self.changed[s]]
             while node > 1:
                 node //= 2
-                p, q = self.sums[2 * node], self.sums[2 * node + 1]
-                self.sums[node] = [p[0] + q[0], p[1] + q[1]]
-
-    def arrays(self) -> tuple[list[int], list[int]]:
-        return [n for a, _ in self.slots for n in a], [n for _, b in self.slots for n in b]
+                self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """The lengths and counts as they are now."""
+        out = []
+        for i, x in enumerate(self.base):
+            parts, at = [], 0
+            for s in sorted(self.changed):
+                parts += [x[at:s * SLOT], np.array(self.changed[s][i], np.int64)]
+                at = (s + 1) * SLOT
+            out.append(np.concatenate([*parts, x[at:]]))
+        return out[0], out[1]
 
 
 def tree_of(text: str, counter: Counter) -> Tree:

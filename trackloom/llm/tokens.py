@@ -54,23 +54,9 @@ class Encoder:
             for p, a, b in zip(part, at, [*(cuts * 4).tolist(), len(raw)]):
                 self.pieces[p] = raw[a:b]
 
-    @staticmethod
-    def _cut(text: str) -> list[str] | None:
-        """The pieces of a text, line feeds among them, or None if white space is not that plain."""
-        out = []
-        for n, line in enumerate(text.split("\n")):
-            if n:
-                out.append("\n")
-            ws = line.split(" ")
-            if "" in ws:
-                return None
-            out.append(ws[0])
-            out += [" " + w for w in ws[1:]]
-        return out
-
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian 32-bit integers."""
-        cut = [self._cut(t) if t.isprintable() or _plain(t) else None for t in texts]
+        cut = [plain_pieces(t) for t in texts]
         for s in range(0, len(cut), 500):
             part = [c for c in cut[s:s + 500] if c is not None]
             new = {p for c in part for p in c} - self.pieces.keys()
@@ -91,3 +77,19 @@ _ODD = {c for c in map(chr, range(0x110000)) if c.isspace()} - {" ", "\n"}
 def _plain(text: str) -> bool:
     """No white space but spaces and line feeds."""
     return _ODD.isdisjoint(text)
+
+
+def plain_pieces(text: str) -> list[str] | None:
+    """Words with the space before them, and line feeds, of a text without other white space; else None."""
+    if not (text.isprintable() or _plain(text)):
+        return None
+    out = []
+    for n, line in enumerate(text.split("\n")):
+        if n:
+            out.append("\n")
+        ws = line.split(" ")
+        if "" in ws:
+            return None
+        out.append(ws[0])
+        out += [" " + w for w in ws[1:]]
+    return out
