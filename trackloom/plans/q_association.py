@@ -283,12 +283,12 @@ def t11(spark, sf):
 u AS (SELECT track_id, len(vs) AS n, list_reduce(list_transform(vs, lambda w: list_transform(w, lambda z: z / {NORM.format('w')})), lambda a, b:
   list_transform(list_transform(list_zip(a, b), lambda t: 8e-1 * t[1] + 2e-1 * t[2]), lambda z: z / sqrt(list_sum(list_transform(list_zip(a, b), lambda t: (8e-1 * t[1] + 2e-1 * t[2]) ** 2))))) AS m FROM
   (SELECT track_id, list_transform(vs, lambda w: w) AS vs FROM g))
-SELECT track_id, n, round(m[1], 6) AS first, round(m[64], 6) AS last FROM u""")
+SELECT track_id, n, array_to_string(list_transform(m, lambda z: CAST(round(z * 1e6) AS BIGINT)), ',') AS millionths FROM u""")
 def t12(spark, sf):
     from ..functions.vectors import l2_normalize
     e = embeddings(spark, sf).select((F.col("vec_id") % 20).alias("track_id"), "vec_id", l2_normalize(F.col("v")).alias("embedding"))
     out = smooth.embedding_ema(e, ["track_id"], "vec_id")
-    return out.select("track_id", "n", F.round(F.col("embedding")[0], 6).alias("first"), F.round(F.col("embedding")[63], 6).alias("last"))
+    return out.select("track_id", "n", F.concat_ws(",", F.transform("embedding", lambda x: F.round(x * 1e6).cast("long").cast("string"))).alias("millionths"))
 
 
 # --- rectangles ------------------------------------------------------------------------
