@@ -178,7 +178,13 @@ SELECT j.slot_id, track_id, CASE WHEN ts IS NOT NULL AND state IS NULL THEN 'cre
   WHEN ts IS NOT NULL THEN 'kept' WHEN state = 'ACTIVE' AND now - last_seen >= 21600 THEN 'lost' WHEN state = 'LOST' AND now - last_seen >= 86400 THEN 'removed' ELSE 'none' END AS action FROM j LEFT JOIN nn USING (slot_id)"""
 
 
-@query("j06_reconcile", f"WITH {RECON_SQL}")
+RECON_SQL = RECON_SQL.replace("SELECT j.slot_id, track_id, CASE", "SELECT j.slot_id, track_id, state AS was, now, last_seen, CASE")
+
+
+@query("j06_reconcile", f"""SELECT slot_id, track_id, action,
+  CASE WHEN action IN ('created', 'updated', 'recovered') THEN 'ACTIVE' WHEN action = 'lost' THEN 'LOST' WHEN action = 'removed' THEN 'REMOVED' ELSE was END AS state,
+  CAST(round(1e6 * CASE WHEN was IS NULL OR action IN ('created', 'updated', 'recovered', 'kept', 'lost') THEN now ELSE last_seen END) AS BIGINT) AS last_seen_us
+FROM (WITH {RECON_SQL})""")
 def j06(spark, sf):
     log = fx.track_log(spark, sf)
     cut = log.groupBy("slot_id").agg(F.floor(F.max("frame_id") * 99 / 100.0).cast("long").alias("f"))
@@ -189,7 +195,7 @@ def j06(spark, sf):
     now = j.filter("frame_id > f")
     last = now.groupBy("slot_id").agg(F.max("ts").alias("ts"))
     frame = now.select("slot_id", "track_id").distinct().join(last, "slot_id")
-    return jn.reconcile(frame, open_, fx.STALE_S, fx.REMOVAL_S).select("slot_id", "track_id", "action")
+    return jn.reconcile(frame, open_, fx.STALE_S, fx.REMOVAL_S).select("slot_id", "track_id", "action", "state", F.round(F.col("last_seen") * 1e6).cast("long").alias("last_seen_us"))
 
 
 @query("j07_apply_changes", """WITH st AS (SELECT c_custkey, c_acctbal AS v FROM customer), ch AS (SELECT o_custkey AS c_custkey, o_totalprice AS v,
