@@ -7,8 +7,8 @@
 4. Members of buckets that still hold several components meet again by rare shingles: two sets of this similarity share one
    of the first quarter of their shingles in any common order, here the estimated rarity (a count-min table of fixed
    size). So documents that have only a common passage in common part. In each round leaders of a shingle's bucket, taken
-   from its smallest components, are held against its members of other components and then leave it; there are twice as many
-   leaders in each round. Rounds end when every bucket lies in one component, so each pair is compared or already
+   from its smallest components, are held against its members of other components and then leave it; there are four times as
+   many leaders in each round. Rounds end when every bucket lies in one component, so each pair is compared or already
    connected: no cap, and no list of all pairs of a group of copies.
 5. Labels of classes go back to their documents.
 
@@ -48,7 +48,7 @@ def shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the set's identity (h1, h2) and its band keys (none without shingles)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = WordHashes(1 << 18)
         for batch in batches:
             n, h1, h2, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -68,16 +68,32 @@ def signatures(docs: DataFrame) -> DataFrame:
         run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
+class _Sets(dict):
+    """Shingle sets by document, remembered up to a bound on their elements: a document stands in many pairs."""
+
+    def __init__(self, most: int = 1 << 22):
+        super().__init__()
+        self.known, self.most, self.held = WordHashes(1 << 18), most, 0
+
+    def of(self, doc: int, text: str) -> np.ndarray:
+        s = self.get(doc)
+        if s is None:
+            s = shingle_set(text, self.known)
+            if self.held + len(s) > self.most:
+                self.clear()
+                self.held = 0
+            self[doc] = s
+            self.held += len(s)
+        return s
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) of rows (a, b, text of a, text of b) whose full sets are similar enough."""
-    known, last, left = WordHashes(), None, None
-    for batch in batches:
-        a, b, at, bt = (c.to_pylist() for c in batch.columns)
+    sets = _Sets()
+    for batch in (b.slice(s, 500) for b in batches for s in range(0, b.num_rows, 500)):
         keep = []
-        for i in range(len(a)):
-            if last != a[i] or left is None:
-                last, left = a[i], shingle_set(at[i], known)
-            right = shingle_set(bt[i], known)
+        for a, b, at, bt in zip(*(c.to_pylist() for c in batch.columns)):
+            left, right = sets.of(a, at), sets.of(b, bt)
             both = len(np.intersect1d(left, right, assume_unique=True))
             keep.append(OF * both >= LINK * (len(left) + len(right) - both))
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
@@ -136,7 +152,7 @@ def rarity(texts: DataFrame) -> np.ndarray:
 def _prefixes(table: np.ndarray):
     """Of each text its rarest shingles: so many that a similar enough set must hold one of them among its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = WordHashes(1 << 18)
         for batch in batches:
             sizes, keys = [], []
             for text in batch.column(1).to_pylist():
@@ -165,7 +181,7 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
     again = _mixed(members.filter("id <> lead").select("key", "id", "n"), labels).select("id").distinct()
     again = texts.join(again, "id", "left_semi")
     left = again.mapInArrow(_prefixes(rarity(again)), "id long, n long, keys array<long>").select("id", "n", F.explode("keys").alias("key"))
-    leaders = 2
+    leaders = 4
     while True:
         left = cut_lineage(_mixed(left, labels))
         if left.isEmpty():
@@ -179,7 +195,7 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
             links = links.union(found)
             labels = components(links)
         left = left.select("key", "id", "n").join(chosen.select("key", F.col("lead").alias("id")), ["key", "id"], "left_anti")
-        leaders *= 2
+        leaders *= 4
 
 
 def groups(docs: DataFrame) -> DataFrame:
