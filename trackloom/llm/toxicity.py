@@ -151,6 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
         return flat
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labels.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample).drop("_n")
+    chosen = F.broadcast(chosen)  # 2 * sample rows at most
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").select("doc_id", "text", "toxic")
     bags = rows.mapInArrow(_bags, "d long, y long, w string").distinct().persist()
     try:
