@@ -4,7 +4,7 @@ Each stage works on all rows of its predecessor and returns the columns of ``doc
 the packed sequences.
 
 * toxicity: documents scored at or above the limit go; the model learns from the rows of ``labels`` that may be learned from
-* near_duplicates: of each group the document with the smallest id stays
+* near_duplicates: of each group one row of the document with the smallest id stays, and every document without a group
 * secrets: every span is replaced in the text, the document stays
 * source_mix: one row per pass of a document in training order; a pass that a target ends is cut there
 * packing: pieces of sequences of at most 2048 tokens

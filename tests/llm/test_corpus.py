@@ -311,6 +311,15 @@ def test_near_duplicates_of_chains_and_shared_passages(spark):
     assert got == {d: c for d, (_, c) in brute_components(rows).items()}
 
 
+def test_near_duplicates_keep_rows_without_id_and_one_of_repeated_rows(spark):
+    a, b, c, d = (prose(70 + i, 60) for i in range(4))
+    data = [(1, a, "x"), (1, a, "y"), (2, a, "z"), (None, a, "copy"), (None, b, "lone"), (None, None, "null"), (None, "", "empty"),
+            (3, c, "one"), (3, d, "two"), (4, None, "nothing"), (4, None, "nothing")]
+    got = neardup.deduplicate(spark.createDataFrame(data, "doc_id long, text string, tag string").repartition(3)).collect()
+    assert sorted(r.tag for r in got if r.doc_id is None) == ["empty", "lone", "null"]
+    assert sorted((r.doc_id, r.text or "") for r in got if r.doc_id) == sorted([(1, a), (3, c), (3, d), (4, "")])
+
+
 def test_string_kernel_tolerates_gaps():
     x = stringkernel.features(["idiot", "i.d.i.o.t", "idioot", "garden"])
     k = x @ x.T

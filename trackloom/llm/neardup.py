@@ -13,8 +13,9 @@
 5. Labels of classes go back to their documents.
 
 Null and empty texts have no shingles and are linked with nothing. Rows without an id take their class's component, or
-none, and are kept in the latter case. Rows that share an id are one vertex. Only id and text are read; ``deduplicate``
-keeps all columns of the input. Empty input gives an empty result.
+none, and are kept in the latter case. Rows that share an id are one vertex, and ``groups`` marks them alike;
+``deduplicate`` keeps one of those with equal sets, and all columns of the input. Only id and text are compared. Empty
+input gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from trackloom.operators.materialize import cut_lineage
 
@@ -45,6 +47,11 @@ def shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
     return np.unique(shingle_hashes(known.of(ws), min(WIDTH, len(ws)))) if ws else np.empty(0, np.uint64)
 
 
+def identity(s: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the set's identity (h1, h2) and its band keys (none without shingles)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,10 +60,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             n, h1, h2, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, known)
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
-                h1.append((d >> 64) - (1 << 63))
-                h2.append((d & ((1 << 64) - 1)) - (1 << 63))
+                for h, x in zip((h1, h2), identity(s)):
+                    h.append(x)
                 keys.append(bands(fast_sketch(s, BANDS * ROWS), ROWS) if len(s) else np.empty(0, np.int64))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
@@ -198,8 +204,8 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
         leaders *= 4
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, h1, h2, component_id, kept for every row."""
     signed = cut_lineage(signatures(docs))
     some = signed.filter("n_shingles > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
@@ -208,14 +214,43 @@ def groups(docs: DataFrame) -> DataFrame:
     named = classes.select("h1", "h2", "id").join(labels, "id", "left").select("h1", "h2", F.coalesce("comp", "id").alias("_comp"))
     rows = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.coalesce("_comp", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"),
+    return rows.select("doc_id", "n_shingles", "h1", "h2", component.alias("component_id"),
                        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    return _grouped(docs).drop("h1", "h2")
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with the identity of each row's set (_h1, _h2)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes(1 << 18)
+        for batch in batches:
+            found = [identity(shingle_set(t, known)) for t in batch.column("text").to_pylist()]
+            own = [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, "_h1", "_h2"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_h1", LongType()), StructField("_h2", LongType())]))
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest id; rows without an id stay unless they have a group."""
-    found = groups(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == found["_kept_id"], "left_semi")
+    """One document of each group: the one with the smallest id, and one row of it where rows of that id have equal sets.
+
+    Rows without an id stay unless their set has a group. Rows that share an id but not a set are no copies: they stay.
+    """
+    kept = _grouped(docs).filter("kept")
+    ids = cut_lineage(kept.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_n")))
+    key = F.col("doc_id").cast("long")
+    out = docs.join(ids.filter("_n = 1"), key == F.col("_kept_id"), "left_semi")
+    often = ids.filter("_n > 1")
+    if not often.isEmpty():
+        rows = _identified(docs.join(often, key == F.col("_kept_id"), "left_semi"))
+        out = out.unionByName(rows.dropDuplicates(["doc_id", "_h1", "_h2"]).select(*docs.columns))
+    free = kept.filter("doc_id IS NULL").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct()
+    bare = _identified(docs.filter(key.isNull())).join(free, ["_h1", "_h2"], "left_semi")
+    return out.unionByName(bare.select(*docs.columns))
 
 
 @query("op10_near_duplicates")
