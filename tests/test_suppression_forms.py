@@ -40,6 +40,21 @@ def test_both_forms_keep_the_same_rows(spark, rule):
         assert len(kept & {3000, 3001, 3002, 3003}) <= 1  # missing labels suppress each other
 
 
+@pytest.mark.parametrize("large_group", [10 ** 6, 3])
+def test_tiny_copies_and_equal_priorities_at_every_size(spark, large_group):
+    def kept(rows):
+        df = spark.createDataFrame(rows, SCHEMA)
+        return sorted((r.confidence, r.x1) for r in suppress(df, ["slot_id", "frame_id"], [-F.col("confidence")], DETECTOR_RULE, large_group=large_group).collect())
+
+    tiny = (0, 0, 7, "person", 0.5, 0.5, 0.5, 0.50001, 0.50001)
+    large = (0, 0, 8, "person", 0.4, 0.1, 0.1, 0.3, 0.3)
+    assert kept([tiny] * 3 + [large] * 3) == [(0.4, 0.1)] + [(0.5, 0.5)] * 3
+    # equal confidence and number: (0.2, ...) gives way to (0.21, ...) of a higher confidence, (0.7, ...) has no rival,
+    # and of the two near 0.4 the first in the order of columns stays
+    same = [(0, 0, 1, "person", 0.6, x, 0.1, x + 0.2, 0.3) for x in (0.2, 0.7)] + [(0, 0, 2, "person", 0.5, x, 0.6, x + 0.2, 0.8) for x in (0.4, 0.41)]
+    assert kept([(0, 0, 0, "person", 0.9, 0.21, 0.1, 0.41, 0.3), *same]) == [(0.5, 0.4), (0.6, 0.7), (0.9, 0.21)]
+
+
 def test_missing_labels_are_tracked(spark):
     rows = [(0, f, i, None if i else "person", 0.9, 0.1 + 0.3 * i, 0.1, 0.2 + 0.3 * i, 0.3, f / 10) for f in range(12) for i in range(2)]
     got = track(spark.createDataFrame(rows, SCHEMA + ", ts double")).collect()
