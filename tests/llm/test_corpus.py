@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,25 @@ def test_secret_spans(spark, docs, none):
     assert all(not x.spans for x in secrets.scan(docs, secrets.learn(docs)).collect())
 
 
+def test_secret_formats_without_digits_short_and_in_longer_tokens(spark):
+    r = random.Random(6)
+    made = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    letters, both = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    plain = ["".join(r.choice(["the", "in", "on", "er", "and", "ti", "re"]) for _ in range(6)) + r.choice(["", "", "2", "14"]) for _ in range(300)]
+    rows = [(i, f"{w} token = {made(letters if i % 2 else both, r.randrange(12, 20))} end") for i, w in enumerate(plain)]
+    bare = [made(letters, 20), made(letters, 13), made(both, 12), made(both, 15)]
+    rows += [(1000 + i, f"here {x} and {plain[i]}") for i, x in enumerate(bare)]
+    rows += [(2000, "see xyQ0123456789abcdefZw9/er-on it"), (2001, "mypassword: abcdefghijklm")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.text for x in secrets.redact(docs, secrets.learn(docs)).collect()}
+    assert [got[1000 + i] for i in range(4)] == [f"here [SECRET] and {plain[i]}" for i in range(4)]
+    assert all(got[i] == f"{w} [SECRET] end" for i, w in enumerate(plain))
+    assert got[2000] == "see [SECRET][SECRET][SECRET]/er-on it" and got[2001] == "my[SECRET]"
+    long = "0123456789abcdef" * 20
+    found = [x for x in secrets._samples(9)(iter([pa.RecordBatch.from_pydict({"text": [long]})]))][0].to_pylist()
+    assert [x["x"] for x in found] == [long]
+
+
 def test_automaton_generalises():
     a = automata.Automaton([f"id-{i:04d}" for i in range(0, 3000, 7)])
     assert a.log_likelihood("id-9999") > a.log_likelihood("di-9999") and a.log_likelihood("id-1") < a.log_likelihood("id-1234")

@@ -2,13 +2,16 @@
 
 Training: the credentials that the patterns find are labelled by kind; the ``sample`` values of each kind with the
 smallest hashes, and as many ordinary long words, are the only data that reach the driver. Per kind, prefix-tree states
-are merged while their frequencies are statistically compatible. Scan: every word-like run outside the pattern spans is
-scored by every kind's log likelihood, alone and over that of the ordinary words; above limits learned from the same
-sample it is a span of the kind ``format``.
+are merged while their frequencies are statistically compatible. Scan: every word-like run of 12 characters or more
+outside the pattern spans is scored by every kind's log likelihood, alone and over that of the ordinary words (those of
+the sample, with and without digits); above limits learned from the same sample it is a span of the kind ``format``. Runs
+that pattern spans touch are cut there: letters and digits that go on without a break from an access key or a hex string
+belong to it and are of the kind ``format`` too, what else is left is scored at any length. Credentials are learned
+whole; of long ones there are fewer in the sample (``MOST`` characters of a kind, one string at least).
 
 Null and empty texts have no spans. Texts are scanned whole, in the task that reads them, without an exchange. Repeated
 rows get equal spans; other columns of the input are not read by ``scan`` and are kept as they are by ``redact``. With no
-credential to learn from, only the patterns count. Empty input gives an empty result.
+credential to learn from, only the patterns and what belongs to their finds count. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +34,9 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 NAMES = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of 16 and more are the maximal runs that are long enough
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
-SAMPLE, LONGEST = 400, 128
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+UNBROKEN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+SAMPLE, MOST, ODD = 400, 1 << 20, 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -48,30 +51,49 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def candidates(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """Word-like runs that no base span touches."""
-    out = []
+def candidates(text: str, taken: list[tuple[int, int, str, str]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int]]]:
+    """Word-like runs that no base span touches; what base spans leave of the others: parts of their credentials, and the rest."""
+    free, parts, rest = [], [], []
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _, _ in taken):
-            out.append((m.start(), m.end(), m[0]))
-    return out
+        hit = [t for t in taken if t[0] < m.end() and m.start() < t[1]]
+        if not hit:
+            free.append(m.span())
+            continue
+        at, ends = m.start(), {t[1] for t in hit if t[2] != "assign"}
+        starts = {t[0] for t in hit if t[2] != "assign"}
+        for a, b, _, _ in [*hit, (m.end(), m.end(), "", "")]:  # hit is in order of starts
+            if a > at:
+                x = text[at:a]
+                left = len(x) - len(x.lstrip(UNBROKEN)) if at in ends else 0
+                right = max(left, len(x.rstrip(UNBROKEN))) if a in starts else len(x)
+                parts += [(at + i, at + j) for i, j in ((0, left), (right, len(x))) if i < j]
+                rest += [(at + left, at + right)] if left < right else []
+            at = max(at, b)
+    return free, parts, rest
 
 
 class Formats:
     """An automaton per kind, one of ordinary words, and the limits learned from the sample.
 
     A string has a kind's format if its likelihood is not below the first hundredth of the kind's own sample and exceeds
-    the likelihood as an ordinary word by more than any ordinary word of the sample does.
+    the likelihood as an ordinary word by more than any ordinary word of the sample does. Words of the sample that a kind
+    explains better than the ordinary words do are taken for credentials, unless they are more than one in ``ODD``.
     """
 
     def __init__(self, samples: dict[str, list[str]]):
         self.kinds = {k: Automaton(sorted(v)) for k, v in sorted(samples.items()) if k in KINDS and len(v) >= 10}
-        self.plain = Automaton(sorted(samples.get("plain", [])))
-        self.least, self.margin = {}, {}
+        self.least = {}
         for k, a in self.kinds.items():
             own = sorted(a.log_likelihood(x) for x in samples[k])
             self.least[k] = own[len(own) // 100]
-            self.margin[k] = max([0.0, *(a.log_likelihood(x) - self.plain.log_likelihood(x) for x in samples.get("plain", []))])
+        words, self.margin = sorted(samples.get("plain", [])), dict.fromkeys(self.kinds, 0.0)
+        self.plain = Automaton(words)
+        odd = {x for x in words if self.fits(x)}
+        if odd and ODD * len(odd) <= len(words):
+            words = [x for x in words if x not in odd]
+            self.plain = Automaton(words)
+        for k, a in self.kinds.items():
+            self.margin[k] = max([0.0, *(a.log_likelihood(x) - self.plain.log_likelihood(x) for x in words)])
 
     def fits(self, x: str) -> bool:
         plain = self.plain.log_likelihood(x)
@@ -79,9 +101,8 @@ class Formats:
         return any(s >= self.least[k] and s - plain > self.margin[k] for k, s in scores)
 
     def found(self, text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-        if not self.kinds:
-            return []
-        return [(a, b, FORMAT) for a, b, x in candidates(text, taken) if DIGIT.search(x) and self.fits(x)]
+        free, parts, rest = candidates(text, taken)
+        return [(a, b, FORMAT) for a, b in sorted(parts + [s for s in free + rest if self.fits(text[slice(*s)])])]
 
 
 def _samples(size: int):
@@ -96,11 +117,8 @@ def _samples(size: int):
                 if not text:
                     continue
                 spans = base_spans(text)
-                for _, _, kind, x in spans:
-                    best[kind][xxhash.xxh3_64_intdigest(x[:LONGEST]) >> 1] = x[:LONGEST]
-                for _, _, x in candidates(text, spans):
-                    if not DIGIT.search(x):
-                        best["plain"][xxhash.xxh3_64_intdigest(x[:LONGEST]) >> 1] = x[:LONGEST]
+                for kind, x in [*((k, x) for _, _, k, x in spans), *(("plain", text[a:b]) for a, b in candidates(text, spans)[0])]:
+                    best[kind][xxhash.xxh3_64_intdigest(x) >> 1] = x
                 for kind in best:
                     if len(best[kind]) > 8 * size:
                         cut(kind)
@@ -115,9 +133,10 @@ def _samples(size: int):
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Formats:
     """Formats from the ``sample`` credentials of each kind (and ordinary words) with the smallest hashes."""
     rows = docs.select("text").mapInArrow(_samples(sample), "kind string, h long, x string").distinct()
-    place = F.row_number().over(Window.partitionBy("kind").orderBy("h"))
+    order = Window.partitionBy("kind").orderBy("h")
+    rows = rows.withColumns({"_n": F.row_number().over(order), "_c": F.sum(F.length("x")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
     samples: dict[str, list[str]] = {}
-    for r in rows.withColumn("_n", place).filter(F.col("_n") <= sample).collect():  # 4 * sample rows at most
+    for r in rows.filter((F.col("_n") <= sample) & ((F.col("_c") <= MOST) | (F.col("_n") == 1))).collect():  # 4 * sample rows at most
         samples.setdefault(r.kind, []).append(r.x)
     return Formats(samples)
 
