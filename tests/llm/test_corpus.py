@@ -106,6 +106,17 @@ def test_style_tree_removes_shared_branches(spark):
     assert got[103] == "same body same Same words on every page own same"  # a host of copies has no layout to tell
 
 
+def test_hinted_wrappers_of_the_text_stay():
+    text = lambda h: htmltext.main_text(htmltext.read(PAGE.format(h), "http://h.example/"))
+    for wrapper in ('div class="container has-sidebar"', 'div id="main-widget"', 'div class="post-header"', "form"):
+        end = wrapper.split()[0]
+        assert text(f"<{wrapper}><article><p>one long text</p></article><div class=sidebar>no</div></{end}>") == "one long text"
+        assert text(f"<{wrapper}><p>one long text</p><nav>menu</nav><div class=sidebar>no</div></{end}>") == "one long text"
+    assert text("<div class=sidebar><main>short</main></div><p>other text that is longer</p>") == "short"
+    assert text("<article>the text of the page</article><div class=related><article>teaser</article></div>") == "the text of the page"
+    assert text("<div>the text of the page</div><div class=ad>buy</div><form>go</form><footer>a footer that is longer than the text</footer>") == "the text of the page"
+
+
 def test_page_reader_survives_odd_markup():
     for s in ("<", "<p", "</p></p>", "<a href='>'>x", "<script>", "<!-- open", "<p>a<div>b</p>c", "&#0;&bogus;&amp", "<ul><li>a<ul><li>b</ul><li>c</ul>"):
         dom.Page(s)

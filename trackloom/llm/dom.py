@@ -24,8 +24,11 @@ FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
          "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 NOISE = {"head", "nav", "footer", "aside", "form", "button", "select", "noscript", "template", "dialog", "menu", "svg", "math", "object", "audio",
          "video", "canvas", "search", "fieldset", "label"} | RAW
+FRAMES = {"nav", "footer", "aside", "dialog", "menu", "search", "fieldset"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 MAIN = {"article", "main"}
+PLAIN, HINTED, DECLARED, HARD = 0, 1, 2, 3  # what a node's own tag says: nothing, a word of its class or id, an element or role, hidden
+LOW, SLOPE, MOST = 0.15, 0.5, 0.5  # weight of what is hinted by its share of the page's text; from MOST on it is whole
 HINT = re.compile(r"(?:^|[-_\s])(?:ads?|adverts?|advertis\w*|banner|cookies?|consent|gdpr|notices?|alert|promos?|promot\w*|sponsor\w*|sidebar|menus?|nav|navbar|"
                   r"navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|repl(?:y|ies)|respond|disqus|shar(?:e|ing)|social|related|recommend\w*|"
                   r"newsletter|subscri\w*|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|skip)(?:$|[-_\s])", re.I)
@@ -38,7 +41,7 @@ class Node:
     key: str
     parent: int
     path: int
-    noise: bool
+    kind: int
     main: bool
     children: list[str] = field(default_factory=list)
 
@@ -47,24 +50,30 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /\n\t") else {}
 
 
-def _is_noise(name: str, a: dict[str, str], inside_main: bool) -> bool:
-    if name in NOISE or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES:
-        return True
+def _kind(name: str, a: dict[str, str], inside_main: bool) -> int:
+    if name in NOISE and name not in FRAMES and name != "form" or "hidden" in a or a.get("aria-hidden") == "true":
+        return HARD
+    if "display:none" in a.get("style", "").replace(" ", "").lower() and name not in ("html", "body", "main", "article", "header"):
+        return HARD
+    if name in FRAMES or a.get("role", "").lower() in ROLES - {"form"}:
+        return DECLARED
+    if name == "form" or a.get("role", "").lower() == "form":
+        return HINTED
     if name in ("html", "body", "main"):
-        return False
+        return PLAIN
     if name == "header":
-        return not inside_main
+        return PLAIN if inside_main else DECLARED
     hint = f"{a.get('class', '')} {a.get('id', '')}"
     if name == "article":
-        return bool(re.search(r"(?:^|[-_\s])(?:comments?|repl(?:y|ies)|teaser|related|promo|ad)(?:$|[-_\s])", hint, re.I))
-    return bool(hint.strip() and HINT.search(hint)) or "display:none" in a.get("style", "").replace(" ", "").lower()
+        return HINTED if re.search(r"(?:^|[-_\s])(?:comments?|repl(?:y|ies)|teaser|related|promo|ad)(?:$|[-_\s])", hint, re.I) else PLAIN
+    return HINTED if hint.strip() and HINT.search(hint) else PLAIN
 
 
 class Page:
     """``nodes`` (the first is the page itself) and ``blocks``: (node, text) in page order, texts decoded and trimmed."""
 
     def __init__(self, source: str, salt: str = ""):
-        self.nodes = [Node("", "", -1, xxhash.xxh3_64_intdigest(salt.encode()), False, False)]
+        self.nodes = [Node("", "", -1, xxhash.xxh3_64_intdigest(salt.encode()), PLAIN, False)]
         self.blocks: list[tuple[int, str]] = []
         self._text: list[str] = []
         stack, at = [0], 0
@@ -119,12 +128,12 @@ class Page:
     def _open(self, stack: list[int], name: str, a: dict[str, str]) -> None:
         up = self.nodes[stack[-1]]
         key = f"{name}.{a.get('class', '')}#{re.sub(r'[0-9]+', '0', a.get('id', ''))}"
-        noise = up.noise or _is_noise(name, a, up.main)
+        kind = HARD if up.kind == HARD else _kind(name, a, up.main)
         path = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"), seed=up.path)
         if not up.children or up.children[-1] != key:
             up.children.append(key)
-        main = not noise and (up.main or name in MAIN or a.get("role", "").lower() == "main")
-        self.nodes.append(Node(name, key, stack[-1], path, noise, main))
+        main = kind != HARD and (up.main or (name in MAIN or a.get("role", "").lower() == "main") and kind == PLAIN)
+        self.nodes.append(Node(name, key, stack[-1], path, kind, main))
         stack.append(len(self.nodes) - 1)
 
     def _flush(self, node: int) -> None:
@@ -141,3 +150,29 @@ class Page:
             out.append(node)
             node = self.nodes[node].parent
         return out
+
+    def weights(self) -> list[float]:
+        """How far the tags of each node and of those around it let it count: 1 where nothing speaks against it, 0 where it is hidden or framing.
+
+        A hinted container that holds the main element or most of the text (outside frames) is not lowered, others by their share;
+        text that stands in the node itself, in no block of it, does not count for the share.
+        """
+        size, shown, core = [0] * len(self.nodes), [True] * len(self.nodes), [False] * len(self.nodes)
+        for i, n in enumerate(self.nodes[1:], 1):
+            shown[i] = shown[n.parent] and n.kind not in (DECLARED, HARD)
+            core[i] = n.name == "main" and n.kind != HARD
+        for node, text in self.blocks:
+            size[node] += len(text) * shown[node]
+        direct = size[:]
+        for i in range(len(self.nodes) - 1, 0, -1):
+            up = self.nodes[i].parent
+            size[up] += size[i]
+            core[up] = core[up] or core[i]
+        out = [1.0]
+        for i, n in enumerate(self.nodes[1:], 1):
+            own = 1.0 if n.kind == PLAIN else 0.0
+            if n.kind == HINTED:
+                share = (size[i] - direct[i]) / max(1, size[0])
+                own = 1.0 if core[i] or share >= MOST else LOW + SLOPE * share
+            out.append(out[n.parent] * own)
+        return out

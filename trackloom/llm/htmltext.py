@@ -5,8 +5,9 @@ child sequences that its pages show) and a content importance (entropy of its te
 host's whole pages, so a host of copies does not look like one of templates. A node's importance is the larger of the
 two; branches below the threshold that enough pages share are layout and are removed from each page.
 
-What HTML itself declares is not left to statistics: menus, footers, forms, adverts, comments and the like are removed by
-element, role and class; and a page's article (or main element), where it has one, is the region the text is taken from,
+What HTML itself declares is not left to statistics: menus, footers and the like are removed by element and role. Words of
+classes and ids, and forms, only lower a node's importance, the more the less of the page's text it holds, and not at all
+where it holds the main element or most of the text; and a page's article (or main element), where it has one, is the region the text is taken from,
 in which only containers, never paragraphs or headings, can be layout.
 
 The merged tree is an aggregate over (host, path, value), summed in every task before the exchange, so a host with a
@@ -44,17 +45,16 @@ def read(source: str | None, url: str | None) -> Page:
     return Page(source or "", host(url))
 
 
-def candidates(page: Page) -> list[tuple[int, str]]:
-    """Blocks that HTML itself does not declare to be layout: those of the article, if there is one."""
-    nodes = page.nodes
-    inside = [b for b in page.blocks if not nodes[b[0]].noise]
-    main = [b for b in inside if nodes[b[0]].main]
-    blocks = main or inside
+def candidates(page: Page, threshold: float = THRESHOLD) -> list[tuple[int, str, float]]:
+    """(node, text, weight) of the blocks that HTML itself leaves to be text: those of the article, if there is one."""
+    nodes, weights = page.nodes, page.weights()
+    inside = [(node, text, weights[node]) for node, text in page.blocks if weights[node] >= threshold]
+    blocks = [b for b in inside if nodes[b[0]].main and weights[b[0]] == 1] or inside
     out = []
-    for node, text in blocks:
+    for node, text, weight in blocks:
         names = [nodes[i].name for i in page.lineage(node)]
         if "header" not in names or any(n in HEADINGS for n in names):
-            out.append((node, text))
+            out.append((node, text, weight))
     return out
 
 
@@ -69,9 +69,9 @@ def _hash(text: str, seed: int = 0) -> int:
 def _observed(page: Page) -> list[tuple[int, int, int]]:
     """(path, kind, value) of the page: child sequences and texts of nodes that may be layout, and the page as a whole (path 0)."""
     blocks = candidates(page)
-    rows = {(_signed(page.nodes[0].path), CONTENT, _hash("\n".join(t for _, t in blocks)))}
+    rows = {(_signed(page.nodes[0].path), CONTENT, _hash("\n".join(t for _, t, _ in blocks)))}
     texts: dict[int, list[str]] = {}
-    for node, text in blocks:
+    for node, text, _ in blocks:
         for i in page.lineage(node):
             texts.setdefault(i, []).append(text)
     for i, ts in texts.items():
@@ -114,7 +114,7 @@ def layout(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = LE
 
 def main_text(page: Page, layout_paths: set[int] = frozenset()) -> str:
     out = []
-    for node, text in candidates(page):
+    for node, text, _ in candidates(page):
         if not layout_paths or not any(_signed(page.nodes[i].path) in layout_paths for i in page.lineage(node)):
             out.append(text)
     return " ".join(out)
