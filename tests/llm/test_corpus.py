@@ -117,6 +117,20 @@ def test_hinted_wrappers_of_the_text_stay():
     assert text("<div>the text of the page</div><div class=ad>buy</div><form>go</form><footer>a footer that is longer than the text</footer>") == "the text of the page"
 
 
+def test_style_tree_judges_paragraphs_and_headings(spark):
+    page = "<article><h2>Our weekly news</h2><h1>title {0}</h1><p>a long enough body of page {0}</p><p>Licence line</p></article>"
+    near = "<article><h1>same title</h1><p>most of the text is the same on both pages</p><p>end {0}</p></article>"
+    pages = [(100 * n + i, f"http://h{n}.example/{i}", page.format(f"{n}-{i}")) for n in (2, 3, 12) for i in range(n)]
+    pages += [(5000 + i, "http://near.example/", near.format(i)) for i in range(2)] + [(6000, "http://single.example/", page.format("x"))]
+    pages += [(7000 + i, "http://rare.example/", f"<article><p>{prose(i, 9)}</p>" + "<p>quoted by two</p></article>" * (i < 2)) for i in range(30)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for n in (2, 3, 12):
+        assert [got[100 * n + i] for i in range(n)] == [f"title {n}-{i} a long enough body of page {n}-{i}" for i in range(n)]
+    assert got[5001] == "same title most of the text is the same on both pages end 1"
+    assert got[6000] == "Our weekly news title x a long enough body of page x Licence line"
+    assert got[7000] == prose(0, 9) + " quoted by two"
+
+
 def test_page_reader_survives_odd_markup():
     for s in ("<", "<p", "</p></p>", "<a href='>'>x", "<script>", "<!-- open", "<p>a<div>b</p>c", "&#0;&bogus;&amp", "<ul><li>a<ul><li>b</ul><li>c</ul>"):
         dom.Page(s)
