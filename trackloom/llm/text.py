@@ -7,6 +7,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.materialize import new_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -24,6 +26,13 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again from there."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 class WordHashes(dict):
     """64-bit hash of a word (UTF-8 bytes), remembered up to a bound on entries."""
 
