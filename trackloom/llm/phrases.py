@@ -32,9 +32,10 @@ from .text import WordHashes, documents, scramble, stored
 LONGEST, LEAST, TOP = 4, 30, 2000
 COVERED, OF = 80, 100
 SCORE = 2_000_000
-BLOCK, HELD = 1 << 23, 1 << 25  # bytes of text looked at in one go; of all languages that wait for more
+BLOCK, HELD = 1 << 21, 1 << 23  # bytes of text looked at in one go; of all languages that wait for more
 TABLE_BITS = 29  # at most 64 MB of bits for the frequent pairs
 SLICES = 256
+ROWS = 1 << 16  # rows sent to Spark at once
 PARTS = 64
 BREAK = b"\n"
 CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
@@ -91,13 +92,17 @@ def _pair_hashes(lang: str, ws: list[bytes], known: WordHashes) -> tuple[np.ndar
     return scramble(scramble(h[:-1] + salt) + h[1:]), ~(stop[:-1] | stop[1:])
 
 
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(s, ROWS) for s in range(0, batch.num_rows, ROWS))
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of pairs and how often they occur in a block of the task."""
     known = WordHashes(1 << 18)
     for lang, ws in _blocks(batches):
         pair, inside = _pair_hashes(lang, ws, known)
         keys, counts = np.unique(pair[inside], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["pair", "c"])
+        yield from _sliced(pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["pair", "c"]))
 
 
 def _table_bits(n: int) -> int:
@@ -158,8 +163,10 @@ def _windows(table):
                 lead.append(np.where(open_, ahead[k:k + len(ws)], 0))
             rows, counts = _distinct([c[code != 1] for c in lead])
             names = pa.array(ids, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), *(names.take(pa.array(c)) for c in rows),
-                                              pa.array(counts.astype(np.int64))], ["lang", *WORDS, "c"])
+            for s in range(0, len(counts), ROWS):
+                some = slice(s, s + ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts[some]), pa.string()), *(names.take(pa.array(c[some])) for c in rows),
+                                                  pa.array(counts[some].astype(np.int64))], ["lang", *WORDS, "c"])
     return run
 
 
