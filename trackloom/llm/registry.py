@@ -22,5 +22,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import curriculum, edits, fingerprint, htmltext, neardup, packing, phrases, quality, secrets, substring, toxicity, whitening  # noqa: F401
+    from . import curriculum, edits, fingerprint, htmltext, neardup, packing, personal, phrases, quality, secrets, substring, toxicity, whitening  # noqa: F401
     return dict(QUERIES), dict(ORACLE)
