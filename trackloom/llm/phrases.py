@@ -1,10 +1,11 @@
 """Phrase collocation mining: only the longest windows are counted, ROLLUP gives every shorter phrase.
 
-1. A position leads a window of up to four words of its piece. Pairs of neighbouring words are counted by 64-bit hash; the
-   hashes of pairs that occur often enough to be a candidate's go into a bit table of bounded size. Pairs that only seem to
-   be frequent cost time, never a count: no frequent pair is missed.
-2. Each position is counted once, as the longest run of frequent pairs that it leads, padded with empty words. A phrase
-   with enough occurrences holds frequent pairs only, so each of its occurrences starts such a window. Windows are summed
+1. A position leads a window of up to four words of its piece. Words and pairs of neighbouring words are counted by 64-bit
+   hash; the hashes of those that occur often enough to be in a candidate go into a bit table of bounded size. What only seems
+   to be frequent costs time, never a count: nothing frequent is missed.
+2. Each position is counted once, as the longest run of frequent pairs that it leads, padded with empty words (all four are
+   empty for a rare word). A phrase with enough occurrences holds frequent words and pairs only, so each of its occurrences
+   starts such a window. Windows are summed
    per task in blocks, then a Spark ROLLUP over (lang, w1, w2, w3, w4) sums the shorter prefixes: counts of all phrases
    above the limit, of single words, and of all words of a language, without exploding n-grams order by order.
 3. Phrases meet the counts of their parts by joins on (lang, part); the lowest-scoring cut counts. Longer phrases name the
@@ -84,25 +85,25 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
         yield take(lang)
 
 
-def _pair_hashes(lang: str, ws: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Of each place and its follower: the hash of the pair in its language, and whether both are words of one piece."""
+def _hashes(lang: str, ws: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place: the hash of its word in its language, whether it is a word; the same of each place with its follower."""
     h = known.of(ws)
-    stop = np.fromiter((w == BREAK for w in ws), bool, len(ws))
-    salt = scramble(known.of([lang.encode("utf-8", "surrogatepass")]))
-    return scramble(scramble(h[:-1] + salt) + h[1:]), ~(stop[:-1] | stop[1:])
+    there = np.fromiter((w != BREAK for w in ws), bool, len(ws))
+    own = scramble(h + scramble(known.of([lang.encode("utf-8", "surrogatepass")])))
+    return own, there, scramble(own[:-1] + h[1:]), there[:-1] & there[1:]
 
 
 def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (batch.slice(s, ROWS) for s in range(0, batch.num_rows, ROWS))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of pairs and how often they occur in a block of the task."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of words and pairs and how often they occur in a block of the task."""
     known = WordHashes(1 << 18)
     for lang, ws in _blocks(batches):
-        pair, inside = _pair_hashes(lang, ws, known)
-        keys, counts = np.unique(pair[inside], return_counts=True)
-        yield from _sliced(pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["pair", "c"]))
+        own, there, pair, inside = _hashes(lang, ws, known)
+        keys, counts = np.unique(np.concatenate([own[there], pair[inside]]), return_counts=True)
+        yield from _sliced(pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "c"]))
 
 
 def _table_bits(n: int) -> int:
@@ -110,11 +111,11 @@ def _table_bits(n: int) -> int:
     return min(TABLE_BITS, max(14, (16 * n).bit_length()))
 
 
-def frequent_pairs(texts: DataFrame, least: int = LEAST) -> np.ndarray:
-    """A bit table in which the hash of every pair with ``least`` occurrences is set; ``texts``: lang, text."""
-    pairs = texts.mapInArrow(_pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
-    pairs = stored(pairs.select("pair"), "pairs")
-    bits = _table_bits(pairs.count())
+def frequent(texts: DataFrame, least: int = LEAST) -> np.ndarray:
+    """A bit table in which the hash of every word and pair with ``least`` occurrences is set; ``texts``: lang, text."""
+    keys = texts.mapInArrow(_counts, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+    keys = stored(keys.select("key"), "frequent")
+    bits = _table_bits(keys.count())
     per = (1 << bits) // SLICES
 
     def pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +124,8 @@ def frequent_pairs(texts: DataFrame, least: int = LEAST) -> np.ndarray:
             own[batch.column("at").to_numpy()] = True
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], ["s", "bits"])
 
-    place = F.pmod("pair", F.lit(1 << bits))
-    placed = pairs.select(F.floor(place / per).cast("int").alias("s"), (place % per).cast("int").alias("at")).distinct()
+    place = F.pmod("key", F.lit(1 << bits))
+    placed = keys.select(F.floor(place / per).cast("int").alias("s"), (place % per).cast("int").alias("at")).distinct()
     table = np.zeros((1 << bits) // 8, np.uint8)
     for r in placed.groupBy("s").applyInArrow(pack, "s int, bits binary").collect():  # 2 ** TABLE_BITS / 8 bytes at most
         table[r.s * per // 8:(r.s + 1) * per // 8] = np.frombuffer(r.bits, np.uint8)
@@ -153,15 +154,16 @@ def _windows(table):
         for lang, ws in _blocks(batches):
             ids: dict[bytes, int] = {b"": 0, BREAK: 1}
             code = np.fromiter((ids.setdefault(w, len(ids)) for w in ws), np.int64, len(ws))
-            pair, inside = _pair_hashes(lang, ws, known)
+            own, there, pair, inside = _hashes(lang, ws, known)
+            often = there & _is_set(bits, own)
             on = np.zeros(len(ws) + LONGEST, bool)
-            on[:len(pair)] = inside & _is_set(bits, pair)
+            on[:len(pair)] = inside & often[:-1] & often[1:] & _is_set(bits, pair)
             ahead = np.concatenate([code, np.zeros(LONGEST, np.int64)])
-            lead, open_ = [code], np.ones(len(ws), bool)
+            lead, open_ = [np.where(often, code, 0)], np.ones(len(ws), bool)
             for k in range(1, LONGEST):
                 open_ &= on[k - 1:k - 1 + len(ws)]
                 lead.append(np.where(open_, ahead[k:k + len(ws)], 0))
-            rows, counts = _distinct([c[code != 1] for c in lead])
+            rows, counts = _distinct([c[there] for c in lead])
             names = pa.array(ids, pa.binary()).cast(pa.string())
             for s in range(0, len(counts), ROWS):
                 some = slice(s, s + ROWS)
@@ -173,7 +175,7 @@ def _windows(table):
 def counted(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, size (words in the phrase; 0: all words of the language), w1 .. w4 and f, for phrases with ``least`` occurrences."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), "text").filter("text IS NOT NULL")
-    table = docs.sparkSession.sparkContext.broadcast(frequent_pairs(texts, least).tobytes())
+    table = docs.sparkSession.sparkContext.broadcast(frequent(texts, least).tobytes())
     windows = texts.mapInArrow(_windows(table), "lang string, w1 string, w2 string, w3 string, w4 string, c long")
     rolled = windows.rollup("lang", *WORDS).agg(F.sum("c").alias("f"), F.grouping_id().alias("_g"))
     # grouping_id has a bit for each column that is summed away, the last column's is 1
