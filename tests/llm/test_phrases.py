@@ -70,9 +70,9 @@ def test_nothing_to_count(spark):
         assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and got.count() == 0
 
 
-def test_pair_hashes_that_collide_only_lengthen_windows(spark, rows, monkeypatch):
+def test_hashes_that_collide_only_lengthen_windows(spark, rows, monkeypatch):
     monkeypatch.setattr(phrases, "_table_bits", lambda n: 14)
-    monkeypatch.setattr(phrases, "_is_set", lambda table, pair: np.ones(len(pair), bool))
+    monkeypatch.setattr(phrases, "_is_set", lambda table, key: np.ones(len(key), bool))
     docs = spark.createDataFrame([(d, t, lang, "w", 1, "f", 2) for d, t, lang in rows], SCHEMA)
     assert sorted(tuple(r) for r in phrases.collocations(docs, 3).collect()) == brute(rows, 3, 2000)
 

@@ -1,11 +1,11 @@
 """Phrase collocation mining: only the longest windows are counted, ROLLUP gives every shorter phrase.
 
 1. A position leads a window of up to four words of its piece. Words and pairs of neighbouring words are counted by 64-bit
-   hash; the hashes of those that occur often enough to be in a candidate go into a bit table of bounded size. What only seems
-   to be frequent costs time, never a count: nothing frequent is missed.
-2. Each position is counted once, as the longest run of frequent pairs that it leads, padded with empty words (all four are
-   empty for a rare word). A phrase with enough occurrences holds frequent words and pairs only, so each of its occurrences
-   starts such a window. Windows are summed
+   hash, then triples of frequent pairs; the hashes of those that occur often enough to be in a candidate go into bit tables
+   of bounded size. What only seems to be frequent costs time, never a count: nothing frequent is missed.
+2. Each position is counted once, as the longest run of frequent triples that it leads, padded with empty words (or a
+   frequent pair, a frequent word, nothing). A phrase with enough occurrences holds frequent words, pairs and triples only,
+   so each of its occurrences starts such a window. Windows are summed
    per task in blocks, then a Spark ROLLUP over (lang, w1, w2, w3, w4) sums the shorter prefixes: counts of all phrases
    above the limit, of single words, and of all words of a language, without exploding n-grams order by order.
 3. Phrases meet the counts of their parts by joins on (lang, part); the lowest-scoring cut counts. Longer phrases name the
@@ -38,14 +38,14 @@ TABLE_BITS = 29  # at most 64 MB of bits for the frequent pairs
 SLICES = 256
 ROWS = 1 << 16  # rows sent to Spark at once
 PARTS = 64
-BREAK = b"\n"
-CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
+BREAK = b"\xff"  # no UTF-8 text holds this byte
+CUTS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d", 10 * BREAK)
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
 
 def tokens(text: bytes) -> list[bytes]:
     """The words of a text, with a break where a piece ends."""
-    return [t for t in text.lower().translate(CUTS).replace(BREAK, b" \n ").split(b" ") if t]
+    return text.lower().translate(CUTS).replace(BREAK, b" \xff ").split()  # only spaces and tabs are left of what this splits at
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
@@ -85,35 +85,57 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
         yield take(lang)
 
 
-def _hashes(lang: str, ws: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each place: the hash of its word in its language, whether it is a word; the same of each place with its follower."""
-    h = known.of(ws)
-    there = np.fromiter((w != BREAK for w in ws), bool, len(ws))
-    own = scramble(h + scramble(known.of([lang.encode("utf-8", "surrogatepass")])))
-    return own, there, scramble(own[:-1] + h[1:]), there[:-1] & there[1:]
+class Places:
+    """The words of a block, their hashes in their language, and which of them, and runs of them, occur often enough."""
 
+    def __init__(self, lang: str, ws: list[bytes], known: WordHashes):
+        h = known.of(ws)
+        self.there = h != np.uint64(known[BREAK])
+        self.word = scramble(h + scramble(known.of([lang.encode("utf-8", "surrogatepass")])))
+        self.pair = scramble(self.word[:-1] + h[1:])
+        self.paired = self.there[:-1] & self.there[1:]
+        self.triple = scramble(self.pair[:-1] + h[2:]) if len(ws) > 2 else np.empty(0, np.uint64)
 
-def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(s, ROWS) for s in range(0, batch.num_rows, ROWS))
+    def frequent_pairs(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a place has a frequent word, and leads a frequent pair."""
+        word = self.there & _is_set(table, self.word)
+        return word, self.paired & word[:-1] & word[1:] & _is_set(table, self.pair)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of words and pairs and how often they occur in a block of the task."""
     known = WordHashes(1 << 18)
     for lang, ws in _blocks(batches):
-        own, there, pair, inside = _hashes(lang, ws, known)
-        keys, counts = np.unique(np.concatenate([own[there], pair[inside]]), return_counts=True)
-        yield from _sliced(pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "c"]))
+        p = Places(lang, ws, known)
+        yield from _summed(np.concatenate([p.word[p.there], p.pair[p.paired]]))
+
+
+def _triple_counts(table):
+    """The same of triples both pairs of which are frequent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bits = WordHashes(1 << 18), np.frombuffer(table.value, np.uint8)
+        for lang, ws in _blocks(batches):
+            p = Places(lang, ws, known)
+            on = p.frequent_pairs(bits)[1]
+            yield from _summed(p.triple[on[:-1] & on[1:]])
+    return run
+
+
+def _summed(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    keys, counts = np.unique(keys, return_counts=True)
+    for s in range(0, len(keys), ROWS):
+        some = slice(s, s + ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], ["key", "c"])
 
 
 def _table_bits(n: int) -> int:
-    """One pair in sixteen bits, up to the bound."""
+    """One key in sixteen bits, up to the bound."""
     return min(TABLE_BITS, max(14, (16 * n).bit_length()))
 
 
-def frequent(texts: DataFrame, least: int = LEAST) -> np.ndarray:
-    """A bit table in which the hash of every word and pair with ``least`` occurrences is set; ``texts``: lang, text."""
-    keys = texts.mapInArrow(_counts, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+def frequent(texts: DataFrame, count, least: int) -> np.ndarray:
+    """A bit table in which every key is set that ``count`` finds ``least`` times or more; ``texts``: lang, text."""
+    keys = texts.mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
     keys = stored(keys.select("key"), "frequent")
     bits = _table_bits(keys.count())
     per = (1 << bits) // SLICES
@@ -132,38 +154,37 @@ def frequent(texts: DataFrame, least: int = LEAST) -> np.ndarray:
     return table
 
 
-def _is_set(table: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    at = pair & np.uint64(8 * len(table) - 1)
+def _is_set(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key & np.uint64(8 * len(table) - 1)
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
 
 
 def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct rows of columns of numbers below 2**32 and their counts."""
     code = columns[0].astype(np.uint64)
-    firsts = np.arange(len(code))
     for c in columns[1:]:
         code = (np.unique(code, return_inverse=True)[1].astype(np.uint64) << np.uint64(32)) | c.astype(np.uint64)
     _, firsts, counts = np.unique(code, return_index=True, return_counts=True)
     return [c[firsts] for c in columns], counts
 
 
-def _windows(table):
+def _windows(pairs, triples):
     """Padded longest windows with their counts in a block of the task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = WordHashes(1 << 18), np.frombuffer(table.value, np.uint8)
+        known, pair_bits, triple_bits = WordHashes(1 << 18), *(np.frombuffer(t.value, np.uint8) for t in (pairs, triples))
         for lang, ws in _blocks(batches):
-            ids: dict[bytes, int] = {b"": 0, BREAK: 1}
-            code = np.fromiter((ids.setdefault(w, len(ids)) for w in ws), np.int64, len(ws))
-            own, there, pair, inside = _hashes(lang, ws, known)
-            often = there & _is_set(bits, own)
-            on = np.zeros(len(ws) + LONGEST, bool)
-            on[:len(pair)] = inside & often[:-1] & often[1:] & _is_set(bits, pair)
-            ahead = np.concatenate([code, np.zeros(LONGEST, np.int64)])
-            lead, open_ = [np.where(often, code, 0)], np.ones(len(ws), bool)
-            for k in range(1, LONGEST):
-                open_ &= on[k - 1:k - 1 + len(ws)]
-                lead.append(np.where(open_, ahead[k:k + len(ws)], 0))
-            rows, counts = _distinct([c[there] for c in lead])
+            p = Places(lang, ws, known)
+            word, pair = p.frequent_pairs(pair_bits)
+            on = np.zeros((LONGEST, len(ws) + LONGEST), bool)  # whether a place leads a frequent run of so many words
+            on[0, :len(word)], on[1, :len(pair)] = word, pair
+            on[2, :len(p.triple)] = pair[:-1] & pair[1:] & _is_set(triple_bits, p.triple) if len(p.triple) else False
+            for k in range(3, LONGEST):
+                on[k, :-1] = on[k - 1, :-1] & on[k - 1, 1:]
+            ids: dict[bytes, int] = {b"": 0}
+            code = np.zeros(len(ws) + LONGEST, np.int64)
+            often = np.flatnonzero(word)
+            code[often] = np.fromiter((ids.setdefault(ws[i], len(ids)) for i in often.tolist()), np.int64, len(often))
+            rows, counts = _distinct([np.where(on[k, :len(ws)], code[k:k + len(ws)], 0)[p.there] for k in range(LONGEST)])
             names = pa.array(ids, pa.binary()).cast(pa.string())
             for s in range(0, len(counts), ROWS):
                 some = slice(s, s + ROWS)
@@ -175,8 +196,10 @@ def _windows(table):
 def counted(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, size (words in the phrase; 0: all words of the language), w1 .. w4 and f, for phrases with ``least`` occurrences."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), "text").filter("text IS NOT NULL")
-    table = docs.sparkSession.sparkContext.broadcast(frequent(texts, least).tobytes())
-    windows = texts.mapInArrow(_windows(table), "lang string, w1 string, w2 string, w3 string, w4 string, c long")
+    sent = docs.sparkSession.sparkContext.broadcast
+    pairs = sent(frequent(texts, _counts, least).tobytes())
+    triples = sent(frequent(texts, _triple_counts(pairs), least).tobytes())
+    windows = texts.mapInArrow(_windows(pairs, triples), "lang string, w1 string, w2 string, w3 string, w4 string, c long")
     rolled = windows.rollup("lang", *WORDS).agg(F.sum("c").alias("f"), F.grouping_id().alias("_g"))
     # grouping_id has a bit for each column that is summed away, the last column's is 1
     size = F.lit(LONGEST) - F.bit_count("_g")
