@@ -4,12 +4,11 @@
 2. Documents of equal sets are one class, named by the smallest id; only classes go on.
 3. Classes that share a band key are a bucket. A bucket's smallest member is held against the others; pairs are verified on
    the full sets of both texts and verified links join components. This connects groups of copies.
-4. Members of buckets that still hold several components meet again by rare shingles: two sets of this similarity share one
-   of the first quarter of their shingles in any common order, here the estimated rarity (a count-min table of fixed
-   size). So documents that have only a common passage in common part. In each round leaders of a shingle's bucket, taken
-   from its smallest components, are held against its members of other components and then leave it; there are four times as
-   many leaders in each round. Rounds end when every bucket lies in one component, so each pair is compared or already
-   connected: no cap, and no list of all pairs of a group of copies.
+4. Buckets that still hold several components are compared in blocks: the members outside the bucket's largest component
+   among themselves and with that component's members. Longer sketches of the same kind, one byte a coordinate, are held
+   against each other inside a task; only pairs of different components whose sketches agree in at least ``NEAR`` of ``LONG``
+   coordinates leave it (a linked pair falls short with probability 1e-5) and are verified on their full sets. No cap, and no
+   list of all pairs of a group of copies.
 5. Labels of classes go back to their documents.
 
 Null and empty texts have no shingles and are linked with nothing. Rows without an id take their class's component, or
@@ -34,12 +33,13 @@ from trackloom.operators.materialize import cut_lineage
 from .graph import components
 from .registry import query
 from .sketching import bands, fast_sketch
-from .text import WordHashes, documents, shingle_hashes
+from .text import WordHashes, documents, scramble, shingle_hashes
 
 WIDTH = 5
 BANDS, ROWS = 24, 4  # a pair at 0.75 shares no band with probability 1e-4
 LINK, OF = 75, 100
-TABLE_BITS, SLICE_BITS = 21, 6
+LONG, NEAR = 512, 343  # 4.2 standard deviations below 0.75
+BLOCK, SLOT_ROWS = 512, 8192
 
 
 def shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
@@ -117,59 +117,66 @@ def _in_size(n: str, m: str):
     return OF * F.least(n, m) >= LINK * F.greatest(n, m)
 
 
-def _mixed(left: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (key, id, n) of keys that hold several components, with the component and its number of rows there."""
-    known = left.join(labels.withColumnRenamed("v", "id"), "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+def _long_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte of each of ``LONG`` coordinates of each text."""
+    known = WordHashes(1 << 18)
+    for batch in (b.slice(s, 500) for b in batches for s in range(0, b.num_rows, 500)):
+        made = [scramble(fast_sketch(shingle_set(t, known), LONG)).astype(np.uint8).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "sketch"])
+
+
+def _near(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components whose long sketches agree often enough, of all groups (key, i, j) of a slot."""
+    table = pa.Table.from_batches(list(batches))
+    name = table.schema.names
+    cols = {c: table.column(c).to_numpy() for c in name if c != "sketch"}
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, LONG)
+    order = np.lexsort((cols["side"], cols["j"], cols["i"], cols["key"]))
+    cols, sketch = {c: v[order] for c, v in cols.items()}, sketch[order]
+    new = np.zeros(len(order), bool)
+    for c in ("key", "i", "j"):
+        new[1:] |= np.diff(cols[c]) != 0
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for part in np.split(np.arange(len(order)), np.flatnonzero(new)):
+        left = part[cols["side"][part] == 0]
+        for at, x in enumerate(left):
+            right = left[at + 1:] if cols["i"][x] == cols["j"][x] else part[len(left):]
+            n, m = cols["n"][x], cols["n"][right]
+            right = right[(cols["comp"][right] != cols["comp"][x]) & (OF * np.minimum(n, m) >= LINK * np.maximum(n, m))]
+            right = right[(sketch[right] == sketch[x]).sum(1) >= NEAR]
+            a.append(np.minimum(cols["id"][right], cols["id"][x]))
+            b.append(np.maximum(cols["id"][right], cols["id"][x]))
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, id, n, comp) of buckets of several components, with the largest one (main), its size and that of the rest."""
+    known = members.join(labels.withColumnRenamed("v", "id"), "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
     parts = known.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("_p")).filter("_p > 1").select("key")
-    return known.join(parts.join(mixed, "key", "left_semi"), ["key", "comp"])
-
-
-def _cell(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
+    main = parts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("_m"), F.sum("c").alias("_c")).filter("_c > _m.c")
+    return known.join(main.select("key", F.col("_m.comp").alias("main"), F.col("_m.c").alias("most"), (F.col("_c") - F.col("_m.c")).alias("rest")), "key")
 
-def rarity(texts: DataFrame) -> np.ndarray:
-    """A count-min table of fixed size: in how many of the texts a shingle of the cell occurs, up to 65,535."""
-    per = 1 << (TABLE_BITS - SLICE_BITS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = WordHashes(), np.zeros(1 << TABLE_BITS, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(table, _cell(shingle_set(text, known)), 1)
-        table = np.minimum(table, 65535).astype("<u2")
-        used = [i for i in range(1 << SLICE_BITS) if table[i * per:(i + 1) * per].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([table[i * per:(i + 1) * per].tobytes() for i in used], pa.binary())], ["s", "t"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(per, np.int64)
-        for batch in batches:
-            for raw in batch.column("t").to_pylist():
-                total += np.frombuffer(raw, "<u2")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())], ["s", "t"])
 
-    out = np.zeros(1 << TABLE_BITS, np.uint16)
-    for r in texts.select("text").mapInArrow(count, "s int, t binary").groupBy("s").applyInArrow(add, "s int, t binary").collect():  # 2 << TABLE_BITS bytes
-        out[r.s * per:(r.s + 1) * per] = np.frombuffer(r.t, "<u2")
-    return out
+def _blocked(rows: DataFrame) -> DataFrame:
+    """The groups (key, i, j) in which a member is compared: i < 0 is a block of the main component, all others are blocks of the rest."""
+    most, rest = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("most", "rest"))
+    own = F.when(F.col("comp") == F.col("main"), F.pmod(F.xxhash64("id"), most)).otherwise(F.pmod(F.xxhash64("id"), rest)).cast("int")
+    group = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    among = F.transform(F.sequence(F.lit(0), rest - 1), lambda o: group(F.least(own, o), F.greatest(own, o), own > o))
+    of_main = F.transform(F.sequence(F.lit(0), rest - 1), lambda o: group(-own - 1, o, F.lit(0)))
+    with_main = F.transform(F.sequence(F.lit(0), most - 1), lambda o: group(-o - 1, own, F.lit(1)))
+    groups = F.when(F.col("comp") == F.col("main"), of_main).otherwise(F.concat(with_main, among))
+    return rows.select("key", "id", "n", "comp", "sketch", F.explode(groups).alias("_g")).select("key", "id", "n", "comp", "sketch", "_g.*")
 
 
-def _prefixes(table: np.ndarray):
-    """Of each text its rarest shingles: so many that a similar enough set must hold one of them among its own."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes(1 << 18)
-        for batch in batches:
-            sizes, keys = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, known)
-                n = len(s) - -(-LINK * len(s) // OF) + 1 if len(s) else 0
-                keys.append(s[np.lexsort((s, table[_cell(s)]))[:n]].view(np.int64))
-                sizes.append(len(s))
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), lists], ["id", "n", "keys"])
-    return run
+def near_pairs(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``open_buckets`` rows that are worth a look at their full sets."""
+    sketches = texts.join(rows.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_long_sketches, "id long, sketch binary")
+    most, rest = F.ceil(F.col("most") / BLOCK), F.ceil(F.col("rest") / BLOCK)
+    copies = F.when(F.col("comp") == F.col("main"), rest).otherwise(most + rest)
+    slots = 1 + int((rows.agg(F.sum(copies)).first()[0] or 0) // SLOT_ROWS)
+    grouped = _blocked(rows.join(sketches, "id")).withColumn("slot", F.pmod(F.xxhash64("key", "i", "j"), F.lit(slots)))
+    return grouped.groupBy("slot").applyInArrow(_near, "a long, b long").distinct()
 
 
 def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -184,24 +191,12 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = members.filter((F.col("id") != F.col("lead")) & _in_size("n", "lead_n")).select(F.col("lead").alias("a"), F.col("id").alias("b"))
     links = cut_lineage(_verified(pairs.distinct(), texts))
     labels = components(links)
-    again = _mixed(members.filter("id <> lead").select("key", "id", "n"), labels).select("id").distinct()
-    again = texts.join(again, "id", "left_semi")
-    left = again.mapInArrow(_prefixes(rarity(again)), "id long, n long, keys array<long>").select("id", "n", F.explode("keys").alias("key"))
-    leaders = 4
-    while True:
-        left = cut_lineage(_mixed(left, labels))
-        if left.isEmpty():
-            return labels.withColumnRenamed("v", "id")
-        chosen = left.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("_s")).agg(F.min(F.struct("c", "id", "n", "comp")).alias("l"))
-        chosen = chosen.select("key", F.col("l.id").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.comp").alias("lead_comp"))
-        pairs = left.join(chosen, "key").filter((F.col("comp") != F.col("lead_comp")) & _in_size("n", "lead_n"))
-        pairs = pairs.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-        found = cut_lineage(_verified(pairs, texts))
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
-        left = left.select("key", "id", "n").join(chosen.select("key", F.col("lead").alias("id")), ["key", "id"], "left_anti")
-        leaders *= 4
+    rows = cut_lineage(open_buckets(members.select("key", "id", "n"), labels))
+    if not rows.isEmpty():
+        more = cut_lineage(_verified(near_pairs(rows, texts), texts))
+        if not more.isEmpty():
+            labels = components(links.union(more))
+    return labels.withColumnRenamed("v", "id")
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
