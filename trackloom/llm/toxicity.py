@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 
 from . import stringkernel as sk
 from .registry import query
-from .text import documents
+from .text import documents, stored
 
 SAMPLE = 4000  # labelled rows of each label that are learned from
 TELLING, PLAIN, HARD, LANDMARKS, NAMED = 1000, 2000, 1000, 150, 20
 LIMIT, LOWEST, STRONG = 0.3, -3.0, 0.9
+SLICE = 256
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#%&$-_=+/\\~`"
 RUN = 4  # so many single letters in a row are one word
 
@@ -68,7 +69,7 @@ class Model:
 class Margins(dict):
     """Margins of words met so far, up to a bound on entries."""
 
-    def __init__(self, table: np.ndarray, bias: float, most: int = 1 << 20):
+    def __init__(self, table: np.ndarray, bias: float, most: int = 1 << 17):
         super().__init__()
         self.table, self.bias, self.most = table, bias, most
 
@@ -88,24 +89,22 @@ def _traits(margin: list[float]) -> list[float]:
     return [*top, math.log1p(sum(m > 0 for m in margin)), math.log1p(sum(m > STRONG for m in margin)), math.log1p(len(margin))]
 
 
-def _traits_of(texts: list[str | None], known: Margins) -> Iterator[list[list[float]]]:
-    """Traits of the texts, some at a time, so that no more than so many new words are met at once."""
-    docs, at = [text_words(t) for t in texts], 0
-    while at < len(docs):
-        some, end = set(), at
-        while end < len(docs) and len(some) < 1 << 18:
-            some.update(docs[end])
-            end += 1
-        known.learn(some)
-        yield [_traits([known[w] for w in d]) for d in docs[at:end]]
-        at = end
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that a task holds the words of few texts."""
+    return (b.slice(s, SLICE) for b in batches for s in range(0, b.num_rows, SLICE))
+
+
+def _traits_of(texts: list[str | None], known: Margins) -> list[list[float]]:
+    docs = [text_words(t) for t in texts]
+    known.learn(set().union(*docs))
+    return [_traits([known[w] for w in d]) for d in docs]
 
 
 def _margins(table: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Margins(table, bias)
-        for batch in batches:
-            out = [t for part in _traits_of(batch.column(1).to_pylist(), known) for t in part]
+        for batch in _slices(batches):
+            out = _traits_of(batch.column(1).to_pylist(), known)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "traits"])
     return run
 
@@ -116,7 +115,7 @@ def margins(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         rows = [(d, y, w) for d, t, y in zip(*(c.to_pylist() for c in batch.columns))
                 for w in {x.strip(PUNCTUATION) for x in text_words((t or "").lower())} if 3 <= len(w) <= sk.PIECE]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))],
@@ -149,51 +148,47 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
     flat = Model(None, 0.0, [0.0] * 6 + [math.log(max(base, 1e-13) / max(1 - base, 1e-13))])
     if not n0 or not n1:
         return flat
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labels.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample).drop("_n")
-    chosen = F.broadcast(chosen)  # 2 * sample rows at most
+    first = lambda y: labels.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = F.broadcast(stored(first(0).union(first(1)), "chosen"))  # 2 * sample rows at most
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").select("doc_id", "text", "toxic")
-    bags = rows.mapInArrow(_bags, "d long, y long, w string").distinct().persist()
-    try:
-        p, q = min(n1, sample), min(n0, sample)
-        df = bags.groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-        excess = (F.col("a") / p - F.col("b") / q) / F.sqrt((F.col("a") + F.col("b")) / (p * q))
-        df = df.withColumn("z", excess)
-        telling = df.filter("z > 0").orderBy(F.desc("z"), "w").limit(TELLING)
-        clean = df.filter("z <= 0 OR a = 0").orderBy(F.desc("b"), "w").limit(PLAIN // 2).union(
-            df.filter("a = 0").orderBy(F.xxhash64("w")).limit(PLAIN // 2)).distinct()
-        near = Window.partitionBy("d").orderBy(F.desc("z"), "w")
-        named = bags.filter("y = 1").join(telling, "w").withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= NAMED)
-        named = named.select("d", "w", "z").orderBy("d", F.desc("z"), "w").collect()  # sample * NAMED rows at most
-        plain = {r.w for r in clean.collect()}
-        if not named or not plain:
-            return flat
-        words = sorted({r.w for r in named})
-        place, rank = {w: i for i, w in enumerate(words)}, np.zeros(len(words))
-        own: dict[int, list[int]] = {}
-        for r in named:
-            own.setdefault(r.d, []).append(place[r.w])
-            rank[place[r.w]] = r.z
-        for turn in range(rounds):
-            count = np.zeros(len(words))
-            for ws in own.values():
-                top = max(rank[i] for i in ws)
-                for i in ws:
-                    count[i] += rank[i] >= top / 2 if top > 0 else rank[i] == top
-            on = np.flatnonzero(count)
-            top = on[np.argsort(-count[on], kind="stable")][:LANDMARKS]
-            others = sorted(plain - {words[i] for i in on})
-            marks = [words[i] for i in top] + [others[i] for i in np.linspace(0, len(others) - 1, min(LANDMARKS, len(others))).astype(int)]
-            y = np.concatenate([np.ones(len(on)), -np.ones(len(others))])
-            strength = np.sqrt(count[on])
-            weight = np.concatenate([strength / strength.sum(), np.full(len(others), 1 / len(others))]) * len(y) / 2
-            table, bias = sk.nystroem_table(marks, [*(words[i] for i in on), *others], y, weight)
-            rank = sk.scores(words, table, bias)
-            if turn < rounds - 1:  # clean words that the machine takes for toxic join the clean side
-                hard = df.filter("a = 0 OR z <= 0").select("w").mapInArrow(_word_margins(table, bias), "w string, m double")
-                plain |= {r.w for r in hard.orderBy(F.desc("m"), "w").limit(HARD).collect()}
-    finally:
-        bags.unpersist()
+    bags = stored(rows.mapInArrow(_bags, "d long, y long, w string").distinct(), "bags")
+    p, q = min(n1, sample), min(n0, sample)
+    df = bags.groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    excess = (F.col("a") / p - F.col("b") / q) / F.sqrt((F.col("a") + F.col("b")) / (p * q))
+    df = df.withColumn("z", excess)
+    telling = df.filter("z > 0").orderBy(F.desc("z"), "w").limit(TELLING)
+    clean = df.filter("z <= 0 OR a = 0").orderBy(F.desc("b"), "w").limit(PLAIN // 2).union(
+        df.filter("a = 0").orderBy(F.xxhash64("w")).limit(PLAIN // 2)).distinct()
+    near = Window.partitionBy("d").orderBy(F.desc("z"), "w")
+    named = bags.filter("y = 1").join(telling, "w").withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= NAMED)
+    named = named.select("d", "w", "z").orderBy("d", F.desc("z"), "w").collect()  # sample * NAMED rows at most
+    plain = {r.w for r in clean.collect()}
+    if not named or not plain:
+        return flat
+    words = sorted({r.w for r in named})
+    place, rank = {w: i for i, w in enumerate(words)}, np.zeros(len(words))
+    own: dict[int, list[int]] = {}
+    for r in named:
+        own.setdefault(r.d, []).append(place[r.w])
+        rank[place[r.w]] = r.z
+    for turn in range(rounds):
+        count = np.zeros(len(words))
+        for ws in own.values():
+            top = max(rank[i] for i in ws)
+            for i in ws:
+                count[i] += rank[i] >= top / 2 if top > 0 else rank[i] == top
+        on = np.flatnonzero(count)
+        top = on[np.argsort(-count[on], kind="stable")][:LANDMARKS]
+        others = sorted(plain - {words[i] for i in on})
+        marks = [words[i] for i in top] + [others[i] for i in np.linspace(0, len(others) - 1, min(LANDMARKS, len(others))).astype(int)]
+        y = np.concatenate([np.ones(len(on)), -np.ones(len(others))])
+        strength = np.sqrt(count[on])
+        weight = np.concatenate([strength / strength.sum(), np.full(len(others), 1 / len(others))]) * len(y) / 2
+        table, bias = sk.nystroem_table(marks, [*(words[i] for i in on), *others], y, weight)
+        rank = sk.scores(words, table, bias)
+        if turn < rounds - 1:  # clean words that the machine takes for toxic join the clean side
+            hard = df.filter("a = 0 OR z <= 0").select("w").mapInArrow(_word_margins(table, bias), "w string, m double")
+            plain |= {r.w for r in hard.orderBy(F.desc("m"), "w").limit(HARD).collect()}
     model = Model(table, bias, [])
     fit = margins(rows.select("doc_id", "text"), model).join(chosen, "doc_id").select("traits", "toxic").collect()  # 2 * sample rows at most
     y = np.array([r.toxic for r in fit], float)
@@ -212,14 +207,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
-    """The rows of ``docs`` scored below ``limit``, with all their columns; rows are judged where they are read."""
+    """The rows of ``docs`` scored below ``limit``, with all their columns; rows are judged where they are read.
+
+    With rows of one label only to learn from, all documents have the share of toxic rows as score: they all stay, or all go.
+    """
     if model.table is None:
         return docs if model.probability([[0.0] * 6])[0] < limit else docs.limit(0)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Margins(model.table, model.bias)
-        for batch in batches:
-            traits = [t for b in _traits_of(batch.column("text").to_pylist(), known) for t in b]
+        for batch in _slices(batches):
+            traits = _traits_of(batch.column("text").to_pylist(), known)
             yield batch.filter(pa.array(model.probability(traits) < limit, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
