@@ -118,21 +118,25 @@ def _in_size(n: str, m: str):
 
 
 def _long_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A byte of each of ``LONG`` coordinates of each text."""
+    """The band keys of each text, then a byte of each of ``LONG`` coordinates."""
     known = WordHashes(1 << 18)
     for batch in (b.slice(s, 500) for b in batches for s in range(0, b.num_rows, 500)):
-        made = [scramble(fast_sketch(shingle_set(t, known), LONG)).astype(np.uint8).tobytes() for t in batch.column(1).to_pylist()]
+        sets = [shingle_set(t, known) for t in batch.column(1).to_pylist()]
+        made = [bands(fast_sketch(s, BANDS * ROWS), ROWS).tobytes() + scramble(fast_sketch(s, LONG)).astype(np.uint8).tobytes() for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "sketch"])
 
 
 def _near(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components whose long sketches agree often enough, of all groups (key, i, j) of a slot."""
+    """Pairs of different components whose long sketches agree often enough, of all groups (key, i, j) of a slot.
+
+    A pair that shares several bands is looked at in the first of them only.
+    """
     table = pa.Table.from_batches(list(batches))
     name = table.schema.names
     cols = {c: table.column(c).to_numpy() for c in name if c != "sketch"}
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, LONG)
+    raw = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, 8 * BANDS + LONG)
     order = np.lexsort((cols["side"], cols["j"], cols["i"], cols["key"]))
-    cols, sketch = {c: v[order] for c, v in cols.items()}, sketch[order]
+    cols, sketch, band = {c: v[order] for c, v in cols.items()}, raw[order, 8 * BANDS:], np.ascontiguousarray(raw[order, :8 * BANDS]).view("<i8")
     new = np.zeros(len(order), bool)
     for c in ("key", "i", "j"):
         new[1:] |= np.diff(cols[c]) != 0
@@ -143,6 +147,7 @@ def _near(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             right = left[at + 1:] if cols["i"][x] == cols["j"][x] else part[len(left):]
             n, m = cols["n"][x], cols["n"][right]
             right = right[(cols["comp"][right] != cols["comp"][x]) & (OF * np.minimum(n, m) >= LINK * np.maximum(n, m))]
+            right = right[band[x][(band[right] == band[x]).argmax(1)] == cols["key"][x]]
             right = right[(sketch[right] == sketch[x]).sum(1) >= NEAR]
             a.append(np.minimum(cols["id"][right], cols["id"][x]))
             b.append(np.maximum(cols["id"][right], cols["id"][x]))
@@ -176,7 +181,7 @@ def near_pairs(rows: DataFrame, texts: DataFrame) -> DataFrame:
     copies = F.when(F.col("comp") == F.col("main"), rest).otherwise(most + rest)
     slots = 1 + int((rows.agg(F.sum(copies)).first()[0] or 0) // SLOT_ROWS)
     grouped = _blocked(rows.join(sketches, "id")).withColumn("slot", F.pmod(F.xxhash64("key", "i", "j"), F.lit(slots)))
-    return grouped.groupBy("slot").applyInArrow(_near, "a long, b long").distinct()
+    return grouped.groupBy("slot").applyInArrow(_near, "a long, b long")
 
 
 def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
