@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geometry import (area, box, box_centre, box_iou, compute_roi, distance, quality_gate,
                                   roi_gate)
-from ..functions.vectors import bhattacharyya, cosine, norm
+from ..functions.vectors import bhattacharyya, cosine, dot, norm
+from .materialize import cut_lineage
 
 FRAME = ["slot_id", "frame_id"]
 
@@ -133,39 +134,95 @@ def redetect_budget(tracks: DataFrame, budget: int, max_attempts: int) -> DataFr
             .withColumn("retry", open_ & (F.col("_rank") <= budget)).drop("_rank"))
 
 
+PIVOTS = 64
+
+
 def reid_topk(query: DataFrame, gallery: DataFrame, k: int, query_id: str = "query_id",
-              gallery_id: str = "gallery_id", vector: str = "embedding", gallery_limit: int = 20000,
-              blocks: int = 16) -> DataFrame:
+              gallery_id: str = "gallery_id", vector: str = "embedding", gallery_limit: int = 20000) -> DataFrame:
     """The ``k`` gallery vectors nearest to each query by cosine, the lower id first on ties.
 
-    A gallery of live tracks is small: up to ``gallery_limit`` vectors (counted first) it is
-    broadcast and each query row is scored against it in place. Beyond that the gallery is cut into
-    blocks, each query meets the blocks one by one, keeps its best ``k`` per block, and the block
-    winners are merged, so no task ever holds the whole gallery.
+    A gallery of live tracks is small: up to ``gallery_limit`` vectors (counted first) it is broadcast and each query row
+    is scored against it in place. A larger one is searched cell by cell, see ``_pruned_topk``. Vectors that are missing or
+    have no direction are similar to none (0). Both ways give the same rows.
     """
     g = gallery.select(F.col(gallery_id), F.col(vector).alias("_gv"), norm(F.col(vector)).alias("_gn"))
     q = query.select(F.col(query_id), F.col(vector).alias("_qv"), norm(F.col(vector)).alias("_qn"))
     size = gallery.limit(gallery_limit + 1).count()
-    per = size if size <= gallery_limit else max(1, gallery_limit // 8)
-    n_blocks = 1 if size <= gallery_limit else max(blocks, -(-gallery.count() // per))
-    packed = (g.withColumn("_block", F.pmod(F.xxhash64(gallery_id), F.lit(n_blocks)))
-              .groupBy("_block").agg(F.collect_list(F.struct(gallery_id, "_gv", "_gn")).alias("_g")))
-    if n_blocks == 1:
-        j = q.withColumn("_block", F.lit(0).cast("long")).join(F.broadcast(packed), "_block")
+    if size <= gallery_limit:
+        packed = g.groupBy(F.lit(0).alias("_block")).agg(F.collect_list(F.struct(gallery_id, "_gv", "_gn")).alias("_g"))
+        best = _best_of(q.withColumn("_block", F.lit(0)).join(F.broadcast(packed), "_block"), k, gallery_id)
     else:
-        j = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long")).join(packed, "_block")
-    scored = F.transform("_g", lambda e: F.struct(
-        (-cosine(F.col("_qv"), e["_gv"], F.col("_qn"), e["_gn"])).alias("n"), e[gallery_id].alias("i")))
-    top = F.slice(F.array_sort(scored), 1, k)
-    best = j.select(query_id, top.alias("_top"))
-    if n_blocks > 1:
-        best = best.groupBy(query_id).agg(
-            F.slice(F.array_sort(F.flatten(F.collect_list("_top"))), 1, k).alias("_top"))
+        best = _pruned_topk(q, g, k, query_id, gallery_id, max(1, gallery_limit // 8))
     return (best.select(query_id, F.posexplode("_top").alias("p", "t"))
             .select(query_id, F.col("t.i").alias(gallery_id), (-F.col("t.n")).alias("similarity"),
                     (F.col("p") + 1).alias("rank")))
 
 
+def _best_of(met: DataFrame, k: int, gallery_id: str) -> DataFrame:
+    """The best ``k`` of the gallery vectors packed in ``_g``, as ``_top``."""
+    scored = F.transform("_g", lambda e: F.struct(
+        (-cosine(F.col("_qv"), e["_gv"], F.col("_qn"), e["_gn"])).alias("n"), e[gallery_id].alias("i")))
+    return met.withColumn("_top", F.slice(F.array_sort(scored), 1, k)).drop("_g")
+
+
+def _merged(tops: DataFrame, query_id: str, k: int) -> DataFrame:
+    top = F.slice(F.array_sort(F.flatten(F.collect_list("_top"))), 1, k)
+    return tops.groupBy("_q").agg(F.first(query_id).alias(query_id), top.alias("_top"))
+
+
+def _pruned_topk(q: DataFrame, g: DataFrame, k: int, query_id: str, gallery_id: str, per: int) -> DataFrame:
+    """Exact nearest neighbours by pivots: angles obey the triangle inequality, so far cells cannot hold one of the best.
+
+    Each gallery vector belongs to the nearest of up to ``PIVOTS`` gallery vectors; a cell knows its smallest and largest
+    angle to its pivot and lies in blocks of about ``per`` vectors, so no task holds a whole cell. A query first meets its
+    own cell; its k-th best angle there then rules out every cell whose bound is larger, and it meets the blocks of the
+    others. Of vectors without a direction only the ``k`` lowest ids can be wanted: they are a cell that all queries meet.
+    """
+    spark = q.sparkSession
+    q = cut_lineage(q.withColumn("_q", F.monotonically_increasing_id()))
+    aimed = lambda n: F.coalesce(F.col(n) >= 1e-6, F.lit(False))
+    unit = lambda v, n: F.transform(v, lambda x: x / F.col(n))
+    angle = lambda u, p: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(u, p))))
+    straight = g.filter(aimed("_gn")).withColumn("_u", unit("_gv", "_gn"))
+    picked = straight.orderBy(F.xxhash64(gallery_id), gallery_id).select("_u").limit(PIVOTS).collect()
+
+    def beside(df: DataFrame, cells: list[tuple]) -> DataFrame:
+        """``df`` with one array of the cells, a table of one row and at most ``PIVOTS`` entries."""
+        kind = "_one int, _cells array<struct<i:int,u:array<double>,lo:double,hi:double,blocks:int>>"
+        return df.withColumn("_one", F.lit(0)).join(F.broadcast(spark.createDataFrame([(0, cells)], kind)), "_one").drop("_one")
+
+    near = F.array_min(F.transform("_cells", lambda c: F.struct(angle(F.col("_u"), c["u"]).alias("d"), c["i"].alias("i"))))
+    placed = beside(straight, [(i, r["_u"], 0.0, 0.0, 1) for i, r in enumerate(picked)]).withColumn("_near", near)
+    placed = placed.select(gallery_id, "_gv", "_gn", F.col("_near.i").alias("_cell"), F.col("_near.d").alias("_d"))
+    found = placed.groupBy("_cell").agg(F.min("_d").alias("lo"), F.max("_d").alias("hi"), F.count(F.lit(1)).alias("c")).collect()  # PIVOTS rows
+    cells = [(r["_cell"], picked[r["_cell"]]["_u"], r.lo, r.hi, -(-r.c // per)) for r in found]
+    blocks = F.broadcast(spark.createDataFrame([(c[0], c[4]) for c in cells], "_cell int, _blocks int"))
+    lowest = lambda df, cell: df.orderBy(gallery_id).limit(k).select(gallery_id, "_gv", "_gn", F.lit(cell).alias("_cell"), F.lit(0).cast("long").alias("_block"))
+    rows = placed.join(blocks, "_cell").select(gallery_id, "_gv", "_gn", "_cell", F.pmod(F.xxhash64(gallery_id), F.col("_blocks")).alias("_block"))
+    rows = rows.union(lowest(g.filter(~aimed("_gn")), -1)).union(lowest(g, -2))
+    packed = cut_lineage(rows.groupBy("_cell", "_block").agg(F.collect_list(F.struct(gallery_id, "_gv", "_gn")).alias("_g")))
+
+    def meet(df: DataFrame, visits) -> DataFrame:
+        """Best of the blocks of the cells ``visits``: array of struct(i, blocks)."""
+        each = df.select("_q", query_id, "_qv", "_qn", F.explode(visits).alias("_v"))
+        each = each.select("_q", query_id, "_qv", "_qn", F.col("_v.i").alias("_cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_v.blocks").cast("long") - 1)).alias("_block"))
+        return _best_of(each.join(packed, ["_cell", "_block"]), k, gallery_id).select("_q", query_id, "_top")
+
+    one = lambda i, n: F.struct(i.cast("int").alias("i"), n.cast("int").alias("blocks"))
+    q = beside(q.withColumn("_u", F.when(aimed("_qn"), unit("_qv", "_qn"))), cells)
+    q = q.withColumn("_cells", F.transform("_cells", lambda c: F.struct(
+        angle(F.col("_u"), c["u"]).alias("d"), c["i"].alias("i"), c["lo"].alias("lo"), c["hi"].alias("hi"), c["blocks"].alias("blocks"))))
+    home = F.array_min("_cells")
+    q = q.withColumn("_home", home).select("_q", query_id, "_qv", "_qn", "_cells", "_home", (F.col("_u").isNotNull() & F.col("_home").isNotNull()).alias("_aimed"))
+    first = F.when(F.col("_aimed"), F.array(one(F.col("_home.i"), F.col("_home.blocks")), one(F.lit(-1), F.lit(1)))).otherwise(F.array(one(F.lit(-2), F.lit(1))))
+    tops = cut_lineage(_merged(meet(q, first), query_id, k))
+    limit = tops.select("_q", F.when(F.size("_top") == k, F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), -F.element_at("_top", -1)["n"])))).alias("_limit"))
+    could = F.transform(F.filter("_cells", lambda c: (c["i"] != F.col("_home.i")) & (F.col("_limit").isNull() | (
+        F.greatest(c["d"] - c["hi"], c["lo"] - c["d"]) <= F.col("_limit") + 1e-6))), lambda c: one(c["i"], c["blocks"]))
+    more = meet(q.filter("_aimed").join(limit, "_q"), could)
+    return _merged(tops.select("_q", query_id, "_top").union(more), query_id, k)
+
+
 def reconcile(tracks: DataFrame, targets: DataFrame, stale: float, removal: float) -> DataFrame:
     """One reconciliation step of the frame tracks of each slot against its targets.
 

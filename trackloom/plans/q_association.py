@@ -80,18 +80,30 @@ def j03(spark, sf):
                     F.round("cost", 6).alias("cost"))
 
 
-@query("j03_reid_topk", f"""WITH {EMB_CTE}, nn AS (SELECT vec_id, v, label, {NORM.format('v')} AS n FROM e),
+TOPK_SQL = f"""WITH {EMB_CTE}, nn AS (SELECT vec_id, v, label, {NORM.format('v')} AS n FROM e),
 s AS (SELECT q.vec_id AS query_id, g.vec_id AS gallery_id, {DOT.format('q.v', 'g.v')} / (q.n * g.n) AS sim FROM nn q JOIN nn g ON q.label % 2 = 1 AND g.label % 2 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, gallery_id) AS rank FROM s)
-SELECT query_id, gallery_id, round(sim, 6) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3""")
-def j03_topk(spark, sf):
+SELECT query_id, gallery_id, round(sim, 6) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3"""
+
+
+def topk(spark, sf, **options):
     e = embeddings(spark, sf)
     q = e.filter("label % 2 = 1").select(F.col("vec_id").alias("query_id"), F.col("v").alias("embedding"))
     g = e.filter("label % 2 = 0").select(F.col("vec_id").alias("gallery_id"), F.col("v").alias("embedding"))
-    out = jn.reid_topk(q, g, 3)
+    out = jn.reid_topk(q, g, 3, **options)
     return out.select("query_id", "gallery_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query("j03_reid_topk", TOPK_SQL)
+def j03_topk(spark, sf):
+    return topk(spark, sf)
+
+
+@query("j03_reid_topk_cells", TOPK_SQL)
+def j03_topk_cells(spark, sf):
+    return topk(spark, sf, gallery_limit=40)
+
+
 ROI4 = "greatest(0, CAST(trunc(({a}1 + {a}2) * 5e-1 * {f} - ({a}2 - {a}1) * {f} * 5e-1 - ({a}2 - {a}1) * {f} * 15e-2) AS INT))"
 ROI4B = "least({f}, CAST(trunc(({a}1 + {a}2) * 5e-1 * {f} + ({a}2 - {a}1) * {f} * 5e-1 + ({a}2 - {a}1) * {f} * 15e-2) AS INT))"
 GATE_SQL = """(NOT (cconf < greatest(15e-2, tconf * 6e-1) AND iou < 35e-2) AND greatest(1e-5, cx2 - cx1) >= greatest(1e-5, tx2 - tx1) * 5e-1 AND greatest(1e-5, cx2 - cx1) <= greatest(1e-5, tx2 - tx1) * 16e-1
