@@ -6,7 +6,7 @@
 2. Each position is counted once, as the longest run of frequent triples that it leads, padded with empty words (or a
    frequent pair, a frequent word, nothing). A phrase with enough occurrences holds frequent words, pairs and triples only,
    so each of its occurrences starts such a window. Windows are summed
-   per task in blocks, then a Spark ROLLUP over (lang, w1, w2, w3, w4) sums the shorter prefixes: counts of all phrases
+   first, then a Spark ROLLUP over (lang, w1, w2, w3, w4) sums the shorter prefixes: counts of all phrases
    above the limit, of single words, and of all words of a language, without exploding n-grams order by order.
 3. Phrases meet the counts of their parts by joins on (lang, part); the lowest-scoring cut counts. Longer phrases name the
    phrases inside them, and a phrase goes when one of these has enough of its occurrences.
@@ -200,7 +200,8 @@ def counted(docs: DataFrame, least: int = LEAST) -> DataFrame:
     pairs = sent(frequent(texts, _counts, least).tobytes())
     triples = sent(frequent(texts, _triple_counts(pairs), least).tobytes())
     windows = texts.mapInArrow(_windows(pairs, triples), "lang string, w1 string, w2 string, w3 string, w4 string, c long")
-    rolled = windows.rollup("lang", *WORDS).agg(F.sum("c").alias("f"), F.grouping_id().alias("_g"))
+    longest = windows.groupBy("lang", *WORDS).agg(F.sum("c").alias("c"))  # one row a window before prefixes multiply them
+    rolled = longest.rollup("lang", *WORDS).agg(F.sum("c").alias("f"), F.grouping_id().alias("_g"))
     # grouping_id has a bit for each column that is summed away, the last column's is 1
     size = F.lit(LONGEST) - F.bit_count("_g")
     last = F.get(F.array(F.lit("-"), *WORDS), size)  # a padded window counts where it is not padded
