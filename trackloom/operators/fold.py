@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def key_slices(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
@@ -70,3 +70,47 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str],
             yield from _joined([finish(state)])
 
     return by_key(df, keys, order).mapInPandas(run, schema)
+
+
+def _typed(df: DataFrame, cols: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
+
+
+def bucketed_fold(rows: DataFrame, keys: list[str], bucket: str, order: list[str], narrow: list[str],
+                  describe: Callable[[pd.DataFrame], list[int]], advance: Callable[[int, list[int]], int],
+                  step: Callable[[int, pd.DataFrame], tuple[int, pd.DataFrame | None]], schema: str,
+                  start: int) -> DataFrame:
+    """A fold with an integer state whose keys are cut into buckets that are walked in parallel.
+
+    ``describe(rows of a bucket)`` gives what the bucket makes of *any* state that may come in, as a list of
+    integers; ``advance(state, description)`` applies it. One row per bucket is carried along its key that way;
+    then ``step(state, rows)`` walks every bucket from its own incoming state. ``narrow`` are the columns that
+    ``describe`` needs: a task holds these of one bucket. The key sees ``start`` first. ``rows`` is read twice.
+    """
+    unit = [*keys, bucket]
+
+    def gather(state, part: pd.DataFrame):
+        key, parts = state or (tuple(part[k].iat[0] for k in unit), [])
+        return (key, [*parts, part[narrow]]), None
+
+    def described(state) -> pd.DataFrame:
+        key, parts = state
+        whole = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        return pd.DataFrame([(*key, describe(whole))], columns=[*unit, "_map"])
+
+    def along(state, part: pd.DataFrame):
+        at, into = (start if state is None else state), []
+        for effect in part["_map"]:
+            into.append(at)
+            at = advance(at, effect)
+        return at, part[unit].assign(_in=into)
+
+    wanted = list(dict.fromkeys([*unit, *order, *narrow]))
+    effects = ordered_fold(rows.select(*wanted), unit, order, gather, f"{_typed(rows, unit)}, _map array<bigint>", described)
+    into = ordered_fold(effects, keys, [bucket], along, f"{_typed(rows, unit)}, _in bigint")
+
+    def enter(state, part: pd.DataFrame):
+        return step(int(part["_in"].iat[0]) if state is None else state, part)
+
+    met = rows.join(into, unit, "left").withColumn("_in", F.coalesce("_in", F.lit(start)))
+    return ordered_fold(met, unit, order, enter, schema)

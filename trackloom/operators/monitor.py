@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.presets import RECTANGLE_PRESETS
-from .fold import ordered_fold
+from .fold import bucketed_fold
 from .lifecycle import micros
 from .materialize import cut_lineage
 from .suppress import final_priority
@@ -102,70 +102,108 @@ def health(per_frame: DataFrame, keys: list[str] = ["slot_id"], history: int = 9
             .select(*per_frame.columns, "n", "recent_mean", "healthy"))
 
 
-class _Fallback:
-    def __init__(self):
-        self.active, self.good = False, 0
+def _runs(part: pd.DataFrame, recovery: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of frames of one kind: kind (0 unhealthy, 1 healthy but weak, 2 good), first row, length."""
+    ok, mean = part["healthy"].to_numpy(dtype=bool), part["recent_mean"].to_numpy(dtype=float)
+    kind = np.where(~ok, 0, np.where(mean >= recovery, 2, 1))
+    first = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
+    return kind[first], first, np.diff(np.r_[first, len(kind)])
 
 
 def health_episodes(monitored: DataFrame, keys: list[str] = ["slot_id"], recovery: float = 0.55,
-                    required: int = 60, order: str = "frame_id") -> DataFrame:
+                    required: int = 60, order: str = "frame_id", block: int = 65536) -> DataFrame:
     """Fallback and restore events over the output of :func:`health`.
 
-    A fallback starts in an unhealthy frame; it is lifted after ``required`` healthy frames in a row
-    whose rolling mean reaches ``recovery``.
+    A fallback starts in an unhealthy frame; it is lifted after ``required`` good frames, healthy and with a
+    rolling mean of ``recovery`` or more, without a weaker healthy frame among them.
+
+    The state is -1 (no fallback) or the number of good frames since. A block of ``block`` order values turns each
+    of these ``required + 1`` states into another one; the maps are carried along the blocks, then every block is
+    walked by itself. A task holds the narrow rows of one block.
     """
-    schema = ", ".join(f"{k} {monitored.schema[k].dataType.simpleString()}" for k in keys)
-    schema += f", {order} bigint, event string, recent_mean double"
-
-    def step(state, rows: pd.DataFrame):
-        state, out = state or _Fallback(), []
-        for frame, mean, ok in zip(rows[order], rows["recent_mean"], rows["healthy"]):
-            if not ok:
-                if not state.active:
-                    state.active, state.good = True, 0
-                    out.append((frame, "fallback", mean))
-            elif state.active:
-                state.good = state.good + 1 if mean >= recovery else 0
-                if state.good >= required:
-                    state.active, state.good = False, 0
-                    out.append((frame, "restore", mean))
-        pdf = pd.DataFrame(out, columns=[order, "event", "recent_mean"])
-        for i, k in enumerate(keys):
-            pdf.insert(i, k, rows[k].iat[0])
-        return state, pdf
-
-    return ordered_fold(monitored.select(*keys, order, "recent_mean", "healthy"), keys, [order], step, schema)
+    narrow = ["recent_mean", "healthy"]
+    rows = cut_lineage(monitored.select(*keys, order, *narrow).withColumn("_b", bucket_of(order, block)))
+    schema = ", ".join(f"`{k}` {monitored.schema[k].dataType.simpleString()}" for k in [*keys, order])
+    schema += ", event string, recent_mean double"
+
+    def after(states: np.ndarray, kind: int, n: int) -> np.ndarray:
+        if kind == 0:
+            return np.maximum(states, 0)
+        if kind == 1:
+            return np.minimum(states, 0)
+        return np.where((states < 0) | (states + n >= required), -1, states + n)
+
+    def describe(part: pd.DataFrame) -> list[int]:
+        states = np.arange(-1, required)
+        kinds, _, lengths = _runs(part, recovery)
+        for kind, n in zip(kinds, lengths):
+            states = after(states, kind, n)
+        return states.tolist()
+
+    def step(state: int, part: pd.DataFrame):
+        at, events = [], []
+        for kind, first, n in zip(*_runs(part, recovery)):
+            if kind == 0 and state < 0:
+                at.append(first)
+                events.append("fallback")
+            elif kind == 2 and 0 <= state and state + n >= required:
+                at.append(first + max(required - state, 1) - 1)
+                events.append("restore")
+            state = int(after(np.int64(state), kind, n))
+        return state, part.iloc[at][[*keys, order]].assign(event=events, recent_mean=part["recent_mean"].to_numpy()[at])
+
+    return bucketed_fold(rows, keys, "_b", [order], narrow, describe, lambda state, effect: int(effect[state + 1]),
+                         step, schema, -1)
 
 
 # --- sampling and caches ---------------------------------------------------------------
 
+NEVER = -(2 ** 62)
+
+
 def throttle(df: DataFrame, interval: float, keys: list[str] = ["slot_id"], time: str = "ts",
              tie: str = "frame_id", bucket_s: float = 3600.0) -> DataFrame:
     """Keep a row iff at least ``interval`` seconds passed since the last kept row of its key.
 
-    A row that comes ``interval`` or more after the row before it is always kept, so the rows split
-    into runs at such gaps and the runs are walked independently.
+    Keys are cut into buckets of ``bucket_s`` seconds, at least four intervals. What a bucket does to the time of
+    the last kept row is a step function of it with one step for each time in the bucket's first interval; the
+    functions are applied along the buckets, then every bucket is walked by itself. A task holds the times of one
+    bucket. Rows without a time are left out.
     """
     if interval <= 0:
         return df
     gap = int(round(interval * 1e6))
-    rows = df.withColumn("_us", micros(F.col(time)))
-    rows = (Timeline(rows, keys, ["_us", tie], bucket_of("_us", bucket_s * 1e6))
-            .run_start(gap, _run=F.col("_us")).apply())
+    width = max(int(round(bucket_s * 1e6)), 4 * gap)
+    rows = df.withColumn("_us", micros(F.col(time))).filter(F.col("_us").isNotNull())
+    rows = rows.withColumn("_b", bucket_of("_us", width))
     cols = list(df.columns)
 
-    def step(last, part: pd.DataFrame):
+    def describe(part: pd.DataFrame) -> list[int]:
+        us = np.unique(part["_us"].to_numpy())
+        follow = np.searchsorted(us, us + gap)
+        last = np.where(follow < len(us), follow, np.arange(len(us)))
+        while not np.array_equal(further := last[last], last):
+            last = further
+        # a row that the bucket before can make the next one lies less than an interval behind the bucket's begin
+        entries = 1 + int(np.searchsorted(us, us[0] // width * width + gap))
+        return [*us[:entries].tolist(), *us[last[:entries]].tolist()]
+
+    def advance(state: int, effect: list[int]) -> int:
+        half = len(effect) // 2
+        at = int(np.searchsorted(effect[:half], state + gap))
+        return int(effect[half + at]) if at < half else state
+
+    def step(last: int, part: pd.DataFrame):
         us = part["_us"].to_numpy()
-        keep, i = [], 0
+        keep, i = [], int(np.searchsorted(us, last + gap))
         while i < len(us):
-            i = i if last is None else int(np.searchsorted(us, last + gap))
-            if i < len(us):
-                keep.append(i)
-                last = us[i]
+            keep.append(i)
+            last = int(us[i])
+            i = int(np.searchsorted(us, last + gap))
         return last, part.iloc[keep][cols]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return ordered_fold(rows, [*keys, "_run"], ["_us", tie], step, schema)
+    return bucketed_fold(rows, keys, "_b", ["_us", tie], ["_us"], describe, advance, step, schema, NEVER)
 
 
 def latest_per_slot(df: DataFrame, tick: float) -> DataFrame:

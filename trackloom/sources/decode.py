@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import clamp01
+from ..functions.rows import once
 from ..operators.suppress import DETECTOR_RULE, suppress
 
 # The COCO class names by id.
@@ -29,11 +30,6 @@ def _label(cls: Column, fallback: Column) -> Column:
     return F.coalesce(F.get(names, cls), fallback)
 
 
-def _once(df: DataFrame, **cols: Column) -> DataFrame:
-    """Add columns through a generator of one row, so that later filters use them as they are."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
-
-
 def _unletterbox(df: DataFrame) -> DataFrame:
     """Corners in frame coordinates; boxes thinner than 1e-5 are dropped."""
     p = F.col("pred")
@@ -41,13 +37,13 @@ def _unletterbox(df: DataFrame) -> DataFrame:
     def corner(centre: int, size: int, sign: float, pad: str, frame: str) -> Column:
         return clamp01((p[centre] + sign * p[size] * 0.5 - F.col(pad)) / F.col("scale") / F.col(frame))
 
-    return _once(df, x1=corner(0, 2, -1.0, "pad_x", "frame_w"), y1=corner(1, 3, -1.0, "pad_y", "frame_h"),
+    return once(df, x1=corner(0, 2, -1.0, "pad_x", "frame_w"), y1=corner(1, 3, -1.0, "pad_y", "frame_h"),
                  x2=corner(0, 2, 1.0, "pad_x", "frame_w"), y2=corner(1, 3, 1.0, "pad_y", "frame_h")
                  ).filter("x2 - x1 > 1e-5 AND y2 - y1 > 1e-5")
 
 
 def _argmax(df: DataFrame, scores: Column, conf: float) -> DataFrame:
-    best = _once(df, _s=scores, confidence=F.array_max(scores)).filter(F.col("confidence") >= conf)
+    best = once(df, _s=scores, confidence=F.array_max(scores)).filter(F.col("confidence") >= conf)
     return best.withColumn("class_id", (F.array_position("_s", F.col("confidence")) - 1).cast("int")).drop("_s")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.rows import once
 from ..schemas import SNAPSHOT_OPTIONAL, SNAPSHOT_REQUIRED, SNAPSHOTS_DDL
 
 
@@ -23,21 +24,21 @@ def parse_snapshots(df: DataFrame, text: str = "value") -> tuple[DataFrame, Data
     Unknown keys are ignored. A line is rejected when it is no JSON object, lacks a required key,
     or carries a metadata entry that is null or no object.
     """
-    raw = F.col(text)
-    keys = F.json_object_keys(raw)
+    # each step goes through a generator, so that neither the text nor its keys are worked out again for every use
+    lines = once(df, _raw=F.col(text))
+    raw, keys, meta = F.col("_raw"), F.col("_keys"), F.col("_meta")
+    lines = once(lines, _keys=F.json_object_keys(raw), _meta=F.get_json_object(raw, "$.metadata"))
     required = F.array(*[F.lit(c) for c, _ in SNAPSHOT_REQUIRED])
-    meta = F.get_json_object(raw, "$.metadata")
     reason = (F.when(keys.isNull(), "not a JSON object")
               .when(F.size(F.array_except(required, keys)) > 0, "missing required field")
               .when(F.array_contains(keys, "metadata") & (meta.isNull() | ~meta.startswith("{")),
                     "metadata must be an object"))
-    marked = df.withColumn("_reason", reason)
+    marked = once(lines, _reason=reason)
     empty = F.create_map().cast("map<string,string>")
-    good = (marked.filter("_reason IS NULL")
-            .select(F.from_json(raw, SNAPSHOTS_DDL).alias("s")).select("s.*")
+    good = (once(marked.filter("_reason IS NULL").select("_raw"), s=F.from_json(raw, SNAPSHOTS_DDL)).select("s.*")
             .withColumns({"metadata": F.coalesce("metadata", empty),
                           "attributes": F.coalesce("attributes", empty)}))
-    bad = marked.filter("_reason IS NOT NULL").withColumnRenamed("_reason", "reason")
+    bad = marked.filter("_reason IS NOT NULL").select(*df.columns, F.col("_reason").alias("reason"))
     return good, bad
 
 
