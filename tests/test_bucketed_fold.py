@@ -1,4 +1,4 @@
-"""Throttling and health episodes of one hot camera: bucketed walks against plain loops."""
+"""Rules along one hot camera or over all rows, cut into buckets, against plain loops."""
 
 import random
 
@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.operators import monitor as mn
+from trackloom.operators.timeline import ordinal, running_totals
+from trackloom.operators.tracking import smooth
 
 LOG = "slot_id int, frame_id bigint, ts double"
 
@@ -78,3 +80,29 @@ def test_episodes_equal_the_loop_at_every_block_size(spark, block):
     assert len(want) > 10
     means = {(s, f): m for s, f, m, _ in rows}
     assert all(r.recent_mean == means[r.slot_id, r.frame_id] for r in got.collect())
+
+
+def test_running_totals_over_the_whole_table(spark):
+    rng = random.Random(3)
+    order = rng.sample(range(10 ** 9), 2000)
+    df = spark.createDataFrame([(i, v, i % 7) for i, v in enumerate(order)], "id int, at bigint, amount int")
+    got = {r.at: (r.total, r.none) for r in running_totals(df, ["at"], total=F.col("amount"), none=F.lit(None).cast("int")).collect()}
+    total = 0
+    for at, amount in sorted((v, i % 7) for i, v in enumerate(order)):
+        total += amount
+        assert got[at] == (total, 0)
+    n = {r.at: r.ordinal for r in ordinal(df, [], ["at"]).collect()}
+    assert [n[v] for v in sorted(order)] == list(range(1, 2001))
+    assert ordinal(df.limit(0), [], ["at"]).count() == 0
+
+
+@pytest.mark.parametrize("alpha", [0.01, 0.85, 1.0])
+def test_ema_of_one_long_piece(spark, alpha):
+    rng = random.Random(8)
+    values = [rng.uniform(-5, 5) for _ in range(20_000)]
+    df = spark.createDataFrame([(1, i, v, "x") for i, v in enumerate(values)], "k int, t bigint, v double, _row string")
+    got = {r.t: r.ema for r in smooth.ema(df, alpha, ["k"], ["t"], "v", piece=15_000).collect()}
+    mean = values[0]
+    for i, v in enumerate(values):
+        mean = mean if i == 0 else alpha * v + (1 - alpha) * mean
+        assert got[i] == pytest.approx(mean, abs=1e-12)

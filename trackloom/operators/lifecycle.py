@@ -87,13 +87,12 @@ def lifecycle(tracks: DataFrame, clock: DataFrame, stale: float = 5.0, removal:
     return (rows.select(*KEY, generation.cast("long").alias("generation"), F.inline(out)))
 
 
-def number_targets(events: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
+def number_targets(events: DataFrame) -> DataFrame:
     """Add ``target_number`` and ``target_id``: one counter over all slots, in order of creation."""
     key = [*KEY, "generation"]
     events = cut_lineage(events)
     born = events.filter("event = 'created'").select(*key, "us", "frame_id")
-    born = ordinal(born, [], ["us", "slot_id", "frame_id", "track_id"], bucket_of("us", bucket_s * 1e6),
-                   "target_number")
+    born = ordinal(born, [], ["us", "slot_id", "frame_id", "track_id"], name="target_number")
     return (events.join(born.select(*key, "target_number"), key)
             .withColumn("target_id", format_target_id(F.col("slot_id"), F.col("target_number"))))
 
@@ -108,12 +107,11 @@ def lifecycle_counts(events: DataFrame, frames: DataFrame | None = None) -> Data
     return counts if frames is None else on_clock(counts, frames)
 
 
-def to_events(numbered: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
+def to_events(numbered: DataFrame) -> DataFrame:
     """Typed target events with payload and a running event id over all slots."""
     kinds = [k for k in COUNTED if k != "updated"] + ["locked"]
-    rows = cut_lineage(numbered.filter(F.col("event").isin(kinds)))
-    rows = ordinal(rows, [], ["us", "slot_id", "frame_id", "track_id", "event"],
-                   bucket_of("us", bucket_s * 1e6), "_n")
+    rows = ordinal(numbered.filter(F.col("event").isin(kinds)), [], ["us", "slot_id", "frame_id", "track_id", "event"],
+                   name="_n")
     track, seen = F.col("track_id").cast("string"), F.col("last_seen").cast("string")
     payload = (
         F.when(F.col("event") == "created", F.create_map(

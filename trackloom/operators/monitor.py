@@ -11,7 +11,7 @@ from .fold import bucketed_fold
 from .lifecycle import micros
 from .materialize import cut_lineage
 from .suppress import final_priority
-from .timeline import Timeline, bucket_of, ordinal
+from .timeline import Timeline, bucket_of, ordinal, running_totals
 
 RECT_CONF = {k: p.least_confidence for k, p in RECTANGLE_PRESETS.items()}
 RECT_MAX = {k: p.most_rectangles for k, p in RECTANGLE_PRESETS.items()}
@@ -303,8 +303,7 @@ def exceptions_by_type(log: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("n")))
 
 
-def run_stats(log: DataFrame, stop_rate: float | None = None, min_frames: int = 10,
-              bucket: int = 4096) -> DataFrame:
+def run_stats(log: DataFrame, stop_rate: float | None = None, min_frames: int = 10) -> DataFrame:
     """Totals of a run over rows (frame_id, seconds, skipped, failed), cut at the first early stop.
 
     A run stops after the first frame at which, with ``min_frames`` or more frames done, failures
@@ -312,9 +311,8 @@ def run_stats(log: DataFrame, stop_rate: float | None = None, min_frames: int =
     """
     rows = log
     if stop_rate is not None:
-        rows = (Timeline(log, [], ["frame_id"], bucket_of("frame_id", bucket))
-                .running_sum(_done=(~F.col("skipped")).cast("int"),
-                             _bad=(~F.col("skipped") & F.col("failed")).cast("int")).apply())
+        rows = running_totals(log, ["frame_id"], _done=(~F.col("skipped")).cast("int"),
+                              _bad=(~F.col("skipped") & F.col("failed")).cast("int"))
         breach = (F.col("_done") >= min_frames) & (F.col("_bad") / F.col("_done") > stop_rate)
         end = rows.agg(F.min(F.when(breach, F.col("frame_id"))).alias("_end"))
         rows = rows.join(F.broadcast(end), F.col("_end").isNull() | (F.col("frame_id") <= F.col("_end")))

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .materialize import cut_lineage
+
 
 class Timeline:
     """Collects lag / lead / running / fill columns and computes them in one bucketed pass."""
@@ -127,8 +129,30 @@ def bucket_of(col: str | Column, width: float) -> Column:
     return F.floor((F.col(col) if isinstance(col, str) else col) / F.lit(width)).cast("long")
 
 
-def ordinal(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "ordinal") -> DataFrame:
-    """1, 2, ... along ``order`` within each key (or over the whole table when ``keys`` is empty)."""
+def running_totals(df: DataFrame, order: list[str], **cols: Column) -> DataFrame:
+    """Sums over all rows up to and including this one, along an order of the whole table.
+
+    Rows are range-partitioned by the order and written, so that their ranges stay as they are; every range is summed by
+    itself, and the totals of the ranges before it (one row per range) are broadcast. Rows of equal order
+    share a range; their order among each other is left open.
+    """
+    ranged = df.repartitionByRange(*order).withColumns({"_range": F.spark_partition_id(), **{f"_t_{n}": c for n, c in cols.items()}})
+    ranged = cut_lineage(ranged)
+    sums = [F.sum(f"_t_{n}").alias(f"_o_{n}") for n in cols]
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(*sums).select(
+        "_range", *[F.coalesce(F.sum(f"_o_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in cols])
+    within = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inner = ranged.withColumns({f"_l_{n}": F.coalesce(F.sum(f"_t_{n}").over(within), F.lit(0)) for n in cols})
+    return inner.join(F.broadcast(offsets), "_range").select(
+        *df.columns, *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in cols])
+
+
+def ordinal(df: DataFrame, keys: list[str], order: list[str], bucket: Column | None = None,
+            name: str = "ordinal") -> DataFrame:
+    """1, 2, ... along ``order`` within each key, or over the whole table when ``keys`` is empty."""
+    if not keys:
+        return running_totals(df, order, **{name: F.lit(1)})
     return Timeline(df, keys, order, bucket).running_sum(**{name: F.lit(1)}).apply()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..fold import by_key, ordered_fold
 from . import filters
@@ -74,33 +74,54 @@ def ema(df: DataFrame, alpha: float, keys: list[str], order: list[str], value: s
         piece: int = 4096) -> DataFrame:
     """Exponential mean along each key: ``alpha`` x new + (1 - alpha) x old, started by the first value.
 
-    Rows are cut into pieces of ``piece`` values of the leading order column. Over the first i rows of
-    a piece an incoming mean m becomes (1 - alpha)^i m + c(i), so all c(i) are made piece by piece in
-    parallel; a small table with one row per piece carries the mean from piece to piece.
+    Rows are cut into pieces of ``piece`` values of the leading order column. Over the first i rows of a piece an
+    incoming mean m becomes (1 - alpha)^i m + c(i). The c(i) are running sums of values over powers of (1 - alpha),
+    taken over short strips in which the powers stay in range; strips are chained inside a piece, and a table with
+    one row per piece carries the mean along the key. Null values count as 0.
     """
     b = 1.0 - alpha
-    rest = [c for c in df.columns if c not in keys]
-    item = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("_v"),
-                    F.struct(*rest).alias("_row"))
-    packed = (df.withColumn("_pc", F.floor(F.col(order[0]) / piece).cast("long"))
-              .groupBy(*keys, "_pc").agg(F.array_sort(F.collect_list(item)).alias("_items")))
-    steps = F.aggregate(
-        "_items", F.array().cast("array<double>"),
-        lambda acc, it: F.concat(acc, F.array(
-            F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) * b + it["_v"] * alpha)))
-    packed = packed.withColumn("_c", steps)
-    chain = packed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        "_pc", F.size("_items").alias("n"), F.element_at("_c", -1).alias("c"), F.col("_items")[0]["_v"].alias("v")))).alias("_p"))
-    # entry j of the chain: the mean that comes into piece j; the first piece is given its own first value
-    means = F.aggregate(
-        "_p", F.array(F.col("_p")[0]["v"]),
-        lambda acc, q: F.concat(acc, F.array(F.element_at(acc, -1) * F.pow(F.lit(b), q["n"]) + q["c"])))
-    into = (chain.select(*keys, F.inline(F.arrays_zip(F.transform("_p", lambda q: q["_pc"]).alias("_pc"),
-                                                      F.slice(means, 1, F.size("_p")).alias("_in")))))
-    return (packed.join(into, [*keys, "_pc"])
-            .select(*keys, "_in", F.posexplode(F.arrays_zip("_items", "_c")).alias("_i", "_z"))
-            .select(*keys, "_z._items._row.*",
-                    (F.col("_in") * F.pow(F.lit(b), F.col("_i") + 1) + F.col("_z._c")).alias(name)))
+    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    if b == 0.0:
+        return df.withColumn(name, v)
+    strip = 64 if b >= 1e-3 else 1
+    pieces = df.withColumn("_pc", F.floor(F.col(order[0]) / piece).cast("long"))
+    place = F.row_number().over(W.partitionBy(*keys, "_pc").orderBy(*order, value)) - 1
+    rows = pieces.withColumn("_i", place).withColumns({
+        "_v": v, "_st": F.floor(F.col("_i") / strip), "_r": F.col("_i") % strip})
+    upto = W.partitionBy(*keys, "_pc", "_st").orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_c", F.sum(F.col("_v") * alpha / F.pow(F.lit(b), "_r")).over(upto) * F.pow(F.lit(b), "_r"))
+
+    # a strip of n rows turns m into b^n m + c
+    strips = rows.groupBy(*keys, "_pc", "_st").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("_c", "_i").alias("c"), F.min_by("_v", "_i").alias("v"))
+    chain = strips.groupBy(*keys, "_pc").agg(F.array_sort(F.collect_list(F.struct("_st", "n", "c", "v"))).alias("_s"))
+    own = F.aggregate("_s", F.lit(0.0), lambda acc, q: acc * F.pow(F.lit(b), q["n"]) + q["c"])
+    size = F.aggregate("_s", F.lit(0).cast("long"), lambda acc, q: acc + q["n"])
+    effects = chain.select(*keys, "_pc", own.alias("c"), F.pow(F.lit(b), size).alias("a"), F.col("_s")[0]["v"].alias("v"))
+
+    def along(mean, part: pd.DataFrame):
+        into = []
+        for a, c, first in zip(part["a"], part["c"], part["v"]):
+            mean = first if mean is None else mean
+            into.append(mean)
+            mean = a * mean + c
+        return mean, part[[*keys, "_pc"]].assign(_in=into)
+
+    ddl = ", ".join(f"`{k}` {t}" for k, t in pieces.select(*keys, "_pc").dtypes) + ", _in double"
+    into = ordered_fold(effects, keys, ["_pc"], along, ddl)
+    def over_strips(mean, part: pd.DataFrame):
+        into = []
+        for n, c, first in zip(part["n"], part["c"], part["_in"]):
+            mean = first if mean is None else mean
+            into.append(mean)
+            mean = b ** n * mean + c
+        return mean, part[[*keys, "_pc", "_st"]].assign(_m=into)
+
+    ddl = ", ".join(f"`{k}` {t}" for k, t in rows.select(*keys, "_pc", "_st").dtypes) + ", _m double"
+    entries = ordered_fold(strips.join(into, [*keys, "_pc"]).select(*keys, "_pc", "_st", "n", "c", "_in"),
+                           [*keys, "_pc"], ["_st"], over_strips, ddl)
+    return (rows.join(entries, [*keys, "_pc", "_st"])
+            .select(*df.columns, (F.col("_m") * F.pow(F.lit(b), F.col("_r") + 1) + F.col("_c")).alias(name)))
 
 
 def embedding_ema(df: DataFrame, keys: list[str], order: str, vector: str = "embedding",

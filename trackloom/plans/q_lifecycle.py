@@ -35,7 +35,7 @@ def life(spark, sf):
 
 
 def numbered(spark, sf):
-    return lc.number_targets(life(spark, sf), bucket_s=86400.0)
+    return lc.number_targets(life(spark, sf))
 
 
 @query("l01_lifecycle", f"WITH {LIFE_SQL} SELECT slot_id, track_id, CAST(generation AS BIGINT) AS generation, event, frame_id, us, seen AS last_seen_us FROM le")
@@ -106,7 +106,7 @@ ty AS (SELECT 'evt-' || CASE WHEN n < 1000000 THEN lpad(CAST(n AS VARCHAR), 6, '
 
 
 def typed_events(spark, sf):
-    return lc.to_events(numbered(spark, sf), bucket_s=86400.0)
+    return lc.to_events(numbered(spark, sf))
 
 
 @query("l05_typed_events", f"WITH {EVENTS_SQL} SELECT * FROM ty")
