@@ -70,6 +70,32 @@ def kalman_smooth(tracks: DataFrame, filter: str = "ukf", velocity_clip: float =
     return by_key(rows, keys, ["frame_id"]).mapInArrow(run, DDL)
 
 
+def _carried(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The value that comes into each row along its key when a row turns m into ``a`` m + ``c``, from the first ``v``."""
+    cols = [*keys, *order]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, m = None, 0.0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            goes_on = np.ones(len(pdf), dtype=bool)
+            for k in keys:
+                values = pdf[k].to_numpy()
+                goes_on[1:] &= values[1:] == values[:-1]
+            goes_on[0] = current == tuple(pdf[k].iat[0] for k in keys)
+            into = []
+            for a, c, first, same in zip(pdf["a"].tolist(), pdf["c"].tolist(), pdf["v"].tolist(), goes_on.tolist()):
+                m = m if same else first
+                into.append(m)
+                m = a * m + c
+            current = tuple(pdf[k].iat[-1] for k in keys)
+            yield pdf[cols].assign(_in=into)
+
+    ddl = ", ".join(f"`{n}` {t}" for n, t in rows.select(*cols).dtypes) + ", _in double"
+    return by_key(rows, keys, order).mapInPandas(run, ddl)
+
+
 def ema(df: DataFrame, alpha: float, keys: list[str], order: list[str], value: str, name: str = "ema",
         piece: int = 4096) -> DataFrame:
     """Exponential mean along each key: ``alpha`` x new + (1 - alpha) x old, started by the first value.
@@ -99,29 +125,12 @@ def ema(df: DataFrame, alpha: float, keys: list[str], order: list[str], value: s
     size = F.aggregate("_s", F.lit(0).cast("long"), lambda acc, q: acc + q["n"])
     effects = chain.select(*keys, "_pc", own.alias("c"), F.pow(F.lit(b), size).alias("a"), F.col("_s")[0]["v"].alias("v"))
 
-    def along(mean, part: pd.DataFrame):
-        into = []
-        for a, c, first in zip(part["a"], part["c"], part["v"]):
-            mean = first if mean is None else mean
-            into.append(mean)
-            mean = a * mean + c
-        return mean, part[[*keys, "_pc"]].assign(_in=into)
-
-    ddl = ", ".join(f"`{k}` {t}" for k, t in pieces.select(*keys, "_pc").dtypes) + ", _in double"
-    into = ordered_fold(effects, keys, ["_pc"], along, ddl)
-    def over_strips(mean, part: pd.DataFrame):
-        into = []
-        for n, c, first in zip(part["n"], part["c"], part["_in"]):
-            mean = first if mean is None else mean
-            into.append(mean)
-            mean = b ** n * mean + c
-        return mean, part[[*keys, "_pc", "_st"]].assign(_m=into)
-
-    ddl = ", ".join(f"`{k}` {t}" for k, t in rows.select(*keys, "_pc", "_st").dtypes) + ", _m double"
-    entries = ordered_fold(strips.join(into, [*keys, "_pc"]).select(*keys, "_pc", "_st", "n", "c", "_in"),
-                           [*keys, "_pc"], ["_st"], over_strips, ddl)
+    into = _carried(effects, [*keys], ["_pc"])
+    strips = strips.join(into.withColumnRenamed("_in", "_from"), [*keys, "_pc"])
+    entries = _carried(strips.select(*keys, "_pc", "_st", F.pow(F.lit(b), "n").alias("a"), "c", F.col("_from").alias("v")),
+                       [*keys, "_pc"], ["_st"])
     return (rows.join(entries, [*keys, "_pc", "_st"])
-            .select(*df.columns, (F.col("_m") * F.pow(F.lit(b), F.col("_r") + 1) + F.col("_c")).alias(name)))
+            .select(*df.columns, (F.col("_in") * F.pow(F.lit(b), F.col("_r") + 1) + F.col("_c")).alias(name)))
 
 
 def embedding_ema(df: DataFrame, keys: list[str], order: str, vector: str = "embedding",
