@@ -242,3 +242,49 @@ def test_stream_lifecycle_matches_batch(spark, tmp_path):
     batch = {(r.slot_id, r.track_id, r.event, r.frame_id, r.generation) for r in lc.lifecycle(df, clock, 6.0, 12.0).collect()}
     out = rn.run_available(st.stream_lifecycle(stream_of(spark, df, tmp_path, 4), 6.0, 12.0), "l").collect()
     assert {(r.slot_id, r.track_id, r.event, r.frame_id, r.generation) for r in out} == batch
+
+
+def test_stream_lifecycle_sweeps_silent_slots(spark, tmp_path):
+    # slot 0 falls silent after frame 10 (ts 1010), slot 1 goes on to frame 79
+    df = log(spark, [(0, 5, f, 1000.0 + f) for f in range(11)] + [(1, 6, f, 1000.0 + f) for f in range(80)])
+    life = st.stream_lifecycle(stream_of(spark, df, tmp_path, 4), 6.0, 12.0, sweep_delay="2 seconds")
+    out = rn.run_available(life, "s").filter("event <> 'updated'").collect()
+    got = sorted((r.slot_id, r.track_id, r.event, r.frame_id, r.us // 1_000_000) for r in out if r.slot_id == 0)
+    assert got == [(0, 5, "created", 0, 1000), (0, 5, "lost", None, 1016), (0, 5, "removed", None, 1028)]
+    assert [r.event for r in out if r.slot_id == 1] == ["created"]
+
+
+def test_streams_give_late_rows_back(spark, tmp_path):
+    df = log(spark, [(0, 1, f, float(f)) for f in range(60)])
+    src = str(tmp_path / "late")
+    for lo, hi in ((0, 20), (30, 60), (20, 30)):
+        df.filter((F.col("frame_id") >= lo) & (F.col("frame_id") < hi)).coalesce(1).write.mode("append").parquet(src)
+
+    def source():
+        return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+    life = rn.run_available(st.stream_lifecycle(source(), 5.0, 30.0), "l").collect()
+    health = rn.run_available(st.stream_health(source().select("slot_id", "frame_id", F.lit(0.5).alias("mean_conf"))), "h").collect()
+    for out in (life, health):
+        assert sorted(r.frame_id for r in out if r.late) == list(range(20, 30))
+        assert sorted(r.frame_id for r in out if not r.late) == [*range(20), *range(30, 60)]
+
+
+def test_stream_lifecycle_forgets_generations(spark, tmp_path):
+    df = log(spark, [(0, 1, 0, 0.0), (0, None, 10, 10.0), (0, None, 20, 20.0), (0, 1, 30, 30.0), (0, None, 40, 40.0),
+                     (0, None, 50, 50.0), (0, 2, 60, 500.0), (0, 1, 70, 600.0)])
+    out = rn.run_available(st.stream_lifecycle(stream_of(spark, df, tmp_path, 4), 5.0, 5.0, forget=100.0), "g").collect()
+    assert sorted((r.frame_id, r.generation) for r in out if r.event == "created" and r.track_id == 1) == [(0, 0), (30, 1), (70, 0)]
+
+
+def test_publish_keeps_old_events(spark, tmp_path):
+    rows = [(i, 1_000_000 - 50_000 * i, i % 3 > 0) for i in range(12)]
+    df = spark.createDataFrame(rows, "event_id long, s long, success boolean")
+    src = str(tmp_path / "events")
+    for lo, hi in ((0, 6), (4, 12)):
+        df.filter(F.col("event_id").between(lo, hi)).coalesce(1).write.mode("append").parquet(src)
+    raw = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    events = raw.select("event_id", F.timestamp_seconds("s").alias("event_time"), "success")
+    rn.use_rocksdb(spark)
+    rn.publish_events(events, "parquet", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(12))

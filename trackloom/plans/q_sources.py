@@ -197,13 +197,32 @@ EVENTS = T.StructType([
     T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-def event_stream(spark, sf):
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf)
+def event_rows(raw):
     ts = F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")) / 1e6
     return raw.select((F.col("user_id") % 4).cast("int").alias("slot_id"), F.col("user_id").alias("track_id"),
                       F.col("event_id").alias("frame_id"), ts.alias("ts"), "event_type", "value")
 
 
+def event_stream(spark, sf):
+    return event_rows(spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def in_parts(spark, sf, build, name, by="event_id", parts=2):
+    """``build`` of the event stream, whose log arrives in ``parts`` ranges of ``by``: every part is a run of its own
+    that takes up the state of the one before."""
+    log = fx.table(spark, sf, "events")
+    cuts = log.select(F.col(by).cast("double" if by == "event_id" else "timestamp").cast("double").alias("v")).agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    lo, hi = cuts["lo"] or 0.0, cuts["hi"] or 0.0
+    place = F.col(by).cast("double" if by == "event_id" else "timestamp").cast("double")
+    part = F.least(F.floor((place - lo) / max(hi - lo, 1.0) * parts), F.lit(parts - 1))
+    source, folder, out = new_folder(spark, "events"), new_folder(spark, name), None
+    for k in range(parts):
+        log.filter(F.coalesce(part, F.lit(0)) == k).write.mode("append").parquet(source)
+        out = rn.run_available(build(event_rows(spark.readStream.schema(EVENTS).parquet(source))), name, folder)
+    return out
+
+
 def event_frames(df):
     """Three boxes per event as an array of detections; every seventh frame is empty."""
     v, u = F.col("value"), F.col("track_id")
@@ -224,28 +243,30 @@ sf AS (SELECT * FROM sd WHERE confidence >= 35e-2)"""
 
 @query("w01_stream_tracker")
 def w01(spark, sf):
-    out = rn.run_available(st.stream_tracker(event_frames(event_stream(spark, sf))), "tracker")
+    out = in_parts(spark, sf, lambda rows: st.stream_tracker(event_frames(rows)), "tracker")
     return out.filter("NOT late").select("slot_id", "frame_id", "track_id", "label", "track_state", "hits", "misses",
                                          *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query("w02_stream_lifecycle", f"WITH {LIFE_SQL} SELECT slot_id, track_id, CAST(generation AS BIGINT) AS generation, event, frame_id, us FROM le")
 def w02(spark, sf):
-    out = rn.run_available(st.stream_lifecycle(event_stream(spark, sf), fx.STALE_S, fx.REMOVAL_S), "lifecycle")
-    return out.select("slot_id", "track_id", "generation", "event", "frame_id", "us")
+    out = in_parts(spark, sf, lambda rows: st.stream_lifecycle(rows, fx.STALE_S, fx.REMOVAL_S, forget=None), "lifecycle", "ts")
+    return out.filter("NOT late").select("slot_id", "track_id", "generation", "event", "frame_id", "us")
 
 
 @query("w03_stream_throttle", f"WITH RECURSIVE {THROTTLE_SQL} SELECT slot_id, track_id, frame_id FROM w WHERE keep")
 def w03(spark, sf):
-    out = rn.run_available(st.stream_throttle(event_stream(spark, sf), 28800.0, ["slot_id", "track_id"]), "throttle")
+    out = in_parts(spark, sf, lambda rows: st.stream_throttle(rows, 28800.0, ["slot_id", "track_id"]), "throttle", "ts")
     return out.select("slot_id", "track_id", "frame_id")
 
 
 @query("w04_stream_health", f"""WITH {fx.TRACK_LOG_CTE} SELECT slot_id, frame_id, round(avg(value / 1e2) OVER w + 1e-11, 9) AS recent_mean,
   row_number() OVER (PARTITION BY slot_id ORDER BY frame_id) < 90 OR avg(value / 1e2) OVER w >= 35e-2 AS healthy FROM tl WINDOW w AS (PARTITION BY slot_id ORDER BY frame_id ROWS BETWEEN 89 PRECEDING AND CURRENT ROW)""")
 def w04(spark, sf):
-    per = event_stream(spark, sf).select("slot_id", "frame_id", (F.col("value") / 100.0).alias("mean_conf"))
-    return rn.run_available(st.stream_health(per), "health").select("slot_id", "frame_id", F.round(F.col("recent_mean") + 1e-11, 9).alias("recent_mean"), "healthy")
+    def health(rows):
+        return st.stream_health(rows.select("slot_id", "frame_id", (F.col("value") / 100.0).alias("mean_conf")))
+
+    return in_parts(spark, sf, health, "health").filter("NOT late").select("slot_id", "frame_id", F.round(F.col("recent_mean") + 1e-11, 9).alias("recent_mean"), "healthy")
 
 
 @query("w05_stream_stateless", kept_sql(FRAME_CTE, "sf", "confidence DESC", "CASE r.label WHEN 'person' THEN 55e-2 WHEN 'rectangle' THEN 30e-2 END", True)
