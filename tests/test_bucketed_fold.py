@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,30 @@ def test_ema_of_one_long_piece(spark, alpha):
     for i, v in enumerate(values):
         mean = mean if i == 0 else alpha * v + (1 - alpha) * mean
         assert got[i] == pytest.approx(mean, abs=1e-12)
+
+
+def test_embedding_mean_over_tails_is_that_of_whole_tracks(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(3, 8))
+    rows = []
+    for i in range(6000):
+        track = 0 if i % 3 else i % 5
+        v = base[track % 3] + rng.normal(size=8) * 0.3
+        rows.append((track, i, (v / np.linalg.norm(v)).tolist()))
+    # opposed vectors do not let the past fade: this track has to be folded whole
+    rows += [(9, i, [1.0, 0.0] if i % 2 else [-1.0, 0.0]) for i in range(50)]
+    rows += [(10, 1, [0.6, 0.8]), (11, 1, None)]
+    df = spark.createDataFrame(rows, "track_id long, i long, embedding array<double>")
+    want = {}
+    for track, _, v in rows:
+        if v is not None:
+            v = np.array(v)
+            mean, n = want.get(track, (None, 0))
+            mean = v if mean is None else 0.8 * mean + 0.2 * v
+            want[track] = mean / np.linalg.norm(mean), n + 1
+    for tail in (40, 256):
+        got = {r.track_id: (r.embedding, r.n) for r in smooth.embedding_ema(df, ["track_id"], "i", tail=tail).collect()}
+        assert got.keys() == want.keys()
+        for track, (mean, n) in want.items():
+            assert got[track][1] == n
+            assert np.abs(np.array(got[track][0]) - mean).max() < 1e-9

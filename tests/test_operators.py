@@ -119,6 +119,47 @@ def test_locked_targets_do_not_go_stale(spark):
     assert [(r.event, r.ts) for r in out] == [("created", 1.0), ("locked", 2.0), ("unlocked", 20.0), ("lost", 21.0), ("removed", 30.5)]
 
 
+def walk_lifecycle(frames, seen, commands, stale, removal):
+    """One track against the frames of its slot, frame by frame; commands after the frames of their time."""
+    state, out, gen, at, earliest = None, [], 0, 0, 0
+    steps = sorted([(t, 0, None) for t in frames] + [(t, 1, c) for t, c in commands])
+    for t, _, command in steps:
+        if command is None and t in seen:
+            event = {None: "created", "ACTIVE": "updated", "LOST": "recovered", "LOCKED": "kept"}[state]
+            state, at, earliest = ("LOCKED" if state == "LOCKED" else "ACTIVE"), t, t + stale
+            out.append((event, t, gen))
+        elif command is None and state == "ACTIVE" and t >= earliest:
+            state, at = "LOST", t
+            out.append(("lost", t, gen))
+        elif command is None and state == "LOST" and t >= at + removal or command == "remove" and state == "LOST":
+            out.append(("removed", t, gen))
+            state, gen = None, gen + 1
+        elif command == "lock" and state == "ACTIVE":
+            state = "LOCKED"
+            out.append(("locked", t, gen))
+        elif command == "unlock" and state == "LOCKED":
+            state, earliest = "ACTIVE", max(earliest, t + 1)
+            out.append(("unlocked", t, gen))
+    return out
+
+
+def test_lifecycle_with_commands_against_frame_by_frame(spark):
+    rng = random.Random(21)
+    obs, told, clock, want = [], [], [], set()
+    for slot in range(3):
+        frames = sorted(rng.sample(range(1, 400), 160))
+        clock += [(slot, 99, t, float(t)) for t in frames]
+        for track in range(6):
+            seen = set(rng.sample(frames, rng.choice([5, 25, 60])))
+            commands = [] if track == 0 else [(t, rng.choice(["lock", "unlock", "remove", "none"])) for t in rng.sample(range(1, 400), 30)]
+            obs += [(slot, track, t, float(t)) for t in seen]
+            told += [(slot, track, float(t), c) for t, c in commands]
+            want |= {(slot, track, *e) for e in walk_lifecycle(frames, seen, commands, 7, 15)}
+    cmd = spark.createDataFrame(told + [(0, None, 5.0, "lock"), (0, 0, 5.0, None)], "slot_id int, track_id bigint, ts double, command string")
+    out = lc.lifecycle_fsm(log(spark, obs), cmd, log(spark, clock).drop("track_id"), 7.0, 15.0, bucket_s=50.0).collect()
+    assert {(r.slot_id, r.track_id, r.event, int(r.ts), r.generation) for r in out} == want and len(out) == len(want)
+
+
 def test_transitions(spark):
     rows = [(a, b) for a in lc.STATES for b in lc.STATES]
     out = lc.validate_transitions(spark.createDataFrame(rows, "from_state string, to_state string")).collect()

@@ -165,24 +165,35 @@ def lifecycle_fsm(tracks: DataFrame, commands: DataFrame, clock: DataFrame, stal
     """Lifecycle with lock / unlock / remove commands (slot_id, track_id, ts, command).
 
     A locked target is never lost; unlocking makes it ACTIVE again, a remove command takes effect
-    on a lost target only. A command is handled after the frames of its time. What needs the slot
-    clock - the frame in which a target would be lost or removed - is looked up beforehand for every
-    row, so that the fold sees the rows of one track and nothing else.
+    on a lost target only. A command is handled after the frames of its time; commands without a kind, slot or track
+    are left out. Tracks that get no command go through :func:`lifecycle`; the others are folded, one track after
+    the other. The slot frames in which a target would be lost or removed are looked up beforehand, for
+    observations followed by a gap and for unlock commands only.
     """
     width, stale_us, removal_us = bucket_s * 1e6, int(round(stale * 1e6)), int(round(removal * 1e6))
+    given = commands.select(*KEY, "ts", F.col("command").alias("what")).dropna()
+    told = given.select(*KEY).distinct()
+    after = F.when(F.col("event") == "lost", "LOST").when(F.col("event") == "removed", "REMOVED").otherwise("ACTIVE")
+    names = [c.split()[0] for c in FSM_DDL.split(", ")]
+    plain = (lifecycle(tracks.join(told, KEY, "left_anti"), clock, stale, removal, bucket_s)
+             .withColumn("state", after).select(*names))
+
     ticks = clock.select("slot_id", micros(F.col("ts")).alias("us"), "frame_id", "ts")
-    obs = tracks.select(*KEY, "frame_id", "ts", micros(F.col("ts")).alias("us"),
-                        F.lit("seen").alias("what"), F.lit(stale_us).alias("wait"))
-    cmd = commands.select(*KEY, F.lit(-1).cast("long").alias("frame_id"), "ts", micros(F.col("ts")).alias("us"),
-                          F.col("command").alias("what"), F.lit(1).alias("wait"))
-    rows = obs.unionByName(cmd)
-    rows = cut_lineage(_asof(rows, ticks, F.col("us") + F.col("wait"), "lost", width))
-    rows = _asof(rows, ticks, F.col("lost.us") + removal_us, "removed", width)
+    obs = tracks.join(told, KEY, "left_semi").select(*KEY, "frame_id", "ts", micros(F.col("ts")).alias("us"))
+    obs = Timeline(obs, KEY, ["us", "frame_id"], bucket_of("us", width)).lead(next_us=F.col("us")).apply()
+    gap = F.col("next_us").isNull() | (F.col("next_us") - F.col("us") >= stale_us)
+    obs = obs.select(*KEY, "frame_id", "ts", "us", F.lit("seen").alias("what"), F.lit(stale_us).alias("wait"), gap.alias("ask"))
+    cmd = given.select(*KEY, F.lit(-1).cast("long").alias("frame_id"), "ts", micros(F.col("ts")).alias("us"),
+                       "what", F.lit(1).alias("wait"), (F.col("what") == "unlock").alias("ask"))
+    rows = cut_lineage(obs.unionByName(cmd))
+    asked = cut_lineage(_asof(rows.filter("ask"), ticks, F.col("us") + F.col("wait"), "lost", width))
+    asked = _asof(asked, ticks, F.col("lost.us") + removal_us, "removed", width)
+    rows = rows.filter("NOT ask").unionByName(asked, allowMissingColumns=True)
     flat = rows.select(
         *KEY, "frame_id", "ts", "us", "what", (F.col("what") != "seen").cast("int").alias("after"),
         *[F.coalesce(F.col(f"{h}.{c}"), F.lit(-1)).alias(f"{h}_{c}") for h in ("lost", "removed")
           for c in ("us", "frame_id", "ts")])
-    return ordered_fold(flat, KEY, ["us", "after", "frame_id"], _fsm_step, FSM_DDL, _fsm_finish)
+    return plain.unionByName(ordered_fold(flat, KEY, ["us", "after", "frame_id"], _fsm_step, FSM_DDL, _fsm_finish))
 
 
 class _Target:

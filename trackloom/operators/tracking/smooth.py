@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..fold import by_key, ordered_fold
+from ..materialize import cut_lineage
 from . import filters
 from .blocks import Bank, BlockRunner, Rows, Step
 
@@ -134,28 +135,48 @@ def ema(df: DataFrame, alpha: float, keys: list[str], order: list[str], value: s
 
 
 def embedding_ema(df: DataFrame, keys: list[str], order: str, vector: str = "embedding",
-                  keep: float = 0.8) -> DataFrame:
+                  keep: float = 0.8, tail: int = 256) -> DataFrame:
     """Appearance vector of each track: weight ``keep`` on the past, back to unit length each time.
 
-    Rows seen while the track was occluded (``misses`` > 0) are left out.
+    Rows seen while the track was occluded (``misses`` > 0) are left out. The past fades, so a track longer than
+    ``tail`` rows is folded over its last ``tail`` rows, from three unlike starts at once. Where the three ends agree
+    to 1e-12 the mean no longer depends on what came before; tracks where they do not are folded whole.
+    Only ``tail`` rows a track and input task move.
     """
     rows = df.filter(F.coalesce("misses", F.lit(0)) == 0) if "misses" in df.columns else df
+    rows = rows.filter(F.col(vector).isNotNull()).select(*keys, order, vector)
     types = dict(df.dtypes)
 
-    def step(state, part):
-        key, mean, n = state or (tuple(part[k].iat[0] for k in keys), None, 0)
-        for v in part[vector]:
-            v = np.asarray(v, dtype=np.float64)
-            mean = v if mean is None else keep * mean + (1.0 - keep) * v
-            norm = np.linalg.norm(mean)
-            mean = mean / norm if norm > 1e-6 else mean
-            n += 1
-        return (key, mean, n), None
-
-    def finish(state) -> pd.DataFrame:
-        key, mean, n = state
-        return pd.DataFrame([(*key, mean, n)], columns=[*keys, vector, "n"])
-
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"{vector} array<double>", "n bigint"])
-    return ordered_fold(rows.filter(F.col(vector).isNotNull()).select(*keys, order, vector), keys, [order],
-                        step, schema, finish)
+    def folded(rows: DataFrame, starts: int) -> DataFrame:
+        def step(state, part):
+            key, means = state or (tuple(part[k].iat[0] for k in keys), None)
+            for v in part[vector]:
+                v = np.asarray(v, dtype=np.float64)
+                if means is None:
+                    means = np.stack([v, -v, np.roll(v, 1)][:starts])
+                    continue
+                means = keep * means + (1.0 - keep) * v
+                norms = np.linalg.norm(means, axis=1, keepdims=True)
+                means = means / np.where(norms > 1e-6, norms, 1.0)
+            return (key, means), None
+
+        def finish(state) -> pd.DataFrame:
+            key, means = state
+            return pd.DataFrame([(*key, means[0], bool(np.abs(means - means[0]).max(initial=0.0) <= 1e-12))],
+                                columns=[*keys, vector, "_settled"])
+
+        schema = ", ".join([*[f"{k} {types[k]}" for k in keys], f"{vector} array<double>", "_settled boolean"])
+        return ordered_fold(rows, keys, [order], step, schema, finish)
+
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(order).desc()))
+    last = folded(rows.withColumn("_place", place).filter(F.col("_place") <= tail).drop("_place"), 3)
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    known = cut_lineage(counts.alias("c").join(last.alias("t"), same).select("c.*", f"t.{vector}", "t._settled"))
+
+    # the first of the three starts is the first vector of the tail: right as it is for a track without more rows
+    long = known.filter((F.col("n") > tail) & ~F.col("_settled")).select(*keys, "n")
+    of_long = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    whole = folded(rows.alias("r").join(long.alias("l"), of_long, "left_semi"), 1)
+    whole = long.alias("l").join(whole.alias("r"), of_long).select(*[f"l.{k}" for k in keys], f"r.{vector}", "l.n")
+    return known.filter((F.col("n") <= tail) | F.col("_settled")).select(*keys, vector, "n").unionByName(whole)

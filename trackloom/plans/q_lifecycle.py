@@ -54,15 +54,41 @@ def _fsm(spark, sf, commands):
     return lc.lifecycle_fsm(log, commands(log), log.select("slot_id", "frame_id", "ts"), fx.STALE_S, fx.REMOVAL_S, bucket_s=86400.0)
 
 
-@query("l02_lifecycle_commands")
+# One row of a track after the other; a last row sweeps what is still open. d: the frame of the loss, g: of the removal.
+FSM_SQL = f"""{fx.TRACK_LOG_CTE},
+ck AS (SELECT slot_id, us, min(frame_id) AS frame_id FROM tl GROUP BY slot_id, us),
+r0 AS (SELECT slot_id, track_id, frame_id, us, 'seen' AS what, 0 AS aft, frame_id AS f, us + {STALE_US} AS at FROM tl
+  UNION ALL SELECT slot_id, track_id, -1, us, CASE event_type WHEN 'purchase' THEN 'lock' ELSE 'unlock' END, 1, 9000000000000000000, us + 1 FROM tl WHERE event_type IN ('purchase', 'signup')
+  UNION ALL SELECT DISTINCT slot_id, track_id, -1, 9000000000000000000, 'end', 2, 9000000000000000000, 9000000000000000000 FROM tl),
+r1 AS (SELECT r.*, c.us AS dus, c.frame_id AS df, coalesce(c.us + {REMOVAL_US}, 9000000000000000000) AS rat FROM r0 r ASOF LEFT JOIN ck c ON c.slot_id = r.slot_id AND c.us >= r.at),
+r2 AS MATERIALIZED (SELECT r.*, c.us AS gus, c.frame_id AS gf, row_number() OVER (PARTITION BY r.slot_id, r.track_id ORDER BY r.us, r.aft, r.frame_id) AS n
+  FROM r1 r ASOF LEFT JOIN ck c ON c.slot_id = r.slot_id AND c.us >= r.rat),
+w AS (SELECT slot_id, track_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS state, CAST(0 AS BIGINT) AS gen, [CAST(NULL AS BIGINT), NULL, NULL, NULL] AS d,
+    CAST(NULL AS VARCHAR) AS ev, CAST(0 AS BIGINT) AS frame_id, CAST(0 AS BIGINT) AS us, false AS lost, false AS gone, [CAST(NULL AS BIGINT), NULL, NULL, NULL] AS od FROM r0 WHERE what = 'end'
+  UNION ALL SELECT slot_id, track_id, n, CASE WHEN ev = 'locked' OR ev = 'kept' THEN 'LOCKED' WHEN ev IS NOT NULL THEN 'ACTIVE' ELSE st END, gen,
+    CASE WHEN what = 'seen' THEN nd WHEN ev = 'unlocked' THEN CASE WHEN d[1] IS NULL OR nd[1] IS NULL THEN [CAST(NULL AS BIGINT), NULL, NULL, NULL] WHEN nd[1] > d[1] OR (nd[1] = d[1] AND nd[2] > d[2]) THEN nd ELSE d END ELSE d END,
+    ev, frame_id, us, lost, gone, d FROM (
+    SELECT *, CASE WHEN what = 'seen' THEN CASE st WHEN 'ACTIVE' THEN 'updated' WHEN 'LOST' THEN 'recovered' WHEN 'LOCKED' THEN 'kept' ELSE 'created' END
+        WHEN what = 'lock' AND st = 'ACTIVE' THEN 'locked' WHEN what = 'unlock' AND st = 'LOCKED' THEN 'unlocked' END AS ev FROM (
+      SELECT *, CASE WHEN gone THEN NULL WHEN lost THEN 'LOST' ELSE state END AS st, g0 + CAST(gone AS BIGINT) AS gen FROM (
+        SELECT *, (lost OR coalesce(state = 'LOST', false)) AND coalesce(d[3] < us OR (d[3] = us AND d[4] < f), false) AS gone FROM (
+          SELECT r.slot_id, r.track_id, r.n, r.what, r.us, r.frame_id, r.f, w.state, w.gen AS g0, w.d, [r.dus, r.df, r.gus, r.gf] AS nd,
+            coalesce(w.state = 'ACTIVE' AND (w.d[1] < r.us OR (w.d[1] = r.us AND w.d[2] < r.f)), false) AS lost
+          FROM w JOIN r2 r ON r.slot_id = w.slot_id AND r.track_id = w.track_id AND r.n = w.n + 1))))),
+fe AS (SELECT slot_id, track_id, gen AS generation, ev AS event, frame_id, us, state FROM w WHERE ev IS NOT NULL
+  UNION ALL SELECT slot_id, track_id, gen - CAST(gone AS BIGINT), 'lost', od[2], od[1], 'LOST' FROM w WHERE lost
+  UNION ALL SELECT slot_id, track_id, gen - 1, 'removed', od[4], od[3], 'REMOVED' FROM w WHERE gone)"""
+
+
+@query("l02_lifecycle_commands", f"WITH RECURSIVE {FSM_SQL} SELECT slot_id, track_id, generation, event, frame_id, us, state FROM fe")
 def l02(spark, sf):
     return _fsm(spark, sf, fx.lock_commands).select("slot_id", "track_id", "generation", "event", "frame_id", "us", "state")
 
 
 @query("l02_no_commands", f"WITH {LIFE_SQL} SELECT slot_id, track_id, CAST(generation AS BIGINT) AS generation, event, frame_id, us, seen AS last_seen_us FROM le")
 def l02_plain(spark, sf):
-    """Without commands the fold has to agree with the relational form."""
-    out = _fsm(spark, sf, lambda log: fx.lock_commands(log).filter("command IS NULL"))
+    """Commands of an unknown kind do nothing: the fold has to agree with the relational form."""
+    out = _fsm(spark, sf, lambda log: fx.lock_commands(log).withColumn("command", F.lit("none")))
     return out.select("slot_id", "track_id", "generation", "event", "frame_id", "us", lc.micros(F.col("last_seen")).alias("last_seen_us"))
 
 
