@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 from collections import Counter, defaultdict
 
@@ -407,3 +408,23 @@ def test_pipeline_stages_on_awkward_rows(spark, docs, tmp_path):
 def test_kept_text_digest_of_query(spark):
     got = substring.remove_repeats(spark.createDataFrame([(1, " a\tb ")], "doc_id long, text string")).first()
     assert hashlib.sha256(got.text.encode()).hexdigest() == hashlib.sha256(b"a b").hexdigest()
+
+
+def test_html_reader_is_linear_on_odd_pages():
+    for odd in ('<p class="open', "<p title='", '<p a=">" ', "<!", "<p ", "<div>", "</div>", "<ul><li>", "&amp", "<p a=<p b='", '=" <a "'):
+        start = time.perf_counter()
+        dom.Page(odd * 100_000 + "<p>end").weights()
+        assert time.perf_counter() - start < 10, odd
+
+
+def test_html_reader_odd_tags():
+    def texts(html):
+        return [t for _, t in dom.Page(html).blocks]
+
+    assert texts("<p title=it's>first</p><p>it's second</p>") == ["first", "it's second"]
+    assert texts('<p title="a > b">one</p><p data-x = \'y>\'>two</p>') == ["one", "two"]
+    assert texts('<p>one</p><p class="x>two</p><p>three') == ["one", "two", "three"]
+    assert texts("<p>İİİİİİİİİİ</p><SCRIPT>1</scripT>after") == ["İİİİİİİİİİ", "after"]
+    assert texts("<p>(<math><mi>x</mi></math>) and <label>name</label></p>") == ["(x) and name"]
+    deep = dom.Page("<div>" * 3000 + "in" + "</div>" * 3000 + "<p>after</p>")
+    assert [t for _, t in deep.blocks] == ["in", "after"] and deep.nodes[deep.blocks[1][0]].parent == 0

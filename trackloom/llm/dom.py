@@ -8,22 +8,28 @@ from dataclasses import dataclass, field
 
 import xxhash
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Groups: unclosed comment, slash, name, attributes, attributes up to the first ">". Quotes open a value after "=" only.
+# Nothing is tried twice, so a tag costs its length.
+VALUES = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
+TAG = r"<(?:!--(?:.*?-->|(.*))|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)(?:(%s)>|([^>]*+)>)|[!?][^>]*+>)"
+WHOLE_TAG, BROKEN_TAG = re.compile(TAG % VALUES, re.S), re.compile(TAG % "(?!)", re.S)
+ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+DEPTH = 512  # elements below are read into the one at this depth
 
 # Element names by their part in a page.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre search section select summary table tbody td
-template tfoot th thead tr ul noscript object svg math button audio video canvas label""".split())
-CLOSE_P = BLOCKS - {"head", "html", "body", "button", "label", "option", "optgroup", "noscript", "object", "svg", "math", "audio", "video", "canvas", "template", "select"}
+template tfoot th thead tr ul noscript object svg button audio video canvas""".split())
+CLOSE_P = BLOCKS - {"head", "html", "body", "button", "option", "optgroup", "noscript", "object", "svg", "audio", "video", "canvas", "template", "select"}
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
            "option": {"option"}, "thead": {"tbody", "tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"},
          "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-NOISE = {"head", "nav", "footer", "aside", "form", "button", "select", "noscript", "template", "dialog", "menu", "svg", "math", "object", "audio",
-         "video", "canvas", "search", "fieldset", "label"} | RAW
+NOISE = {"head", "nav", "footer", "aside", "form", "button", "select", "noscript", "template", "dialog", "menu", "svg", "object", "audio",
+         "video", "canvas", "search", "fieldset"} | RAW
 FRAMES = {"nav", "footer", "aside", "dialog", "menu", "search", "fieldset"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 MAIN = {"article", "main"}
@@ -70,43 +76,57 @@ def _kind(name: str, a: dict[str, str], inside_main: bool) -> int:
 
 
 class Page:
-    """``nodes`` (the first is the page itself) and ``blocks``: (node, text) in page order, texts decoded and trimmed."""
+    """``nodes`` (the first is the page itself) and ``blocks``: (node, text) in page order, texts decoded and trimmed.
+
+    Reading takes time linear in the page. Where the page ends inside a quoted value, that tag and all after it end at
+    their first ">".
+    """
 
     def __init__(self, source: str, salt: str = ""):
         self.nodes = [Node("", "", -1, xxhash.xxh3_64_intdigest(salt.encode()), PLAIN, False)]
         self.blocks: list[tuple[int, str]] = []
         self._text: list[str] = []
-        stack, at = [0], 0
-        lower = None
-        for m in iter(lambda: TOKEN.search(source, at), None):
+        stack, at, below = [0], 0, 0
+        tag, last = WHOLE_TAG, source.rfind(">") + 1
+        while m := tag.search(source, at, last):
             self._text.append(source[at:m.start()])
-            at = m.end()
-            name = (m[2] or "").lower()
-            if not name:
+            at = m.end() if m[1] is None else len(source)
+            if not m[3]:
                 continue
-            if m[1]:
+            name, raw = m[3].lower(), m[4]
+            if raw is None:
+                tag, raw = BROKEN_TAG, m[5]
+            if m[2]:
                 if name in BLOCKS:
                     self._flush(stack[-1])
+                    if below:
+                        below -= 1
+                        continue
                     for i in range(len(stack) - 1, 0, -1):
                         if self.nodes[stack[i]].name == name:
                             del stack[i:]
                             break
                 continue
             if name in RAW:
-                lower = lower or source.lower()
-                end = lower.find(f"</{name}", at)
-                at = len(source) if end < 0 else end
+                end = RAW_END[name].search(source, at)
+                at = end.start() if end else len(source)
                 continue
             if name == "br":
                 self._text.append(" ")
             if name in VOID or name not in BLOCKS:
                 continue
             self._flush(stack[-1])
+            if below:
+                below += 1
+                continue
             self._implied_ends(stack, name)
-            self._open(stack, name, _attributes(m[3] or ""))
-            if (m[3] or "").endswith("/") and name in ("svg", "math"):
+            if len(stack) > DEPTH:
+                below = 1
+                continue
+            self._open(stack, name, _attributes(raw))
+            if raw.endswith("/") and name == "svg":
                 stack.pop()
-        self._text.append(source[at:])
+        self._text.append(source[at:].partition("<!--")[0])
         self._flush(stack[-1])
 
     def _implied_ends(self, stack: list[int], name: str) -> None:
