@@ -174,6 +174,19 @@ def test_transitions(spark):
     assert {r.from_state for r in out if r.terminal} == {"REMOVED"}
 
 
+def test_commands_of_one_time_go_by_name(spark):
+    clock = spark.createDataFrame([(0, t, float(t)) for t in range(1, 9)], "slot_id int, frame_id bigint, ts double")
+    cmd = spark.createDataFrame([(0, 7, 2.0, c) for c in ("unlock", "lock")], "slot_id int, track_id bigint, ts double, command string")
+    out = lc.lifecycle_fsm(log(spark, [(0, 7, t, float(t)) for t in range(1, 5)]), cmd.coalesce(1), clock, 50.0, 50.0)
+    assert [r.event for r in out.filter("frame_id = -1").collect()] == ["locked", "unlocked"]
+
+
+def test_health_settles_ties_in_billionths(spark):
+    assert (0.0 + 0.0 + 0.3) / 3 < 0.1  # by the order of the sum only
+    tie = spark.createDataFrame([(0, i, v) for i, v in enumerate([0.0, 0.0, 0.3])], "slot_id int, frame_id bigint, mean_conf double")
+    assert all(r.healthy for r in mn.health(tie, history=3, threshold=0.1).collect())
+
+
 def test_health_blocks_and_episodes(spark):
     conf = [0.6] * 100 + [0.0] * 100 + [0.91] * 220
     df = spark.createDataFrame([(0, f, c) for f, c in enumerate(conf)], "slot_id int, frame_id bigint, mean_conf double")

@@ -165,8 +165,8 @@ def lifecycle_fsm(tracks: DataFrame, commands: DataFrame, clock: DataFrame, stal
     """Lifecycle with lock / unlock / remove commands (slot_id, track_id, ts, command).
 
     A locked target is never lost; unlocking makes it ACTIVE again, a remove command takes effect
-    on a lost target only. A command is handled after the frames of its time; commands without a kind, slot or track
-    are left out. Tracks that get no command go through :func:`lifecycle`; the others are folded, one track after
+    on a lost target only. A command is handled after the frames of its time, commands of one time in the order of their
+    names (lock, remove, unlock); commands without a kind, slot or track are left out. Tracks that get no command go through :func:`lifecycle`; the others are folded, one track after
     the other. The slot frames in which a target would be lost or removed are looked up beforehand, for
     observations followed by a gap and for unlock commands only.
     """
@@ -193,7 +193,7 @@ def lifecycle_fsm(tracks: DataFrame, commands: DataFrame, clock: DataFrame, stal
         *KEY, "frame_id", "ts", "us", "what", (F.col("what") != "seen").cast("int").alias("after"),
         *[F.coalesce(F.col(f"{h}.{c}"), F.lit(-1)).alias(f"{h}_{c}") for h in ("lost", "removed")
           for c in ("us", "frame_id", "ts")])
-    return plain.unionByName(ordered_fold(flat, KEY, ["us", "after", "frame_id"], _fsm_step, FSM_DDL, _fsm_finish))
+    return plain.unionByName(ordered_fold(flat, KEY, ["us", "after", "frame_id", "what"], _fsm_step, FSM_DDL, _fsm_finish))
 
 
 class _Target:

@@ -86,6 +86,8 @@ def health(per_frame: DataFrame, keys: list[str] = ["slot_id"], history: int = 9
            order: str = "frame_id", block: int = 8192) -> DataFrame:
     """Rolling mean over the last ``history`` frames; unhealthy only once that many exist.
 
+    A mean is compared with a limit in whole billionths, so that the order of a sum does not settle ties.
+
     Frames are numbered along each key and cut into blocks; the last ``history - 1`` frames of a
     block are copied into the next one, so that a camera's frames spread over many tasks while every
     rolling mean still sees its full window.
@@ -98,14 +100,14 @@ def health(per_frame: DataFrame, keys: list[str] = ["slot_id"], history: int = 9
         "_blk", F.explode(F.when(into_next, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))))
     w = W.partitionBy(*keys, "_blk").orderBy("n").rowsBetween(-(history - 1), 0)
     rolled = rows.withColumn("recent_mean", F.avg("mean_conf").over(w)).filter("_blk = _own")
-    return (rolled.withColumn("healthy", (F.col("n") < history) | (F.col("recent_mean") >= threshold))
+    return (rolled.withColumn("healthy", (F.col("n") < history) | (F.round("recent_mean", 9) >= threshold))
             .select(*per_frame.columns, "n", "recent_mean", "healthy"))
 
 
 def _runs(part: pd.DataFrame, recovery: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of frames of one kind: kind (0 unhealthy, 1 healthy but weak, 2 good), first row, length."""
     ok, mean = part["healthy"].to_numpy(dtype=bool), part["recent_mean"].to_numpy(dtype=float)
-    kind = np.where(~ok, 0, np.where(mean >= recovery, 2, 1))
+    kind = np.where(~ok, 0, np.where(np.round(mean, 9) >= recovery, 2, 1))
     first = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
     return kind[first], first, np.diff(np.r_[first, len(kind)])
 

@@ -61,7 +61,7 @@ r0 AS (SELECT slot_id, track_id, frame_id, us, 'seen' AS what, 0 AS aft, frame_i
   UNION ALL SELECT slot_id, track_id, -1, us, CASE event_type WHEN 'purchase' THEN 'lock' ELSE 'unlock' END, 1, 9000000000000000000, us + 1 FROM tl WHERE event_type IN ('purchase', 'signup')
   UNION ALL SELECT DISTINCT slot_id, track_id, -1, 9000000000000000000, 'end', 2, 9000000000000000000, 9000000000000000000 FROM tl),
 r1 AS (SELECT r.*, c.us AS dus, c.frame_id AS df, coalesce(c.us + {REMOVAL_US}, 9000000000000000000) AS rat FROM r0 r ASOF LEFT JOIN ck c ON c.slot_id = r.slot_id AND c.us >= r.at),
-r2 AS MATERIALIZED (SELECT r.*, c.us AS gus, c.frame_id AS gf, row_number() OVER (PARTITION BY r.slot_id, r.track_id ORDER BY r.us, r.aft, r.frame_id) AS n
+r2 AS MATERIALIZED (SELECT r.*, c.us AS gus, c.frame_id AS gf, row_number() OVER (PARTITION BY r.slot_id, r.track_id ORDER BY r.us, r.aft, r.frame_id, r.what) AS n
   FROM r1 r ASOF LEFT JOIN ck c ON c.slot_id = r.slot_id AND c.us >= r.rat),
 w AS (SELECT slot_id, track_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS state, CAST(0 AS BIGINT) AS gen, [CAST(NULL AS BIGINT), NULL, NULL, NULL] AS d,
     CAST(NULL AS VARCHAR) AS ev, CAST(0 AS BIGINT) AS frame_id, CAST(0 AS BIGINT) AS us, false AS lost, false AS gone, [CAST(NULL AS BIGINT), NULL, NULL, NULL] AS od FROM r0 WHERE what = 'end'

@@ -52,7 +52,7 @@ def monitored(spark, sf, threshold=0.35, block=8192):
     return mn.health(mn.frame_confidence(frames_of(det), det), threshold=threshold, block=block)
 
 
-@query("a03_health", f"WITH {HEALTH_SQL} SELECT slot_id, frame_id, round(m + 1e-11, 9) AS mean_conf, round(recent + 1e-11, 9) AS recent_mean, n < 90 OR recent >= 35e-2 AS healthy FROM hl")
+@query("a03_health", f"WITH {HEALTH_SQL} SELECT slot_id, frame_id, round(m + 1e-11, 9) AS mean_conf, round(recent + 1e-11, 9) AS recent_mean, n < 90 OR round(recent, 9) >= 35e-2 AS healthy FROM hl")
 def a03(spark, sf):
     return monitored(spark, sf, block=1024).select(
         "slot_id", "frame_id", F.round(F.col("mean_conf") + 1e-11, 9).alias("mean_conf"),
@@ -60,12 +60,12 @@ def a03(spark, sf):
 
 
 @query("a04_health_episodes", f"""WITH RECURSIVE {HEALTH_SQL},
-ep AS (SELECT slot_id, frame_id, n, recent, CASE WHEN n < 90 OR recent >= 41e-2 THEN true ELSE false END AS ok FROM hl),
+ep AS (SELECT slot_id, frame_id, n, recent, round(recent, 9) AS r9, CASE WHEN n < 90 OR round(recent, 9) >= 41e-2 THEN true ELSE false END AS ok FROM hl),
 w AS (SELECT slot_id, frame_id, n, recent, NOT ok AS active, 0 AS good, CASE WHEN NOT ok THEN 'fallback' END AS event FROM ep WHERE n = 1
   UNION ALL SELECT e.slot_id, e.frame_id, e.n, e.recent,
-    CASE WHEN NOT e.ok THEN true WHEN w.active AND (CASE WHEN e.recent >= 45e-2 THEN w.good + 1 ELSE 0 END) >= 60 THEN false ELSE w.active END,
-    CASE WHEN NOT e.ok THEN CASE WHEN w.active THEN w.good ELSE 0 END WHEN w.active THEN CASE WHEN e.recent >= 45e-2 THEN CASE WHEN w.good + 1 >= 60 THEN 0 ELSE w.good + 1 END ELSE 0 END ELSE w.good END,
-    CASE WHEN NOT e.ok AND NOT w.active THEN 'fallback' WHEN e.ok AND w.active AND e.recent >= 45e-2 AND w.good + 1 >= 60 THEN 'restore' END
+    CASE WHEN NOT e.ok THEN true WHEN w.active AND (CASE WHEN e.r9 >= 45e-2 THEN w.good + 1 ELSE 0 END) >= 60 THEN false ELSE w.active END,
+    CASE WHEN NOT e.ok THEN CASE WHEN w.active THEN w.good ELSE 0 END WHEN w.active THEN CASE WHEN e.r9 >= 45e-2 THEN CASE WHEN w.good + 1 >= 60 THEN 0 ELSE w.good + 1 END ELSE 0 END ELSE w.good END,
+    CASE WHEN NOT e.ok AND NOT w.active THEN 'fallback' WHEN e.ok AND w.active AND e.r9 >= 45e-2 AND w.good + 1 >= 60 THEN 'restore' END
   FROM w JOIN ep e ON e.slot_id = w.slot_id AND e.n = w.n + 1)
 SELECT slot_id, frame_id, event, round(recent, 6) AS recent_mean FROM w WHERE event IS NOT NULL""")
 def a04(spark, sf):
