@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ...functions.presets import RECTANGLE_PRESETS
 from ...sources.detections import on_clock
-from ..materialize import cut_lineage
+from ..materialize import written
 from ..suppress import RECTANGLE_TRACK_RULE, suppress
 from . import filters
 from .blocks import Bank, Rows, Step
@@ -186,7 +186,8 @@ def rectangle_steps(det: DataFrame, frames: DataFrame | None = None, cfg: Rectan
     """Every track in every frame, with what happened to it, before any output rule."""
     poly = "polygon" in det.columns
     rows = fold_input(det, frames, cfg, None, False, ("polygon",) if poly else (), bucket, split_sessions, linger=1)
-    done = cut_lineage(fold_sessions(rows, lambda: RectangleTracker(cfg, poly), DDL + (POLY_DDL if poly else ""), {}))
+    done = fold_sessions(rows, lambda: {"": RectangleTracker(cfg, poly)}, DDL + (POLY_DDL if poly else ""), {})
+    done = written(done.drop("run"), "rectangles")
     return number_tracks(done, bucket)
 
 
