@@ -349,3 +349,21 @@ def test_publish_keeps_old_events(spark, tmp_path):
     rn.use_rocksdb(spark)
     rn.publish_events(events, "parquet", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(12))
+
+
+def test_stream_lifecycle_looks_at_due_targets_only(spark, monkeypatch):
+    import pandas as pd
+    asked = []
+    p = st._LifecycleProcessor(3_000_000, 5_000_000, None, False)
+    kept = {}
+    p.load, p.save = lambda: kept.get("state"), lambda state: kept.update(state=state)
+    limit = p._limit
+    p._limit = lambda target: asked.append(1) or limit(target)
+    n = 400
+    rows = pd.DataFrame({"us": [i * 10_000 for i in range(n)], "frame_id": range(n), "ts": [i / 100 for i in range(n)], "track_id": range(n)})
+    first = pd.concat(list(p.handleInputRows((0,), iter([rows]), None)))
+    assert (first["event"] == "created").sum() == n and (first["event"] == "lost").sum() == n - 300
+    assert len(asked) < 5 * n  # once a frame and open target would be 80,000
+    late = rows[:1].assign(us=20_000_000, frame_id=n, ts=20.0, track_id=0)
+    second = pd.concat(list(p.handleInputRows((0,), iter([late]), None)))
+    assert sorted(second["event"].value_counts().to_dict().items()) == [("lost", 300), ("recovered", 1), ("removed", 99)]
