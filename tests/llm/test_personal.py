@@ -171,3 +171,26 @@ def test_nothing_to_learn_from(spark):
     for rows in ([], [(1, None, "b", 1, "x"), (2, "only 12 words", "b", 1, "x")]):
         docs = spark.createDataFrame(rows, SCHEMA)
         assert personal.learn(docs) is None and personal.scan(docs, None).count() == len(rows)
+
+
+def test_places_without_a_digit_or_at_sign_and_long_spans_are_looked_at():
+    import numpy as np
+
+    class Marked:
+        """Finds runs of letters beyond ASCII, taken for addresses."""
+
+        def probabilities(self, x):
+            p = np.full((*x.shape, personal.TAGS), 1e-6)
+            hit = x >= personal.OTHER
+            first = hit & ~np.pad(hit, ((0, 0), (1, 0)))[:, :-1]
+            first[:, 0] = False  # a window's first place says nothing of what lies before it
+            p[..., 0] = np.where(hit, 1e-6, 1.0)
+            p[..., 1] = np.where(first, 1.0, 1e-6)
+            p[..., 2] = np.where(hit & ~first, 1.0, 1e-6)
+            return p / p.sum(-1, keepdims=True)
+
+    word = "é" * 5
+    plain, long = f"mail {word} at home", "x " * 60 + "é" * 90 + "1" + "é" * 90 + " y" * 60
+    assert [(a, b) for a, b, *_ in personal.found_by(Marked(), [plain])[0]] == [(5, 10)]
+    ends = personal.found_by(Marked(), [long])[0]
+    assert min(a for a, *_ in ends) == 120 and max(b for _, b, *_ in ends) == 301

@@ -4,8 +4,10 @@ Training: spans that the patterns find are the labels. Of windows with a span of
 ``sample`` with the smallest hashes reach the driver, where the network is trained in numpy. Some copies of the labelled
 spans are written as patterns do not know them (other separators, ``[at]``, ``[.]``, no plus sign).
 
-Scan: every kind needs a digit or an at sign, so regions are all places within ``REACH`` characters of one; the rest of a
-text is not looked at by the network. A region is cut into overlapping windows; each is decoded to tag probabilities over
+Scan: a span is added only if it holds a digit, an at sign or the word ``at`` (``can_be``). Regions are all places within
+``REACH`` characters of one of these; a region with a span at one of its ends is widened there until no span meets an end,
+so no span is cut, and what is left out can hold none that would be added. A region is cut into overlapping windows; each
+is decoded to tag probabilities over
 all of its tag sequences. Probabilities of a place are averaged over its windows, places near a window's middle weighing
 more, and one best path through the whole region settles the spans, so a span that a window cuts is found once and whole.
 A span that no base span touches is added if its mean probability is at least ``SURE`` and it can be what it is taken for
@@ -40,7 +42,7 @@ NUMBERS = re.compile(r"[0-9]++(?:\.([0-9]++)\.([0-9]++)\.([0-9]++))?")  # a run
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
-TRIGGER = re.compile("[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|\bat\b")
 REACH, WIDTH, STRIDE = 24, 64, 32
 SAMPLE, STEPS, SURE = 400, 300, 0.9
 SLICE = 256
@@ -105,7 +107,7 @@ def can_be(kind: str, x: str) -> bool:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """All that lies within reach of a digit or an at sign, as runs."""
+    """All that lies within reach of a digit, an at sign or the word ``at``, as runs."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
@@ -231,18 +233,55 @@ WEIGHT = np.minimum(np.arange(WIDTH) + 1, WIDTH - np.arange(WIDTH)).astype(float
 
 
 def found_by(tagger: Tagger | None, texts: list[str], most: int = 512) -> list[list[tuple[int, int, str, float]]]:
-    """Spans that the network finds in each text."""
+    """Spans that the network finds in each text; regions that a span reaches the end of are read again, twice as far."""
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     if tagger is None:
         return out
     todo = [(i, a, b) for i, t in enumerate(texts) for a, b in regions(t)]
+    while todo:
+        again: dict[int, list[list[int]]] = {}
+        for (i, a, b), spans in zip(todo, _found_in(tagger, texts, todo, most)):
+            left = any(s == a for s, *_ in spans) and a > 0
+            right = any(e == b for _, e, *_ in spans) and b < len(texts[i])
+            if left or right:
+                more = max(WIDTH, b - a)
+                a, b = max(0, a - more) if left else a, min(len(texts[i]), b + more) if right else b
+                again.setdefault(i, []).append([a, b])
+            else:
+                out[i] += spans
+        todo = []
+        for i, wider in again.items():
+            runs: list[list[int]] = []
+            for a, b in sorted(wider):
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = max(b, runs[-1][1])
+                else:
+                    runs.append([a, b])
+            todo += [(i, a, b) for a, b in runs]
+    return [_apart(spans) for spans in out]
+
+
+def _apart(spans: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """In order of starts; of spans that meet, which widened regions can find twice, the surer one stays."""
+    kept: list[tuple[int, int, str, float]] = []
+    for s in sorted(spans):
+        if kept and s[0] < kept[-1][1]:
+            kept[-1] = max(kept[-1], s, key=lambda x: x[3])
+        else:
+            kept.append(s)
+    return kept
+
+
+def _found_in(tagger: Tagger, texts: list[str], todo: list[tuple[int, int, int]], most: int) -> list[list[tuple[int, int, str, float]]]:
+    """Spans of each region (text, start, end)."""
+    out: list[list[tuple[int, int, str, float]]] = [[] for _ in todo]
     window = [(n, s) for n, (_, a, b) in enumerate(todo) for s in _starts(a, b)]
     total: np.ndarray | None = None
     open_ = -1  # the region whose windows are being added up
 
     def close() -> None:
-        i, a, _ = todo[open_]
-        out[i] += [(a + s, a + e, k, v) for s, e, k, v in _settled(total / total.sum(1, keepdims=True))]
+        a = todo[open_][1]
+        out[open_] += [(a + s, a + e, k, v) for s, e, k, v in _settled(total / total.sum(1, keepdims=True))]
 
     for at in range(0, len(window), most):
         some = window[at:at + most]
