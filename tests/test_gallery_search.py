@@ -48,6 +48,20 @@ def test_only_vectors_without_direction(spark):
     assert {(x.query_id, x["rank"], x.gallery_id, x.similarity) for x in got} == {(i, r, r - 1, 0.0) for i in (1, 2) for r in (1, 2)}
 
 
+def test_small_cells_and_copies_meet_in_large_blocks(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(40, 8)).tolist()
+    rows = [(i, base[i % 40]) for i in range(400)]
+    g = spark.createDataFrame(rows, "gallery_id long, embedding array<double>")
+    q = spark.createDataFrame(rows[:50], "query_id long, embedding array<double>")
+    met = []
+    real = joins._best_of
+    monkeypatch.setattr(joins, "_best_of", lambda visits, rows, *a: met.append(rows.select("_cell", "_block").distinct().count()) or real(visits, rows, *a))
+    got = {(x.query_id, x["rank"]): x.gallery_id for x in joins.reid_topk(q, g, 3, gallery_limit=40).collect()}
+    assert got == {(i, r + 1): i % 40 + 40 * r for i in range(50) for r in range(3)}
+    assert max(met) <= joins.PIVOTS + 2  # no more blocks than cells
+
+
 def test_infinite_corner_on_both_sides_of_the_limit(spark):
     inf = float("inf")
     rows = [(0, 0, i, "person", 0.9 - i / 100, 0.1, 0.1, 0.3, 0.3 + i / 1000) for i in range(6)] + [

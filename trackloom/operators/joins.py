@@ -5,6 +5,8 @@ Every join has equality keys (slot, frame, label or id); geometry is a residual
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geometry import (area, box, box_centre, box_iou, compute_roi, distance, quality_gate,
@@ -141,33 +143,85 @@ def reid_topk(query: DataFrame, gallery: DataFrame, k: int, query_id: str = "que
               gallery_id: str = "gallery_id", vector: str = "embedding", gallery_limit: int = 20000) -> DataFrame:
     """The ``k`` gallery vectors nearest to each query by cosine, the lower id first on ties.
 
-    A gallery of live tracks is small: up to ``gallery_limit`` vectors (counted first) it is broadcast and each query row
-    is scored against it in place. A larger one is searched cell by cell, see ``_pruned_topk``. Vectors that are missing or
+    A gallery of live tracks is small: up to ``gallery_limit`` vectors (counted first) it is met whole by portions of
+    ``PORTION`` queries. A larger one is searched cell by cell, see ``_pruned_topk``. Vectors that are missing or
     have no direction are similar to none (0). Both ways give the same rows.
     """
-    g = gallery.select(F.col(gallery_id), F.col(vector).alias("_gv"), norm(F.col(vector)).alias("_gn"))
-    q = query.select(F.col(query_id), F.col(vector).alias("_qv"), norm(F.col(vector)).alias("_qn"))
+    length = F.coalesce(norm(F.col(vector)), F.lit(-1.0))
+    g = gallery.select(F.col(gallery_id), F.col(vector).alias("_gv"), length.alias("_gn"))
+    q = query.select(F.col(query_id), F.col(vector).alias("_qv"), length.alias("_qn"))
+    q = cut_lineage(q.withColumn("_q", F.monotonically_increasing_id()))
     size = gallery.limit(gallery_limit + 1).count()
     if size <= gallery_limit:
-        packed = g.groupBy(F.lit(0).alias("_block")).agg(F.collect_list(F.struct(gallery_id, "_gv", "_gn")).alias("_g"))
-        best = _best_of(q.withColumn("_block", F.lit(0)).join(F.broadcast(packed), "_block"), k, gallery_id)
+        place = {"_cell": F.lit(0), "_block": F.lit(0).cast("long")}
+        best = _merged(_best_of(q.withColumns(place), g.withColumns(place), k, query_id, gallery_id, _portions(q)), query_id, k)
     else:
-        best = _pruned_topk(q, g, k, query_id, gallery_id, max(1, gallery_limit // 8))
+        best = _pruned_topk(q, g, k, query_id, gallery_id, max(BLOCK, gallery_limit // 8))
     return (best.select(query_id, F.posexplode("_top").alias("p", "t"))
             .select(query_id, F.col("t.i").alias(gallery_id), (-F.col("t.n")).alias("similarity"),
                     (F.col("p") + 1).alias("rank")))
 
 
-def _best_of(met: DataFrame, k: int, gallery_id: str) -> DataFrame:
-    """The best ``k`` of the gallery vectors packed in ``_g``, as ``_top``."""
-    scored = F.transform("_g", lambda e: F.struct(
-        (-cosine(F.col("_qv"), e["_gv"], F.col("_qn"), e["_gn"])).alias("n"), e[gallery_id].alias("i")))
-    return met.withColumn("_top", F.slice(F.array_sort(scored), 1, k)).drop("_g")
+PORTION, BLOCK, CHUNK = 4096, 2048, 256  # queries and gallery vectors that meet in a task, and queries scored at once
+
+
+def _portions(q: DataFrame) -> int:
+    return max(1, -(-q.count() // PORTION))
+
 
+def _matrix(vectors: pd.Series, lengths: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, their lengths, and which have a direction; the others are zero and of length 1."""
+    n = lengths.to_numpy(dtype=float)
+    aimed = np.isnan(n) | (n >= 1e-6)
+    out = np.zeros((len(n), width))
+    for i in np.flatnonzero(aimed):
+        out[i, :len(vectors.iat[i])] = vectors.iat[i]
+    return out, np.where(aimed, n, 1.0), aimed
 
-def _merged(tops: DataFrame, query_id: str, k: int) -> DataFrame:
-    top = F.slice(F.array_sort(F.flatten(F.collect_list("_top"))), 1, k)
-    return tops.groupBy("_q").agg(F.first(query_id).alias(query_id), top.alias("_top"))
+
+def _best_of(visits: DataFrame, rows: DataFrame, k: int, query_id: str, gallery_id: str, portions: int) -> DataFrame:
+    """The best ``k`` gallery rows of each visit of a query to a (_cell, _block), one row each.
+
+    A portion of the queries meets a block in one task. A matrix product finds those that can be among the best; their
+    similarity is then summed term by term in order, so that equal vectors are equally similar wherever they are met.
+    """
+    unit = ["_cell", "_block", "_part"]
+    types = {**dict(visits.dtypes), **dict(rows.dtypes)}
+
+    def meet(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(q) and len(g):
+            width = max(len(v) for c in (q["_qv"], g["_gv"]) for v in [*c, ()] if v is not None)
+            gv, gn, g_aimed = _matrix(g["_gv"], g["_gn"], width)
+            place = np.unique(g[gallery_id].to_numpy(), return_inverse=True)[1]
+            most = min(k, len(g))
+            for at in range(0, len(q), CHUNK):
+                some = q.iloc[at:at + CHUNK]
+                qv, qn, q_aimed = _matrix(some["_qv"], some["_qn"], width)
+                near = qv @ gv.T / np.outer(qn, gn)
+                near = np.where(np.isnan(near), -2.0, near)
+                least = np.partition(near, len(g) - most, axis=1)[:, len(g) - most]
+                i, j = np.nonzero(near >= least[:, None] - 1e-9)
+                total = np.zeros(len(i))
+                for c in range(width):
+                    total += qv[i, c] * gv[j, c]
+                n = -np.where(q_aimed[i] & g_aimed[j], total / (qn[i] * gn[j]), 0.0)
+                order = np.lexsort((place[j], n, i))
+                i, j, n = i[order], j[order], n[order]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < most
+                i, j, n = i[keep], j[keep], n[keep]
+                found.append(some[["_q", query_id]].iloc[i].reset_index(drop=True).assign(n=n, i=g[gallery_id].to_numpy()[j]))
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in ("_q", query_id, "n", "i")})
+
+    parted = visits.withColumn("_part", F.pmod(F.xxhash64("_q"), F.lit(portions)))
+    copies = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(portions - 1).cast("long"))))
+    return parted.groupBy(*unit).cogroup(copies.groupBy(*unit)).applyInPandas(
+        meet, f"_q bigint, `{query_id}` {types[query_id]}, n double, i {types[gallery_id]}")
+
+
+def _merged(found: DataFrame, query_id: str, k: int) -> DataFrame:
+    top = F.slice(F.array_sort(F.collect_list(F.struct("n", "i"))), 1, k)
+    return found.groupBy("_q").agg(F.first(query_id).alias(query_id), top.alias("_top"))
 
 
 def _pruned_topk(q: DataFrame, g: DataFrame, k: int, query_id: str, gallery_id: str, per: int) -> DataFrame:
@@ -179,7 +233,7 @@ def _pruned_topk(q: DataFrame, g: DataFrame, k: int, query_id: str, gallery_id:
     others. Of vectors without a direction only the ``k`` lowest ids can be wanted: they are a cell that all queries meet.
     """
     spark = q.sparkSession
-    q = cut_lineage(q.withColumn("_q", F.monotonically_increasing_id()))
+    portions = _portions(q)
     aimed = lambda n: F.coalesce(F.col(n) >= 1e-6, F.lit(False))
     unit = lambda v, n: F.transform(v, lambda x: x / F.col(n))
     angle = lambda u, p: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(u, p))))
@@ -200,13 +254,13 @@ def _pruned_topk(q: DataFrame, g: DataFrame, k: int, query_id: str, gallery_id:
     lowest = lambda df, cell: df.orderBy(gallery_id).limit(k).select(gallery_id, "_gv", "_gn", F.lit(cell).alias("_cell"), F.lit(0).cast("long").alias("_block"))
     rows = placed.join(blocks, "_cell").select(gallery_id, "_gv", "_gn", "_cell", F.pmod(F.xxhash64(gallery_id), F.col("_blocks")).alias("_block"))
     rows = rows.union(lowest(g.filter(~aimed("_gn")), -1)).union(lowest(g, -2))
-    packed = cut_lineage(rows.groupBy("_cell", "_block").agg(F.collect_list(F.struct(gallery_id, "_gv", "_gn")).alias("_g")))
+    rows = cut_lineage(rows)
 
     def meet(df: DataFrame, visits) -> DataFrame:
         """Best of the blocks of the cells ``visits``: array of struct(i, blocks)."""
         each = df.select("_q", query_id, "_qv", "_qn", F.explode(visits).alias("_v"))
         each = each.select("_q", query_id, "_qv", "_qn", F.col("_v.i").alias("_cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_v.blocks").cast("long") - 1)).alias("_block"))
-        return _best_of(each.join(packed, ["_cell", "_block"]), k, gallery_id).select("_q", query_id, "_top")
+        return _best_of(each, rows, k, query_id, gallery_id, portions)
 
     one = lambda i, n: F.struct(i.cast("int").alias("i"), n.cast("int").alias("blocks"))
     q = beside(q.withColumn("_u", F.when(aimed("_qn"), unit("_qv", "_qn"))), cells)
@@ -220,7 +274,7 @@ def _pruned_topk(q: DataFrame, g: DataFrame, k: int, query_id: str, gallery_id:
     could = F.transform(F.filter("_cells", lambda c: (c["i"] != F.col("_home.i")) & (F.col("_limit").isNull() | (
         F.greatest(c["d"] - c["hi"], c["lo"] - c["d"]) <= F.col("_limit") + 1e-6))), lambda c: one(c["i"], c["blocks"]))
     more = meet(q.filter("_aimed").join(limit, "_q"), could)
-    return _merged(tops.select("_q", query_id, "_top").union(more), query_id, k)
+    return _merged(tops.select("_q", query_id, F.inline("_top")).union(more), query_id, k)
 
 
 def reconcile(tracks: DataFrame, targets: DataFrame, stale: float, removal: float) -> DataFrame:
