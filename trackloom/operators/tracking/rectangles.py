@@ -13,7 +13,7 @@ from ...sources.detections import on_clock
 from ..materialize import written
 from ..suppress import RECTANGLE_TRACK_RULE, suppress
 from . import filters
-from .blocks import Bank, Rows, Step
+from .blocks import Bank, Engine, Rows, Step
 from .job import SESSION, fold_input, fold_sessions, number_tracks
 from .tracker import iou
 
@@ -55,15 +55,12 @@ def scores(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[np.ndarray, np.n
     return overlap * 0.62 + centre * 0.26 + size * 0.12, ok
 
 
-class RectangleTracker:
+class RectangleTracker(Engine):
     """Engine for the block runner."""
 
     def __init__(self, cfg: RectangleConfig, with_polygon: bool):
         self.cfg, self.with_polygon = cfg, with_polygon
 
-    def forget(self, key) -> None:
-        pass
-
     def empty(self) -> Bank:
         z = np.zeros(0, dtype=np.int64)
         return self._new(z, z, z, z, np.zeros((0, 4)), np.zeros(0))
