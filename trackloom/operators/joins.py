@@ -53,12 +53,13 @@ def pair_geometry(t, d) -> tuple[Column, Column, Column]:
 
 
 def match_costs(tracks: DataFrame, dets: DataFrame, iou_gate: float = 0.25,
-                appearance_weight: float = 0.05, reid: bool = False) -> DataFrame:
+                appearance_weight: float = 0.05, reid: bool = False, looks: DataFrame | None = None) -> DataFrame:
     """Admissible (track, detection) pairs of the same frame and label with score and cost.
 
     A pair is admissible above the IoU gate, or with IoU over 0.05 and centres closer than half the
     mean side. Appearance counts 0.5 unless both sides carry ``color_hist``; ``reid`` scores pairs
-    with embeddings by .4 IoU + .4 cosine + .2 centre.
+    with embeddings by .4 IoU + .4 cosine + .2 centre. Instead of an embedding both sides may carry a ``vec_id`` of
+    ``looks`` (vec_id, embedding): vectors then join the admissible pairs, and only ids travel with the rows.
     """
     key = [*FRAME, "label"]
     t, d = prefixed(tracks, "t_", key), prefixed(dets, "d_", key)
@@ -74,6 +75,9 @@ def match_costs(tracks: DataFrame, dets: DataFrame, iou_gate: float = 0.25,
         look = F.lit(0.5)
     score = 0.85 * F.col("iou") + 0.10 * F.col("centre") + appearance_weight * look
     j = j.withColumn("centre", centre)
+    if looks is not None:
+        for side in ("t_", "d_"):
+            j = j.join(looks.select(F.col("vec_id").alias(f"{side}vec_id"), F.col("embedding").alias(f"{side}embedding")), f"{side}vec_id", "left")
     if reid:
         sim = F.greatest(F.lit(0.0), cosine(F.col("t_embedding"), F.col("d_embedding")))
         both = F.col("t_embedding").isNotNull() & F.col("d_embedding").isNotNull()
