@@ -104,9 +104,9 @@ def health(per_frame: DataFrame, keys: list[str] = ["slot_id"], history: int = 9
             .select(*per_frame.columns, "n", "recent_mean", "healthy"))
 
 
-def _runs(part: pd.DataFrame, recovery: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _runs(part: dict, recovery: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of frames of one kind: kind (0 unhealthy, 1 healthy but weak, 2 good), first row, length."""
-    ok, mean = part["healthy"].to_numpy(dtype=bool), part["recent_mean"].to_numpy(dtype=float)
+    ok, mean = part["healthy"].astype(bool), part["recent_mean"].astype(float)
     kind = np.where(~ok, 0, np.where(np.round(mean, 9) >= recovery, 2, 1))
     first = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
     return kind[first], first, np.diff(np.r_[first, len(kind)])
@@ -135,14 +135,14 @@ def health_episodes(monitored: DataFrame, keys: list[str] = ["slot_id"], recover
             return np.minimum(states, 0)
         return np.where((states < 0) | (states + n >= required), -1, states + n)
 
-    def describe(part: pd.DataFrame) -> list[int]:
+    def describe(part: dict) -> list[int]:
         states = np.arange(-1, required)
         kinds, _, lengths = _runs(part, recovery)
         for kind, n in zip(kinds, lengths):
             states = after(states, kind, n)
         return states.tolist()
 
-    def step(state: int, part: pd.DataFrame):
+    def step(state: int, part: dict):
         at, events = [], []
         for kind, first, n in zip(*_runs(part, recovery)):
             if kind == 0 and state < 0:
@@ -152,7 +152,7 @@ def health_episodes(monitored: DataFrame, keys: list[str] = ["slot_id"], recover
                 at.append(first + max(required - state, 1) - 1)
                 events.append("restore")
             state = int(after(np.int64(state), kind, n))
-        return state, part.iloc[at][[*keys, order]].assign(event=events, recent_mean=part["recent_mean"].to_numpy()[at])
+        return state, at, {"event": events, "recent_mean": part["recent_mean"][at].tolist()} if at else {}
 
     return bucketed_fold(rows, keys, "_b", [order], narrow, describe, lambda state, effect: int(effect[state + 1]),
                          step, schema, -1)
@@ -178,10 +178,10 @@ def throttle(df: DataFrame, interval: float, keys: list[str] = ["slot_id"], time
     width = max(int(round(bucket_s * 1e6)), 4 * gap)
     rows = df.withColumn("_us", micros(F.col(time))).filter(F.col("_us").isNotNull())
     rows = rows.withColumn("_b", bucket_of("_us", width))
-    cols = list(df.columns)
 
-    def describe(part: pd.DataFrame) -> list[int]:
-        us = np.unique(part["_us"].to_numpy())
+    def describe(part: dict) -> list[int]:
+        us = part["_us"]
+        us = us[np.append(True, us[1:] != us[:-1])]
         follow = np.searchsorted(us, us + gap)
         last = np.where(follow < len(us), follow, np.arange(len(us)))
         while not np.array_equal(further := last[last], last):
@@ -195,14 +195,14 @@ def throttle(df: DataFrame, interval: float, keys: list[str] = ["slot_id"], time
         at = int(np.searchsorted(effect[:half], state + gap))
         return int(effect[half + at]) if at < half else state
 
-    def step(last: int, part: pd.DataFrame):
-        us = part["_us"].to_numpy()
+    def step(last: int, part: dict):
+        us = part["_us"]
         keep, i = [], int(np.searchsorted(us, last + gap))
         while i < len(us):
             keep.append(i)
             last = int(us[i])
             i = int(np.searchsorted(us, last + gap))
-        return last, part.iloc[keep][cols]
+        return last, keep, {}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return bucketed_fold(rows, keys, "_b", ["_us", tie], ["_us"], describe, advance, step, schema, NEVER)
