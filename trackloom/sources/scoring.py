@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..operators.fold import ordered_fold
+from ..operators.fold import by_key
 
 SCORED_DDL = ("slot_id int, frame_id bigint, ts double, det_idx int, class_id int, label string, "
               "confidence double, x1 double, y1 double, x2 double, y2 double")
@@ -44,12 +45,42 @@ def process_frames(det: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], s
 
     Frames are walked inside sorted partitions; a frame cut by the end of a batch waits for the next.
     """
-    keys = ["slot_id", "frame_id"]
+    keys, names = ["slot_id", "frame_id"], [c.split()[0].strip("`") for c in schema.split(", ")]
 
-    def step(state, rows: pd.DataFrame):
-        return (state or []) + [rows], None
-
-    def finish(state) -> pd.DataFrame:
-        return fn(pd.concat(state, ignore_index=True) if len(state) > 1 else state[0].reset_index(drop=True))
-
-    return ordered_fold(det, keys, ["det_idx"], step, schema, finish)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last frame of a batch may go on in the next
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            whole = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            change = np.zeros(len(whole), dtype=bool)
+            change[0] = True
+            for k in keys:
+                v = whole[k].to_numpy()
+                change[1:] |= v[1:] != v[:-1]
+            starts = np.flatnonzero(change).tolist()
+            held = whole.iloc[starts[-1]:]
+            yield from joined(whole, starts)
+        if held is not None:
+            yield from joined(held, [0, len(held)])
+
+    def joined(rows: pd.DataFrame, starts: list[int]) -> Iterator[pd.DataFrame]:
+        """What the processor makes of the frames; columns are put together once a batch."""
+        columns = {c: [] for c in names}
+        for a, b in zip(starts, starts[1:]):
+            frame = rows.iloc[a:b]
+            frame.index = pd.RangeIndex(b - a)
+            out = fn(frame)
+            if out is not None and len(out):
+                for c in names:
+                    columns[c].append(out[c])
+        if columns[names[0]]:
+            yield pd.DataFrame({c: _stacked(v) for c, v in columns.items()})
+
+    return by_key(det, keys, ["det_idx"]).mapInPandas(run, schema)
+
+
+def _stacked(parts: list[pd.Series]):
+    if len({p.dtype for p in parts}) == 1 and isinstance(parts[0].dtype, np.dtype):
+        return np.concatenate([p.to_numpy() for p in parts])
+    return pd.concat(parts, ignore_index=True)
