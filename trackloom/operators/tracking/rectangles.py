@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ...functions.presets import RECTANGLE_PRESETS
 from ...sources.detections import on_clock
-from ..materialize import written
 from ..suppress import RECTANGLE_TRACK_RULE, suppress
 from . import filters
-from .blocks import Bank, Engine, Rows, Step
-from .job import SESSION, fold_input, fold_sessions, number_tracks
+from .blocks import Bank, Engine, Rows, Step, named
+from .job import AHEAD, NUMBERED, PART, fold_input, fold_sessions, number_tracks
 from .tracker import iou
 
-EVENTS = np.array(["matched", "new", "predicted"])
+EVENTS = ["matched", "new", "predicted"]
 DDL = ("slot_id int, frame_id bigint, birth_frame bigint, birth_det int, label string, confidence double, "
        "x1 double, y1 double, x2 double, y2 double, track_hits int, track_misses int, "
        "predicted_only boolean, event string, deleted boolean")
@@ -153,7 +152,8 @@ class RectangleTracker(Engine):
         pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pairs[:, 0], pairs[:, 1]
 
-    def _report(self, t: Bank, frame_of: np.ndarray, gone: np.ndarray) -> dict[str, np.ndarray]:
+    def _report(self, t: Bank, frame_of: np.ndarray, gone: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        gone = np.zeros(len(t), dtype=bool) if gone is None else gone
         fade = np.maximum(0.1, t.conf * (1.0 - t.misses / (self.cfg.max_misses + 1)))
         return dict(g=t.g, frame_id=frame_of[t.g], birth_frame=t.birth_frame, birth_det=t.birth_det, lab=t.lab,
                     conf=fade, box=t.box.copy(), hits=t.hits.copy(), misses=t.misses.copy(),
@@ -164,12 +164,12 @@ class RectangleTracker(Engine):
         cols = {
             "slot_id": pa.array(slot[d["g"]]), "frame_id": pa.array(d["frame_id"]),
             "birth_frame": pa.array(d["birth_frame"]), "birth_det": pa.array(d["birth_det"].astype(np.int32)),
-            "label": pa.array(np.array([*labels], dtype=object)[d["lab"]], pa.string()),
+            "label": named(d["lab"], [*labels]),
             "confidence": pa.array(d["conf"]),
             **{c: pa.array(d["box"][:, i].copy()) for i, c in enumerate(("x1", "y1", "x2", "y2"))},
             "track_hits": pa.array(d["hits"].astype(np.int32)), "track_misses": pa.array(d["misses"].astype(np.int32)),
             "predicted_only": pa.array(d["misses"] > 0),
-            "event": pa.array(EVENTS[d["event"]].tolist(), pa.string()), "deleted": pa.array(d["gone"]),
+            "event": named(d["event"], EVENTS), "deleted": pa.array(d["gone"]),
         }
         if self.with_polygon:
             cols["polygon"] = pa.array([
@@ -179,13 +179,20 @@ class RectangleTracker(Engine):
 
 
 def rectangle_steps(det: DataFrame, frames: DataFrame | None = None, cfg: RectangleConfig = PRESETS["low"],
-                    bucket: int = 65536, split_sessions: bool = True) -> DataFrame:
-    """Every track in every frame, with what happened to it, before any output rule."""
-    poly = "polygon" in det.columns
+                    bucket: int = 65536, split_sessions: bool = True, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Every track in every frame, with what happened to it, before any output rule.
+
+    All columns and ``track_id``, or the ``columns`` named; what these do not ask for is not made: numbers, and polygons,
+    which change nothing else.
+    """
+    poly = "polygon" in det.columns and (columns is None or "polygon" in columns)
+    numbered = columns is None or "track_id" in columns
+    made = None if columns is None else list(dict.fromkeys([*(NUMBERED if numbered else ()), *(c for c in columns if c != "track_id")]))
     rows = fold_input(det, frames, cfg, None, False, ("polygon",) if poly else (), bucket, split_sessions, linger=1)
-    done = fold_sessions(rows, lambda: {"": RectangleTracker(cfg, poly)}, DDL + (POLY_DDL if poly else ""), {})
-    done = written(done.drop("run"), "rectangles")
-    return number_tracks(done, bucket)
+    done = fold_sessions(rows, lambda: {"": RectangleTracker(cfg, poly)}, DDL + (POLY_DDL if poly else ""), {}, "rectangles", False,
+                         made, *((PART, AHEAD) if split_sessions else ())).drop("run")
+    done = number_tracks(done, bucket) if numbered else done
+    return done if columns is None else done.select(*columns)
 
 
 def visible_rectangles(steps: DataFrame, cfg: RectangleConfig = PRESETS["low"]) -> DataFrame:
