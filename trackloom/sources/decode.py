@@ -53,7 +53,7 @@ def decode_detect(df: DataFrame, conf: float = 0.25) -> DataFrame:
     kept = _argmax(df.filter(F.size(p) >= 5), F.slice(p, 5, F.size(p) - 4), conf)
     rows = _unletterbox(kept).withColumn("label", _label(F.col("class_id"), F.col("class_id").cast("string")))
     out = rows.select("slot_id", "frame_id", "det_idx", "class_id", "label", "confidence", "x1", "y1", "x2", "y2")
-    return suppress(out, ["slot_id", "frame_id"], [-F.col("confidence")], DETECTOR_RULE)
+    return suppress(out, ["slot_id", "frame_id"], [-F.col("confidence")], DETECTOR_RULE, source=df)
 
 
 def decode_pose(df: DataFrame, conf: float = 0.25) -> DataFrame:
@@ -61,19 +61,19 @@ def decode_pose(df: DataFrame, conf: float = 0.25) -> DataFrame:
     p, n = F.col("pred"), F.size("pred")
     scores = F.when(n == 56, F.slice(p, 5, 1)).otherwise(F.slice(p, 5, F.greatest(n - 55, F.lit(0))))
     kept = _argmax(df.filter(n >= 56), scores, conf)
-    start = F.col("_k")
-
-    def at(j: Column, i: int, pad: str, frame: str) -> Column:
-        return clamp01((F.get(p, start + j * 3 + i) - F.col(pad)) / F.col("scale") / F.col(frame))
-
-    pts = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda j: F.struct(
-        at(j, 0, "pad_x", "frame_w").alias("x"), at(j, 1, "pad_y", "frame_h").alias("y"),
-        F.get(p, start + j * 3 + 2).alias("conf")))
-    rows = (_unletterbox(kept).withColumn("_k", n - 51)
-            .withColumns({"label": _label(F.col("class_id"), F.lit("person")), "keypoints": pts}))
-    out = rows.select("slot_id", "frame_id", "det_idx", "class_id", "label", "confidence",
-                      "x1", "y1", "x2", "y2", "keypoints")
-    return suppress(out, ["slot_id", "frame_id"], [-F.col("confidence")], DETECTOR_RULE)
+    rows = _unletterbox(kept).withColumns({"label": _label(F.col("class_id"), F.lit("person")), "_pts": F.slice(p, n - 50, 51)})
+    # points stay the flat numbers they are until it is settled which rows are kept
+    frame = ["scale", "pad_x", "pad_y", "frame_w", "frame_h"]
+    out = rows.select("slot_id", "frame_id", "det_idx", "class_id", "label", "confidence", "x1", "y1", "x2", "y2", "_pts", *frame)
+    out = suppress(out, ["slot_id", "frame_id"], [-F.col("confidence")], DETECTOR_RULE, source=df)
+    flat = F.col("_pts")
+
+    def at(i: int, pad: str, size: str) -> Column:
+        return clamp01((F.get(flat, F.lit(i)) - F.col(pad)) / F.col("scale") / F.col(size))
+
+    pts = F.array(*[F.struct(at(i, "pad_x", "frame_w").alias("x"), at(i + 1, "pad_y", "frame_h").alias("y"),
+                             F.get(flat, F.lit(i + 2)).alias("conf")) for i in range(0, 51, 3)])
+    return out.withColumn("keypoints", pts).drop("_pts", *frame)
 
 
 def decode_scored(df: DataFrame, conf: float = 0.25) -> DataFrame:
