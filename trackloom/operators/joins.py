@@ -30,18 +30,20 @@ def merge_pose(base: DataFrame, pose: DataFrame) -> DataFrame:
     k = F.col("keypoints")
     score = F.aggregate(k, F.lit(0.0), lambda s, p: s + F.coalesce(p["conf"], F.lit(0.0))) / 17
     usable = F.size(k) == 17
-    cand = pose.filter(usable).select(
-        *[F.col(c).alias(f"_{c}") for c in FRAME], F.struct((-score).alias("neg"), F.col("det_idx").alias("i")).alias("rank"),
-        k.alias("pose"), k[0]["x"].alias("_nx"), k[0]["y"].alias("_ny"))
-    box_ = base.select(*FRAME, "det_idx", "x1", "y1", "x2", "y2")
+    cand = pose.filter(usable).select(*[F.col(c).alias(f"_{c}") for c in FRAME], (-score).alias("_neg"), F.col("det_idx").alias("_i"),
+                                      k.alias("_pose"), k[0]["x"].alias("_nx"), k[0]["y"].alias("_ny"))
     inside = F.col("_nx").between(F.col("x1"), F.col("x2")) & F.col("_ny").between(F.col("y1"), F.col("y2"))
-    best = (box_.join(cand, [*[F.col(c) == F.col(f"_{c}") for c in FRAME], inside]).groupBy(*FRAME, "det_idx")
-            .agg(F.min_by("pose", "rank").alias("_pose")))
-    posed = pose.select(*FRAME).distinct().withColumn("_any", F.lit(True))
+    # one exchange by frame: rows meet the poses of their frame and each takes its first one there
+    met = (base.withColumn("_row", F.monotonically_increasing_id())
+           .join(cand, [*[F.col(c) == F.col(f"_{c}") for c in FRAME], inside], "left"))
+    first = F.row_number().over(W.partitionBy(*FRAME, "_row").orderBy("_neg", "_i"))
+    best = met.withColumn("_nth", first).filter("_nth = 1").drop("_nth", "_row", "_neg", "_i", "_nx", "_ny", *[f"_{c}" for c in FRAME])
     none = F.array().cast("array<struct<x:double,y:double,conf:double>>")
-    own = F.col("keypoints") if "keypoints" in base.columns else none
-    return (base.join(best, [*FRAME, "det_idx"], "left").join(posed, FRAME, "left")
-            .withColumn("keypoints", F.when(F.col("_any"), F.coalesce("_pose", none)).otherwise(own))
+    if "keypoints" not in base.columns:
+        return best.withColumn("keypoints", F.coalesce("_pose", none)).drop("_pose")
+    posed = pose.select(*FRAME).distinct().withColumn("_any", F.lit(True))
+    return (best.join(posed, FRAME, "left")
+            .withColumn("keypoints", F.when(F.col("_any"), F.coalesce("_pose", none)).otherwise(F.col("keypoints")))
             .drop("_pose", "_any"))
 
 
