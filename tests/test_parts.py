@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators.tracking import job, rectangles as rt
-from trackloom.operators.tracking.job import track, track_runs
+from trackloom.operators import quality as ql
+from trackloom.operators.materialize import written as real
+from trackloom.operators.tracking import blocks, job, rectangles as rt
+from trackloom.operators.tracking.job import run_records, track, track_runs
 from trackloom.operators.tracking.tracker import TrackerConfig
 
 DDL = "slot_id int, frame_id long, det_idx int, label string, confidence double, x1 double, y1 double, x2 double, y2 double"
@@ -57,3 +59,29 @@ def test_named_columns_are_those_of_all(spark):
     assert sorted_rows(track(det, columns=("frame_id", "label"))) == sorted_rows(track(det).select("frame_id", "label"))
     some = ("slot_id", "frame_id", "track_id", "event")
     assert sorted_rows(rt.rectangle_steps(det, columns=some)) == sorted_rows(rt.rectangle_steps(det).select(*some))
+
+
+@pytest.mark.parametrize("still", [False, True])
+def test_records_made_in_the_fold_are_those_of_the_rows(spark, short_parts, monkeypatch, still):
+    """Tracks that live on in another block or part are put together; nothing the size of the rows is written."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 150)
+    det = camera(spark, still)
+    runs = {s: TrackerConfig(strategy=s) for s in ("greedy", "cascade")}
+    records, per_frame = run_records(det, None, runs)
+    rows = track_runs(det, None, runs)
+    want = ql.track_records(rows, ("run", "slot_id"), ql.BIRTH)
+    assert sorted_rows(records.select(*want.columns)) == sorted_rows(want)
+    assert sorted_rows(per_frame) == sorted_rows(rows.groupBy("run", "slot_id", "frame_id").agg(F.count("*").alias("n")))
+    clock = det.select("slot_id", "frame_id").distinct()
+    got = ql.compare_records(*(d.withColumnRenamed("run", "strategy") for d in (records, per_frame)), clock, list(runs))
+    assert sorted_rows(got) == sorted_rows(ql.compare_runs(rows.withColumnRenamed("run", "strategy"), clock, list(runs)))
+
+
+def test_tracks_are_written_one_row_each(spark, monkeypatch):
+    """Before, each frame of a track was written as a row and met the numbers as a row."""
+    sizes = []
+    monkeypatch.setattr(job, "written", lambda df, name="rows": sizes.append((name, out := real(df, name), out.count())) or out)
+    rows = track(camera(spark, True), columns=("slot_id", "frame_id", "track_id", "x1"), digits=3)
+    tracks = [n for name, _, n in sizes if name == "tracks"]
+    assert tracks == [rows.select("track_id").distinct().count()] and rows.count() > 2 * tracks[0]
+    assert rows.filter("x1 <> round(x1, 3)").isEmpty()
