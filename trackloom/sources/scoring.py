@@ -40,10 +40,12 @@ def score_frames(frames: DataFrame, loader: Callable[[], Callable], conf: float
     return frames.select("slot_id", "frame_id", "ts", image).mapInPandas(run, SCORED_DDL)
 
 
-def process_frames(det: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def process_frames(det: DataFrame, fn: Callable, schema: str, arrays: bool = False) -> DataFrame:
     """A user's processor: detections of one frame in, detections of that frame out.
 
-    Frames are walked inside sorted partitions; a frame cut by the end of a batch waits for the next.
+    ``fn`` takes and gives a pandas table, or, with ``arrays``, a dict of numpy arrays by column, all of one length: a
+    table a frame costs far more than most processors. None gives no rows. Frames are walked inside sorted partitions; a frame cut by the
+    end of a batch waits for the next.
     """
     keys, names = ["slot_id", "frame_id"], [c.split()[0].strip("`") for c in schema.split(", ")]
 
@@ -67,6 +69,16 @@ def process_frames(det: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], s
     def joined(rows: pd.DataFrame, starts: list[int]) -> Iterator[pd.DataFrame]:
         """What the processor makes of the frames; columns are put together once a batch."""
         columns = {c: [] for c in names}
+        if arrays:
+            whole = {c: rows[c].to_numpy() for c in rows.columns}
+            for a, b in zip(starts, starts[1:]):
+                out = fn({c: v[a:b] for c, v in whole.items()})
+                if out is not None and len(out[names[0]]):
+                    for c in names:
+                        columns[c].append(out[c])
+            if columns[names[0]]:
+                yield pd.DataFrame({c: np.concatenate(v) for c, v in columns.items()}, copy=False)
+            return
         for a, b in zip(starts, starts[1:]):
             frame = rows.iloc[a:b]
             frame.index = pd.RangeIndex(b - a)
