@@ -99,3 +99,17 @@ def test_assignment_by_components_is_cheapest():
         best = min((-len(s), sum(cost[p] for p in s)) for k in range(min(n, m) + 1) for rows in itertools.combinations(range(n), k)
                    for cols in itertools.permutations(range(m), k) for s in [list(zip(rows, cols))] if all(p in cost for p in s))
         assert (-len(chosen), round(sum(p[2] for p in chosen), 6)) == (best[0], round(best[1], 6))
+
+
+def test_rows_of_large_groups_are_made_once(spark, monkeypatch):
+    """Before, what the rows are made of was evaluated in each of several reads."""
+    from trackloom.operators import suppress as sp
+    kept = []
+    real = sp.written
+    monkeypatch.setattr(sp, "written", lambda df, name="rows": kept.append(real(df, name)) or kept[-1])
+    df = spark.range(60).selectExpr("CAST(id % 3 = 0 AS INT) AS g", "CAST(id AS INT) AS det_idx", "'a' AS label", "id % 7 / 7 AS confidence",
+                                    "id % 5 / 10 AS x1", "0.1D AS y1", "id % 5 / 10 + 0.2 AS x2", "0.4D AS y2")
+    df = df.selectExpr("g", "det_idx", "label", *[f"CAST({c} AS DOUBLE) AS {c}" for c in ("confidence", "x1", "y1", "x2", "y2")])
+    large = sp.suppress(df, ["g"], [-df["confidence"]], sp.DETECTOR_RULE, large_group=30)
+    assert [d.select("g").distinct().collect()[0].g for d in kept] == [0] and kept[0].count() == 40
+    assert sorted(map(str, large.collect())) == sorted(map(str, sp.suppress(df, ["g"], [-df["confidence"]], sp.DETECTOR_RULE).collect()))
